@@ -241,12 +241,15 @@ def _tags(page: Page) -> None:
         page.seen.add("inline")
         if name in ("ul", "ol", "dl"):
             page.seen.add("list")
-        return "\n" if name in ("p", "div", "br", "tr", "table", "ul", "ol", "dl", "blockquote", "section", "article", "hr") else " " if name in ("td", "th", "img") else ""
+        if name in ("td", "th", "tr"):
+            return " |" if closing and name != "tr" else "\n|" if name == "tr" and not closing else ""
+        return "\n" if name in ("p", "div", "br", "table", "ul", "ol", "dl", "blockquote", "section", "article", "hr") else " " if name == "img" else ""
 
     if "<!--" in page.text:
         page.text, n = re.subn(r"<!--.*?(?:-->|\Z)", "", page.text, flags=re.S)
         page.seen.add("inline")
     page.text = re.sub(r"<ref\b[^<>]*>.*?</ref>", lambda m: page.seen.add("inline") or "", page.text, flags=re.I | re.S)
+    page.text = re.sub(r"<sup>\s*([\w*]{1,3})\s*</sup>", lambda m: page.seen.add("inline") or f"^{m[1]}", page.text, flags=re.I)
     page.text = TAG.sub(plain, page.text)
 
 
@@ -272,7 +275,16 @@ def _tex(page: Page) -> None:
     page.text = t
 
 
+def _wiki_table(m: re.Match) -> str:
+    """The rows of a wiki table as rows of cells."""
+    rows = re.split(r"(?m)^\|-.*$", re.sub(r"\A\{\|.*|\|\}\Z", "", m[0]))
+    cells = [[c.strip() for c in re.split(r"\|\||!!|^[|!]", r, flags=re.M) if c.strip()] for r in rows]
+    return "\n".join("| " + " | ".join(c) + " |" for c in cells if c)
+
+
 def _lines(page: Page) -> None:
+    if "{|" in page.text:
+        page.text = _WIKI_TABLE.sub(lambda m: page.seen.add("inline") or _wiki_table(m), page.text)
     src, out, k = page.text.split("\n"), [], 0
     # a "#" line beside another is a numbered item, alone it is a heading; "*word" needs a mate or a wiki head before it
     while k < len(src):
@@ -311,7 +323,7 @@ def _lines(page: Page) -> None:
             out.append(re.sub(r"^[ \t]*>+[ \t]+", "", line))
         elif line.count("|") >= 2 and line.strip().startswith("|"):
             page.seen.add("inline")
-            out.append(" ".join(line.replace("|", " ").split()))
+            out.append("| " + " | ".join(x.strip() for x in line.strip().strip("|").split("|")) + " |")
         else:
             out.append(line)
         k += 1
@@ -326,7 +338,7 @@ def _inside_lines(page: Page) -> None:
 
         return at
 
-    t = _WIKI_TABLE.sub(lambda m: page.seen.add("inline") or " ".join(re.sub(r"\{\|.*|^\|-.*|[|!}]", " ", m[0], flags=re.M).split()), page.text)
+    t = page.text
     t = _TEMPLATE.sub(lambda m: page.seen.add("inline") or "", t)
     t = _IMAGE.sub(keep(1), t)
     t = _WIKI_LINK.sub(lambda m: page.seen.add("inline") or m[2], t)

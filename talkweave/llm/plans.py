@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["q_markup", "q_language", "q_speech", "q_budget", "q_lookalike"]
+MODULES = ["q_markup", "q_language", "q_speech", "q_pairs", "q_budget", "q_lookalike"]
 
 
 def collected(kind: str) -> dict:
