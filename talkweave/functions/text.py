@@ -13,14 +13,23 @@ CJK = (
 )
 
 
+#: Blanks of any script, as both regular expression engines know them.
+BLANK = r"[\s\p{Z}\x{85}]"
+
+
+def stripped(text: Column) -> Column:
+    """Without blanks of any kind at either end."""
+    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+
+
 def is_punctuation(text: Column) -> Column:
-    """Only ASCII punctuation and blanks; true for an empty text."""
-    return F.replace(F.trim(text), F.lit(" "), F.lit("")).rlike(r"^\p{Punct}*$")
+    """Only ASCII punctuation and spaces, blanks of any kind at the ends; true for an empty text."""
+    return text.rlike(rf"^{BLANK}*[\p{{Punct}} ]*{BLANK}*$")
 
 
 def is_meaningful(text: Column) -> Column:
     """Anything left besides ASCII punctuation and blanks."""
-    return F.trim(F.regexp_replace(text, r"\p{Punct}", "")) != ""
+    return text.rlike(r"[^\p{Punct}\s\p{Z}\x{85}]")
 
 
 def is_transition(token: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["intervals", "timeline"]
+MODULES = ["intervals", "timeline", "chat"]
 
 
 def collected(kind: str) -> dict:
