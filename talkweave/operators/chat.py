@@ -143,7 +143,7 @@ def chat_tapes(turns: DataFrame, view: str, silences: Column) -> DataFrame:
     """
     kind = role_kind(F.col("role"))
     other = "user" if view == "assistant" else "bot"
-    heard = F.concat(F.array_repeat(F.lit(SILENCE), silences), clause_tape(F.col("value"), True))
+    heard = F.concat(F.flatten(F.array_repeat(F.array(F.lit(INTERLOCUTOR + SILENCE), F.lit("[C.LISTEN]")), silences)), clause_tape(F.col("value"), True))
     said = clause_tape(F.col("value"), False)
     if view == "assistant":
         tape = F.when(kind == other, F.concat(heard, F.array(F.lit("[S.SPEAK]")))).otherwise(F.concat(said, F.array(F.lit("[S.LISTEN.NATURAL]"))))

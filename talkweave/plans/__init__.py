@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["intervals", "timeline", "chat"]
+MODULES = ["intervals", "timeline", "chat", "tape"]
 
 
 def collected(kind: str) -> dict:

@@ -170,9 +170,9 @@ SQL = {
     "html_text": TURNS + r""" SELECT id, turn, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(value, '<li><p>', '<li>'), '<li>', chr(10) || '- '), '</li>', ''),
         '(<[^<>]+>)+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM turns WHERE contains(value, '<li>') OR contains(value, '<p')""",
     "clause_counts": TURNS + f" SELECT id, turn, array_to_string({_CLAUSES}, '|') AS clauses FROM turns",
-    "chat_tape": TURNS + _TAPE + """ SELECT id, string_agg(CASE WHEN kind = 'user' THEN array_to_string(list_concat(list_transform(range(turn % 3), lambda x: '<SIL>'), CASE WHEN len(cl) > 0 THEN [heard] ELSE [] END, ['[S.SPEAK]']), '|')
+    "chat_tape": TURNS + _TAPE + """ SELECT id, string_agg(CASE WHEN kind = 'user' THEN array_to_string(list_concat(flatten(list_transform(range(turn % 3), lambda x: ['<interlocutor><SIL>', '[C.LISTEN]'])), CASE WHEN len(cl) > 0 THEN [heard] ELSE [] END, ['[S.SPEAK]']), '|')
         ELSE CASE WHEN len(cl) > 0 THEN said || '|' ELSE '' END || '[S.LISTEN.NATURAL]' END, '|' ORDER BY turn) AS tape FROM heard GROUP BY id""",
-    "chat_tape_user": TURNS + _TAPE + """, p AS (SELECT id, turn, CASE WHEN kind = 'bot' THEN list_concat(list_transform(range(turn % 2), lambda x: '<SIL>'), CASE WHEN len(cl) > 0 THEN [heard] ELSE [] END)
+    "chat_tape_user": TURNS + _TAPE + """, p AS (SELECT id, turn, CASE WHEN kind = 'bot' THEN list_concat(flatten(list_transform(range(turn % 2), lambda x: ['<interlocutor><SIL>', '[C.LISTEN]'])), CASE WHEN len(cl) > 0 THEN [heard] ELSE [] END)
         ELSE list_concat(['[S.SPEAK]'], CASE WHEN len(cl) > 0 THEN [said] ELSE [] END, ['[S.LISTEN.NATURAL]']) END AS l FROM heard)
         SELECT id, string_agg(array_to_string(l, '|'), '|' ORDER BY turn) AS tape FROM p WHERE len(l) > 0 GROUP BY id""",
     "role_renames": TURNS + " SELECT id || '_A_to_B' AS name, turn, kind FROM kinds",
