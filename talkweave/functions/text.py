@@ -95,3 +95,8 @@ def clean_fisher(text: Column) -> Column:
 
 def silent(token: Column) -> Column:
     return token.contains(SILENCE)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, even where the body uses it in a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)

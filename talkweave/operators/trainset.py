@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from talkweave.functions.text import words
+from talkweave.functions.text import let, words
 from talkweave.functions.vocab import INTERLOCUTOR, MASKS, TRANSITIONS
 
 USER = "<user>"
@@ -92,12 +92,11 @@ def tail_budget(chunks: DataFrame, key: str, order: str, size: str, budget: int)
 
 def log_sum_exp(values: Column) -> Column:
     """log(sum(exp(x))) of an array, shifted by its greatest member."""
-    top = F.array_max(values)
-    return top + F.ln(F.aggregate(values, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+    return let(values, lambda v: let(F.array_max(v), lambda top: top + F.ln(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - top)))))
 
 
 def cross_entropy(logits: Column, label: Column) -> Column:
-    return log_sum_exp(logits) - F.element_at(logits, label + 1)
+    return let(logits, lambda v: log_sum_exp(v) - F.element_at(v, label + 1))
 
 
 def adjusted(logits: Column, adjustments: Column) -> Column:
@@ -112,14 +111,13 @@ def fuzzy(logits: Column, control: list[int]) -> Column:
 
 def argmax(values: Column) -> Column:
     """Index, from 0, of the greatest member; the first of equals."""
-    return (F.array_position(values, F.array_max(values)) - 1).cast("int")
+    return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))
 
 
 def softmax_masked(logits: Column, forbidden: list[int]) -> Column:
     """Probabilities with a bias of -100 on forbidden members."""
     biased = F.transform(logits, lambda x, i: F.when(i.isin(forbidden), x - 100).otherwise(x))
-    z = log_sum_exp(biased)
-    return F.transform(biased, lambda x: F.exp(x - z))
+    return let(biased, lambda v: let(log_sum_exp(v), lambda z: F.transform(v, lambda x: F.exp(x - z))))
 
 
 def weighted_mean(loss: Column, weight: Column) -> Column:

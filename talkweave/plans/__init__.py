@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["intervals", "timeline", "chat", "tape"]
+MODULES = ["intervals", "timeline", "chat", "tape", "trainset", "metrics", "joins"]
 
 
 def collected(kind: str) -> dict:
