@@ -60,7 +60,7 @@ def _rows(df: DataFrame, start: str, received: str | None, keep_text: bool) -> D
         F.coalesce(F.col(start).cast("double"), F.lit(0.0)).alias("t"),
         F.coalesce(speaker_of(F.col("speaker_id")), label_in(F.col("text"))).alias("speaker"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
-        (F.col(received).cast("double") if received else F.lit(0.0)).alias("received"),
+        (F.coalesce(F.col(received).cast("double"), F.lit(float("inf"))) if received else F.lit(0.0)).alias("received"),
         *([F.array_join(F.regexp_extract_all(text, F.lit(f"({WORD})")), " ").alias("words")] if keep_text else []),
     )
     first = lambda c: F.min_by(c, "received").alias(c)
@@ -73,7 +73,8 @@ def speaker_turns(
     """Clean turns of a stream of transcript rows.
 
     Takes conv_id, seq, speaker_id, text and the column `start` (seconds); `received`, if given,
-    tells deliveries of the same (conv_id, seq) apart, of which the first counts.  Gives conv_id,
+    tells deliveries of the same (conv_id, seq) apart, of which the first counts, one without a time
+    last, and any one of those at the same time.  Gives conv_id,
     speaker ('A', 'B'), first_seq, n_words, started (seconds) and, if wanted, text.
 
     Rows of a call are taken by (start, seq).  A null start counts as 0.  Null and empty texts and
