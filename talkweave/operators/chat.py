@@ -44,20 +44,20 @@ def gibberish_reason(text: Column) -> Column:
     )
 
 
-def turn_reason(text: Column) -> Column:
-    """The first rule a turn breaks, null if none; the order of the rules matters."""
-    t = stripped(text)
-    long = too_long(t, 400, 600)
-    return (
-        F.when(t == "", "empty")
-        .when(~t.rlike(r"[\p{L}\p{N}]"), "only_symbols")
-        .when(code_reason(t).isNotNull(), code_reason(t))
-        .when(text.contains("```"), "contains_markdown_code")
-        .when(text.rlike(r"\$|\\frac|\\sum|\\int|\\sqrt"), "contains_math")
-        .when(long.isNotNull(), F.concat(long, F.lit("_too_long")))
-        .when(gibberish_reason(t).isNotNull(), gibberish_reason(t))
-        .when(text.startswith("System\nYou are") | text.startswith("User\n"), "prompt_leakage")
+def turn_reasons(turns: DataFrame) -> DataFrame:
+    """Adds why: the first rule a turn breaks, null if none; the order of the rules matters."""
+    t, text = F.col("_t"), F.col("value")
+    why = F.coalesce(
+        F.when(t == "", "empty"),
+        F.when(~t.rlike(r"[\p{L}\p{N}]"), "only_symbols"),
+        code_reason(t),
+        F.when(text.contains("```"), "contains_markdown_code"),
+        F.when(text.rlike(r"\$|\\frac|\\sum|\\int|\\sqrt"), "contains_math"),
+        F.concat(too_long(t, 400, 600), F.lit("_too_long")),
+        gibberish_reason(t),
+        F.when(text.startswith("System\nYou are") | text.startswith("User\n"), "prompt_leakage"),
     )
+    return turns.withColumn("_t", stripped(text)).withColumn("why", why).drop("_t")
 
 
 def spoken_reason(text: Column) -> Column:
@@ -73,34 +73,41 @@ def role_kind(role: Column) -> Column:
     return F.when(r.isin("human", "user", "用户"), "user").when(r == "system", "system").otherwise("bot")
 
 
-def structure_reasons(turns: DataFrame) -> DataFrame:
-    """Per conversation: the first way in which its roles do not alternate from the user on, null if they do."""
+def _with_wrong(turns: DataFrame) -> DataFrame:
+    """Adds wrong: how a turn's role breaks the order of its conversation."""
     order = W.partitionBy("id").orderBy("turn")
-    past = order.rowsBetween(W.unboundedPreceding, -1)
     kind = role_kind(F.col("role"))
     talk = F.when(kind != "system", kind)
-    last = F.last(talk, ignorenulls=True).over(past)
+    last = F.last(talk, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     wrong = (
         F.when((kind == "system") & F.lag("turn").over(order).isNotNull(), "system_prompt_in_middle")
         .when(talk.isNotNull() & last.isNull() & (talk != "user"), "start_with_bot")
         .when(talk == last, F.concat(F.lit("consecutive_"), talk))
     )
-    raw = F.lower("role")
-    return (
-        turns.withColumn("wrong", wrong)
-        .groupBy("id")
-        .agg(
-            F.count_distinct(F.when(raw != "system", raw)).alias("roles"),
-            F.min_by("wrong", F.when(F.col("wrong").isNotNull(), F.col("turn"))).alias("wrong"),
-        )
-        .select("id", F.when(F.col("roles") < 2, "single_role").otherwise(F.col("wrong")).alias("reason"))
-    )
+    return turns.withColumn("wrong", wrong)
+
+
+def _first(column: str) -> Column:
+    return F.min_by(column, F.when(F.col(column).isNotNull(), F.col("turn")))
+
+
+def structure_reasons(turns: DataFrame) -> DataFrame:
+    """Per conversation: the first way in which its roles do not alternate from the user on, null if they do."""
+    return _with_wrong(turns).groupBy("id").agg(_n_roles().alias("roles"), _first("wrong").alias("wrong")).select("id", _structure().alias("reason"))
+
+
+def _n_roles() -> Column:
+    return F.size(F.collect_set(F.when(F.lower("role") != "system", F.lower("role"))))
+
+
+def _structure() -> Column:
+    return F.when(F.col("roles") < 2, "single_role").otherwise(F.col("wrong"))
 
 
 def dialogue_reasons(turns: DataFrame) -> DataFrame:
     """Per conversation why it is rejected: its structure, else its first bad turn; null if it is kept."""
-    bad = turns.withColumn("why", turn_reason(F.col("value"))).groupBy("id").agg(F.min_by("why", F.when(F.col("why").isNotNull(), F.col("turn"))).alias("why"))
-    return structure_reasons(turns).join(bad, "id").select("id", F.coalesce("reason", "why").alias("reason"))
+    both = turn_reasons(_with_wrong(turns)).groupBy("id").agg(_n_roles().alias("roles"), _first("wrong").alias("wrong"), _first("why").alias("why"))
+    return both.select("id", F.coalesce(_structure(), "why").alias("reason"))
 
 
 def top_and_other(counts: DataFrame, name: str, n: str, k: int) -> DataFrame:

@@ -130,7 +130,8 @@ def label_segments(stretches: DataFrame) -> DataFrame:
     """Turn-taking labels T, C, P, G, BC, IF, IB and the initiator of each stretch."""
     order = W.partitionBy("conv_id").orderBy("start")
     past = order.rowsBetween(W.unboundedPreceding, -1)
-    future = order.rowsBetween(1, W.unboundedFollowing)
+    # what follows, read backwards: a frame that only grows is one running value, the other way round it is not
+    future = W.partitionBy("conv_id").orderBy(F.desc("start")).rowsBetween(W.unboundedPreceding, -1)
     n = F.col("n0") + F.col("n1")
     first_spk = F.when(F.col("n0") > 0, 0).when(F.col("n1") > 0, 1)
     solo = F.when((F.col("n0") > 0) != (F.col("n1") > 0), first_spk)
@@ -156,7 +157,7 @@ def label_segments(stretches: DataFrame) -> DataFrame:
     around = first_pass.select(
         "*",
         F.lag("l1").over(order).alias("prev"), F.lead("l1").over(order).alias("next"),
-        F.last(speech, ignorenulls=True).over(past).alias("p"), F.first(speech, ignorenulls=True).over(future).alias("f"),
+        F.last(speech, ignorenulls=True).over(past).alias("p"), F.last(speech, ignorenulls=True).over(future).alias("f"),
     )
     label = (
         F.when(F.col("l1") == "NA", F.when((F.col("next") == "T") & ~F.coalesce(F.col("prev") == "I", F.lit(False)), "G").otherwise("P"))
@@ -212,10 +213,16 @@ def segment_texts(words: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def label_stats(segments: DataFrame) -> DataFrame:
-    """Per call and label, and per label over all calls (conv_id null): segments and their duration."""
+def label_stats(segments: DataFrame, *keys: str) -> DataFrame:
+    """Segments and their duration per label, and per other keys if given."""
     length = F.greatest(F.lit(0), F.col("end") - F.col("start"))
-    return segments.rollup("label", "conv_id").agg(F.count("*").alias("n"), F.sum(length).alias("units"), F.grouping_id().alias("g")).where("g < 2").drop("g")
+    return segments.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.sum(length).alias("units"))
+
+
+def label_stats_rolled_up(segments: DataFrame) -> DataFrame:
+    """Per call and label, and per label over all calls (conv_id null): the latter summed from the former."""
+    each = label_stats(segments, "conv_id")
+    return each.rollup("label", "conv_id").agg(F.sum("n").alias("n"), F.sum("units").alias("units"), F.grouping_id().alias("g")).where("g < 2").drop("g")
 
 
 def clip_small_overlaps(words: DataFrame, most: int = SMALL_OVERLAP) -> DataFrame:

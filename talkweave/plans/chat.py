@@ -31,7 +31,7 @@ def gibberish(spark, folder):
 
 
 def chat_content_reason(spark, folder):
-    return turns(spark, folder).select("id", "turn", C.turn_reason(F.col("value")).alias("reason"))
+    return C.turn_reasons(turns(spark, folder)).select("id", "turn", F.col("why").alias("reason"))
 
 
 def chat_structure_reason(spark, folder):

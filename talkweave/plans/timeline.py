@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from talkweave.functions.text import speaker_index
 from talkweave.functions.vocab import BACKCHANNELS, LABELS
@@ -47,18 +47,22 @@ def segment_texts(spark, folder):
 
 
 def event_dialogue_stats(spark, folder):
-    return T.label_stats(segments(spark, folder)).where("conv_id IS NOT NULL").select("conv_id", "label", "n", "units")
+    return T.label_stats(segments(spark, folder), "conv_id").select("conv_id", "label", "n", "units")
+
+
+def event_rollup(spark, folder):
+    return T.label_stats_rolled_up(segments(spark, folder)).select("conv_id", "label", "n", "units")
 
 
 def event_label_stats(spark, folder):
     """Every label with its count, duration, events a minute and share of the time; labels not seen count 0."""
-    seen = T.label_stats(segments(spark, folder)).where("conv_id IS NULL").select("label", "n", "units")
+    seen = T.label_stats(segments(spark, folder))
     every = spark.createDataFrame([(x,) for x in LABELS], "label string")
-    total = seen.agg(F.sum("units").alias("total"))
     n, u = F.coalesce("n", F.lit(0)), F.coalesce("units", F.lit(0))
-    rate = lambda x: F.round(F.coalesce(F.try_divide(x.cast("double"), F.col("total").cast("double")), F.lit(0.0)), 9)
-    # one row of a global aggregate beside seven labels
-    return every.join(F.broadcast(seen), "label", "left").join(F.broadcast(total)).select("label", n.alias("n"), u.alias("units"), rate(n * 600000).alias("per_minute"), rate(u * 100).alias("share"))
+    rows = every.join(F.broadcast(seen), "label", "left").select("label", n.alias("n"), u.alias("units"))  # seven rows on either side
+    total = F.sum("units").over(W.partitionBy(F.lit(0)))
+    rate = lambda x: F.round(F.coalesce(F.try_divide(x.cast("double"), total.cast("double")), F.lit(0.0)), 9)
+    return rows.select("label", "n", "units", rate(F.col("n") * 600000).alias("per_minute"), rate(F.col("units") * 100).alias("share"))
 
 
 def tape_floor(spark, folder):
@@ -91,13 +95,13 @@ def interpolate(spark, folder):
 def segment_table_stats(spark, folder):
     """The same statistics over the stored segments, whose labels come in any case and padding."""
     s = table(spark, folder, "segments").select("conv_id", F.upper(F.trim("label")).alias("label"), "start", "end").where("start IS NOT NULL AND end IS NOT NULL AND label IS NOT NULL").distinct()
-    return T.label_stats(s).where("conv_id IS NOT NULL").select("conv_id", "label", "n", "units")
+    return T.label_stats(s, "conv_id").select("conv_id", "label", "n", "units")
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        end_repair, asr_words, ipu_table, ipu_backchannel_semi, ipu_activity, event_segments, segment_texts, event_dialogue_stats, event_label_stats,
+        end_repair, asr_words, ipu_table, ipu_backchannel_semi, ipu_activity, event_segments, segment_texts, event_dialogue_stats, event_rollup, event_label_stats,
         tape_floor, clip_small_overlap, asr_merge, speaker_runs, interpolate, segment_table_stats,
     )
 }
@@ -191,6 +195,7 @@ SQL = {
       coalesce(string_agg(x.text, ' ' ORDER BY x.s, x.seq) FILTER (WHERE x.spk = 1), '') AS text1
       FROM seg g JOIN w x ON x.conv_id = g.conv_id AND g.start <= x.s AND x.s < g."end" GROUP BY g.conv_id, g.start, g."end" """,
     "event_dialogue_stats": SEGMENTS + ' SELECT conv_id, label, count(*) AS n, CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS units FROM seg GROUP BY conv_id, label',
+    "event_rollup": SEGMENTS + ' SELECT conv_id, label, count(*) AS n, CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS units FROM seg GROUP BY GROUPING SETS ((conv_id, label), (label))',
     "event_label_stats": SEGMENTS + """, tot AS (SELECT CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS total FROM seg),
       agg AS (SELECT label, count(*) AS n, CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS units FROM seg GROUP BY label)
       SELECT l.label, coalesce(n, 0) AS n, coalesce(units, 0) AS units,
