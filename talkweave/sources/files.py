@@ -107,7 +107,8 @@ def chats(spark: SparkSession, path: str) -> DataFrame:
 def json_lines(spark: SparkSession, path: str, schema: T.StructType = TASK) -> DataFrame:
     """JSON Lines; lines that are no JSON are left out."""
     lenient = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    return spark.read.schema(lenient).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad IS NULL").drop("_bad")
+    parsed = F.from_json("value", lenient, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("x")).where("x._bad IS NULL").select(*[f"x.{f.name}" for f in schema.fields])
 
 
 def completed_ids(spark: SparkSession, path: str, key: str = "task_id") -> DataFrame:
