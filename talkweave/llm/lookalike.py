@@ -144,6 +144,9 @@ def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     )
     mixed = hashed.groupBy("c0", "c1").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("c0", "c1")
     members = hashed.join(mixed, ["c0", "c1"], "left_semi").distinct()
-    a, b = members.alias("a"), members.alias("b")
-    on = "a.c0 = b.c0 AND a.c1 = b.c1 AND a.own <> b.own AND a.id < b.id"
-    return a.join(b, F.expr(on)).select(F.col("a.id").alias(f"{key}_a"), F.col("b.id").alias(f"{key}_b")).distinct()
+    # texts meet once each, whatever the number of their copies; only then the copies' ids are put in
+    texts = members.select("c0", "c1", "own").distinct()
+    met = texts.alias("a").join(texts.alias("b"), F.expr("a.c0 = b.c0 AND a.c1 = b.c1 AND a.own < b.own")).select("a.c0", "a.c1", F.col("a.own").alias("own_a"), F.col("b.own").alias("own_b"))
+    side = lambda n: members.select("c0", "c1", F.col("own").alias(f"own_{n}"), F.col("id").alias(f"id_{n}"))
+    pairs = met.join(side("a"), ["c0", "c1", "own_a"]).join(side("b"), ["c0", "c1", "own_b"]).where("id_a <> id_b")
+    return pairs.select(F.least("id_a", "id_b").alias(f"{key}_a"), F.greatest("id_a", "id_b").alias(f"{key}_b")).distinct()
