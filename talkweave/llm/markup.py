@@ -174,7 +174,7 @@ _SPANS = [
     re.compile(r"(~~)(?=\S)([^~]*?\S)~~"),
     re.compile(r"(?<!`)(`{1,2})(?=[^`\s])([^`\n]*?[^`])\1(?!`)"),
     re.compile(r"(?<!')('{2,5})(?=[^'\s])([^\n]*?[^'\s])\1(?!')"),
-    re.compile(r"(``)([^`'\n]+?)''"),
+    re.compile(r"(``)((?:[^`'\n]|'(?!'))+?)''"),
 ]
 _CJK = "\u3400-\u9fff"
 #: Beside Chinese a mark needs no blank or punctuation around it.
