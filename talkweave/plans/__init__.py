@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["intervals", "timeline", "chat", "tape", "trainset", "metrics", "joins", "streaming", "synthetic"]
+MODULES = ["intervals", "timeline", "chat", "tape", "trainset", "metrics", "joins", "streaming", "synthetic", "alignment"]
 
 
 def collected(kind: str) -> dict:
