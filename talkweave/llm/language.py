@@ -45,23 +45,28 @@ LEXICON = {
     "when your can said there use an each which she do how their if will up other about out many then them these so some her would make like "
     "him into time has look two more write go see no way could people my than first been who its now find long down day did get come made may "
     "part sorry cannot can't won't unable i'm i'd i'll it's don't please thanks thank sure yes ok okay good maybe next week help answer question "
-    "because although since until every after before during sounds great request information here must rather",
+    "because although since until every after before during sounds great request information here must rather "
+    "language assistant topic off limits allowed discuss falls outside guidelines comply decline comfortable responding against possible answering",
     "de": "der die das und in zu den ist nicht von sie mit sich auf für eine im dem auch als es an werden aus er hat dass nach wird bei einer um "
     "am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde ihr ihre ich du wir mir mich uns kann "
     "können möchte möchten leider bitte danke nein ja gut vielleicht nächste woche frage antwort helfen entschuldigung weil obwohl seit jeden "
-    "dazu darauf darüber etwas anderes andere muss ablehnen dürfen klingt kein keine heute geöffnet ihnen meine mein gegen",
+    "dazu darauf darüber etwas anderes andere muss ablehnen dürfen klingt kein keine heute geöffnet ihnen meine mein gegen "
+    "assistent richtlinien verstößt bitten thema sprechen beantworten möglich auskunft verständnis jemand fragen ehrlich offen",
     "fr": "le la les de des du un une et à en est que qui dans pour pas ne sur se ce il elle au aux avec son sa ses plus par je tu nous vous mais "
     "ou où leur lui y tout cette cet ces comme être avoir fait faire même si sans après avant été mon ma mes votre vos notre peux puis puisse "
     "désolé merci bien très oui non peut semaine prochaine question réponse aider regrette parce alors depuis chaque pendant malheureusement "
-    "d'accord c'est n'est j'ai je ne suis autre chose souhaitez parler dois honnête aborder sujet demande quelque",
+    "d'accord c'est n'est j'ai je ne suis autre chose souhaitez parler dois honnête aborder sujet demande quelque "
+    "m'est interdit cela serait contraire consignes impossible donner renseignement assistant vocal refuser veuillez adresser quelqu'un d'autre",
     "es": "el la los las de del un una y en es que a por con para no se lo su sus al como más pero le ya o este sí porque esta entre cuando muy "
     "sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos "
     "qué unos yo otro otra puedo puede quiere hablar cosa siento lamento gracias bien vale mañana semana pregunta respuesta ayudar "
-    "lamentablemente imposible información esa aunque según usted mi tengo debo petición asunto dude hacerme quizás martes está",
+    "lamentablemente imposible información esa aunque según usted mi tengo debo petición asunto dude hacerme quizás martes está "
+    "asistente voz soy capaz responder persona pregunte rechazar normas iría vedado resulta darle ayudarle prefiero tema sincero todavía",
     "pt": "o a os as de do da dos das um uma e em no na nos nas que é por com para não se ao mais como mas foi ele ela seu sua ou ser quando muito "
     "há já está eu também só pelo pela até isso entre era depois sem mesmo aos ter seus quem me esse eles você essa num numa nem suas meu minha "
     "às têm posso pode quer falar coisa desculpe sinto obrigado obrigada bem sim talvez amanhã semana pergunta resposta ajudar infelizmente "
-    "impossível informação embora porque outra outro ainda devo pedido assunto lamento terças hoje estou este",
+    "impossível informação embora porque outra outro ainda devo pedido assunto lamento terças hoje estou este "
+    "assistente voz consigo responder pessoa pergunte recusar orientações iria vedado possível dar-lhe prefiro tema honesto fique vontade fazer",
 }
 
 _WORD = re.compile(r"[㐀-鿿豈-﫿]+|[^\W\d_㐀-鿿豈-﫿]+(?:['’][^\W\d_]+)*")
@@ -92,7 +97,7 @@ def features(word: str) -> list[int]:
     """Hashed features of a word: itself, its affixes, its 3-grams; for Chinese its characters."""
     w = word.lower()
     if _HAN.match(w):
-        names = ["h"] + [f"h{c}" for c in w[:8]]
+        names = ["h0", "h1", "h2", "h3", *(f"h{c}" for c in w[:8])]  # the script tells most
     else:
         b = f"^{w}$"
         names = [f"w{w}", *(f"p{w[:k]}" for k in (1, 2, 3)), *(f"s{w[-k:]}" for k in (1, 2, 3, 4)), *(f"g{b[k : k + 3]}" for k in range(len(b) - 2))]
@@ -104,15 +109,28 @@ class Field:
 
     def __init__(self, labels: list[str], weights: np.ndarray, steps: np.ndarray):
         self.labels, self.weights, self.steps = labels, weights, steps
-        self._kept: dict[str, np.ndarray] = {}
-
-    def emission(self, word: str) -> np.ndarray:
-        e = self._kept.get(word)
-        if e is None:
-            if len(self._kept) > 200_000:
-                self._kept.clear()
-            e = self._kept[word] = self.weights[features(word)].sum(0)
-        return e
+        self._forget()
+
+    def _forget(self) -> None:
+        self._place: dict[str, int] = {}
+        self._table = np.empty((1024, len(self.labels)), dtype=np.float32)
+
+    def emissions(self, words: list[str]) -> np.ndarray:
+        """Scores of each word for each label; those of words seen before are looked up."""
+        if len(self._place) > 200_000:
+            self._forget()
+        place = self._place
+        for w in words:
+            if w not in place:
+                k = place[w] = len(place)
+                if k >= len(self._table):
+                    self._table = np.concatenate([self._table, np.empty_like(self._table)])
+                self._table[k] = self.weights[features(w)].sum(0)
+        return self._table[[place[w] for w in words]] if words else np.empty((0, len(self.labels)), dtype=np.float32)
+
+    def vote(self, words: list[str]) -> int | None:
+        """The label of the greatest sum of scores, by words alone; None without words."""
+        return int(self.emissions(words).sum(0).argmax()) if words else None
 
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words, the probability of each label at each word."""
@@ -125,12 +143,9 @@ class Field:
                 n += 1
             rows = order[k:n]
             length = max(1, len(texts[rows[-1]]))
-            e = np.zeros((len(rows), length, len(self.labels)))
-            mask = np.zeros((len(rows), length), dtype=bool)
-            for r, i in enumerate(rows):
-                if texts[i]:
-                    e[r, : len(texts[i])] = [self.emission(w) for w in texts[i]]
-                    mask[r, : len(texts[i])] = True
+            e = np.zeros((len(rows), length, len(self.labels)), dtype=np.float32)
+            mask = np.arange(length) < np.array([len(texts[i]) for i in rows])[:, None]
+            e[mask] = self.emissions([w for i in rows for w in texts[i]])
             p, _ = forward_backward(e, mask, self.steps)
             for r, i in enumerate(rows):
                 out[i] = p[r, : len(texts[i])]
@@ -144,28 +159,29 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, steps: np.ndarray, pairs:
     Emissions and transitions are logarithms; places outside the mask take no part.
     """
     b, n, c = e.shape
-    x = np.exp(np.clip(e - e.max(-1, keepdims=True), -60, 0))
+    x = np.exp(np.clip(e - e.max(-1, keepdims=True), -30, 0))
     t = np.exp(steps - steps.max())
-    fwd, bwd = np.empty((b, n, c)), np.ones((b, n, c))
+    fwd, bwd = np.empty((b, n, c), dtype=x.dtype), np.ones((b, n, c), dtype=x.dtype)
+    t, tiny = t.astype(x.dtype), np.finfo(x.dtype).tiny
     a = x[:, 0] / x[:, 0].sum(-1, keepdims=True)
     fwd[:, 0] = a
     for k in range(1, n):
         new = (a @ t) * x[:, k]
-        a = np.where(mask[:, k, None], new / np.maximum(new.sum(-1, keepdims=True), 1e-300), a)
+        a = np.where(mask[:, k, None], new / np.maximum(new.sum(-1, keepdims=True), tiny), a)
         fwd[:, k] = a
-    z = np.ones((b, c))
+    z = np.ones((b, c), dtype=x.dtype)
     for k in range(n - 2, -1, -1):
         new = (z * x[:, k + 1]) @ t.T
-        z = np.where(mask[:, k + 1, None], new / np.maximum(new.sum(-1, keepdims=True), 1e-300), 1.0)
+        z = np.where(mask[:, k + 1, None], new / np.maximum(new.sum(-1, keepdims=True), tiny), 1.0)
         bwd[:, k] = z
     p = fwd * bwd
-    p /= np.maximum(p.sum(-1, keepdims=True), 1e-300)
+    p /= np.maximum(p.sum(-1, keepdims=True), tiny)
     if not pairs:
         return p, None
     total = np.zeros((c, c))
     for k in range(1, n):
         q = fwd[:, k - 1, :, None] * t[None] * (x[:, k] * bwd[:, k])[:, None, :]
-        q /= np.maximum(q.sum((1, 2), keepdims=True), 1e-300)
+        q /= np.maximum(q.sum((1, 2), keepdims=True), tiny)
         total += q[mask[:, k]].sum(0)
     return p, total
 

@@ -361,10 +361,17 @@ def _drop_furniture(page: Page) -> None:
         page.seen.add("inline")
 
 
+#: A text without any of these has no markup (a regular expression for Java and Python alike).
+MAYBE = r"(?m)[<>&`*_#\\$\[\]{}|=^]|~~|''|^[ \t]*(?:[-+•]|\d+[.)])[ \t]|-{3}|Copy code"
+_MAYBE = re.compile(MAYBE)
+
+
 def convert(text: str | None) -> tuple[str, list[str]]:
     """The clean text, and the elements its markup expresses: STRUCTURE kinds, else "inline", else none."""
     if not text:
         return "", []
+    if not _MAYBE.search(text):
+        return re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", text)).strip(), []
     page = Page(text.replace("\x00", " ").replace("\x01", " ").replace("\r\n", "\n"))
     _lift_code(page)
     if _ENTITY.search(page.text):
@@ -381,10 +388,6 @@ def convert(text: str | None) -> tuple[str, list[str]]:
     return clean, found or (["inline"] if "inline" in page.seen else [])
 
 
-#: A text without any of these has no markup (Java regular expression).
-MAYBE = r"[<>&`*_#\\$\[\]{}|=^]|~~|''|(?m)^[ \t]*(?:[-+•]|\d+[.)])[ \t]|-{3}|Copy code"
-
-
 def clean_markup(text: Column) -> Column:
     """struct(text, elements) of a text column; texts without any sign of markup stay in the JVM.
 

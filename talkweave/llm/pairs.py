@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from talkweave.llm.language import Field, _NO_LANGUAGE, segments_of
+from talkweave.llm.language import Field, segments_of, sentences
 from talkweave.llm.markup import convert, first_delivery
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
@@ -242,9 +242,9 @@ def _sized(segments: list) -> dict[str, int]:
 def defects(prompts: list[str | None], responses: list[str | None], field: Field) -> list[str | None]:
     """The defect of each pair, or None; the first that holds of DEFECTS."""
     clean_p, clean_r = ([convert(t)[0] for t in ts] for ts in (prompts, responses))
-    seg_p, seg_r = segments_of(clean_p, field), segments_of(clean_r, field)
     out: list[str | None] = []
-    for raw, p, r, sp, sr in zip(responses, clean_p, clean_r, seg_p, seg_r):
+    unlike: list[int] = []
+    for k, (raw, p, r) in enumerate(zip(responses, clean_p, clean_r)):
         bare = re.sub(r"\[[SC]\.[A-Z.]+\]|<(?:SIL|interlocutor)>", " ", r)
         if not re.search(r"[^\W_]", bare):
             out.append("empty")
@@ -255,11 +255,19 @@ def defects(prompts: list[str | None], responses: list[str | None], field: Field
         elif is_truncated(raw or "", bare.strip()):
             out.append("truncated")
         else:
-            mine, theirs = _sized(sr), _sized(sp)
-            main = max(mine, key=mine.get, default=None)
-            enough = main is not None and mine[main] >= (6 if main == "zh" else 4) and max((x[1] for x in sr if x[0] == main), default=0) >= 0.7
-            asked = enough and re.search(ASKED[main], p, re.I)
-            out.append("other_language" if enough and theirs and not mine.keys() & theirs.keys() and not asked else None)
+            out.append(None)
+            # most words of either in one language: there is a sentence in it, and nothing more to ask
+            votes = [field.vote([w for s in sentences(t) for w in s]) for t in (p, r)]
+            if None not in votes and votes[0] != votes[1]:
+                unlike.append(k)
+    found = zip(unlike, *(segments_of([c[k] for k in unlike], field) for c in (clean_p, clean_r)))
+    for k, sp, sr in found:
+        mine, theirs = _sized(sr), _sized(sp)
+        main = max(mine, key=mine.get, default=None)
+        enough = main is not None and mine[main] >= (6 if main == "zh" else 4) and max((x[1] for x in sr if x[0] == main), default=0) >= 0.7
+        asked = enough and re.search(ASKED[main], clean_p[k], re.I)
+        if enough and theirs and not mine.keys() & theirs.keys() and not asked:
+            out[k] = "other_language"
     return out
 
 
