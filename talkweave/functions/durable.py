@@ -25,3 +25,11 @@ def small(df: DataFrame, bound: int) -> list[Row]:
     if len(rows) > bound:
         raise ValueError(f"a table taken to the driver has more than {bound} rows")
     return rows
+
+
+def once(udf):
+    """A user-defined function that is not computed again for each filter and column that uses its result.
+
+    A filter on the result would otherwise be moved below it with a call of its own.
+    """
+    return udf.asNondeterministic()

@@ -209,6 +209,14 @@ def first_speakers(entries: DataFrame, key: str) -> DataFrame:
     return first.select(key, F.when(F.col("token").startswith(INTERLOCUTOR), "assistant").otherwise("user").alias("role"))
 
 
+def sample_roles(samples: DataFrame, conversation: str, order: str) -> DataFrame:
+    """Roles of the samples of a conversation, of which the first keeps its `role` and the others take turns with it."""
+    w = W.partitionBy(conversation).orderBy(order)
+    first, odd = F.first("role").over(w.rowsBetween(W.unboundedPreceding, 0)), F.pmod(F.row_number().over(w), F.lit(2)) == 1
+    opposite = F.when(first == "assistant", "user").otherwise("assistant")
+    return samples.withColumn("_r", F.when(odd, first).otherwise(opposite)).drop("role").withColumnRenamed("_r", "role")
+
+
 def readable(entries: DataFrame, key: str) -> DataFrame:
     """A tape as text for people, a new line before every switching token."""
     shown = F.when(F.col("token").startswith("[S."), F.concat(F.lit("\n"), F.col("token"))).otherwise(F.col("token"))

@@ -51,6 +51,13 @@ def first_speaker_role(spark, folder):
     return P.first_speakers(entries(spark, folder), "id")
 
 
+def sample_roles(spark, folder):
+    """Two samples of every chat, one for each view: who is to be learned from which."""
+    roles = P.first_speakers(entries(spark, folder), "id")
+    both = roles.select("id", "role", F.explode(F.array(F.lit("A_to_B"), F.lit("B_to_A"))).alias("direction"))
+    return P.sample_roles(both, "id", "direction").select("id", "direction", "role")
+
+
 def _ids(spark, folder):
     return table(spark, folder, "conversation_turn").select("id").distinct()
 
@@ -93,7 +100,7 @@ def readable_tape(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (tape_rules, boundary_merge, tape_validity, word_segments, first_speaker_role, split_counts, resample, resample_down, strided_shard, per_reason_cap, forced_probes, dialogue_history, readable_tape)
+    for f in (tape_rules, boundary_merge, tape_validity, word_segments, first_speaker_role, sample_roles, split_counts, resample, resample_down, strided_shard, per_reason_cap, forced_probes, dialogue_history, readable_tape)
 }
 
 _CUT = "chr(31)"  # texts may hold the bar that stands between shown entries
@@ -112,6 +119,8 @@ SQL = {
       SELECT id, min(pos) FILTER (WHERE (token IN ('[S.SPEAK]', '[C.LISTEN]') AND st <> 'L') OR ((token = '[C.SPEAK]' OR starts_with(token, '[S.LISTEN')) AND st <> 'S')
         OR (starts_with(token, '<interlocutor>') AND starts_with(b, '<interlocutor>')) OR (token IN {_TR} AND b IN {_TR})) AS first_bad FROM s GROUP BY id""",
     "first_speaker_role": ENTRIES + f" SELECT id, CASE WHEN starts_with(arg_min(token, pos), '<interlocutor>') THEN 'assistant' ELSE 'user' END AS role FROM en WHERE token NOT IN {_TR} AND NOT contains(token, '<SIL>') GROUP BY id",
+    "sample_roles": ENTRIES + f""", f AS (SELECT id, starts_with(arg_min(token, pos), '<interlocutor>') AS heard FROM en WHERE token NOT IN {_TR} AND NOT contains(token, '<SIL>') GROUP BY id)
+      SELECT id, direction, CASE WHEN heard = (direction = 'A_to_B') THEN 'assistant' ELSE 'user' END AS role FROM f, (VALUES ('A_to_B'), ('B_to_A')) d(direction)""",
     "split_counts": _RANK.format(seed=42) + """ SELECT id, rank, CASE WHEN rank < total - floor(total * 0.2) - floor(total * 0.1) THEN 'train' WHEN rank < total - floor(total * 0.2) THEN 'val' ELSE 'test' END AS split FROM r""",
     "resample": _RANK.format(seed=11) + " SELECT id, CAST(unnest(range(1, CAST(3 + CASE WHEN rank < floor(total * 2.5) - total * 2 THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) AS copy FROM r",
     "resample_down": _RANK.format(seed=13) + " SELECT id FROM r WHERE rank < floor(total * 0.25)",
