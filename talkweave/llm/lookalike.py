@@ -18,6 +18,8 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from talkweave.functions.durable import checkpointed, once
+
 # Letters of other scripts that are drawn like Latin ones (Unicode confusables).
 LATIN_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P",
@@ -122,7 +124,7 @@ def consistent_form(text: Column) -> Column:
             yield s.map(lambda x: None if x is None else consistent(x, compiled[0]))
 
     unstable = F.when(text.rlike(java_pattern()), text)
-    return F.coalesce(normalized(unstable), text)
+    return F.coalesce(once(normalized)(unstable), text)
 
 
 def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,6 +144,7 @@ def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         F.xxhash64("form", seeds[1]).alias("c1"),
         F.xxhash64("text").alias("own"),
     )
+    hashed = checkpointed(hashed)  # both uses below read it; texts are normalized once
     mixed = hashed.groupBy("c0", "c1").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("c0", "c1")
     members = hashed.join(mixed, ["c0", "c1"], "left_semi").distinct()
     # texts meet once each, whatever the number of their copies; only then the copies' ids are put in
