@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from talkweave.functions.durable import once
 from talkweave.llm.lookalike import consistent, segment_pattern, unstable_ranges
 
 #: Labelled documents per language, and sentences per language, that the field is fitted on.
@@ -309,4 +310,4 @@ def language_segments(text: Column, field: Field) -> Column:
             found = segments_of(list(s), field)
             yield pd.Series([[{"lang": a, "confidence": b, "n_words": n, "words": w} for a, b, n, w in row] for row in found])
 
-    return labelled(F.coalesce(text, F.lit("")))
+    return once(labelled)(F.coalesce(text, F.lit("")))

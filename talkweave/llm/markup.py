@@ -23,6 +23,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from talkweave.functions.durable import once
+
 STRUCTURE = ("heading", "list", "code", "formula")
 
 # Names of HTML elements; other words in angle brackets, such as <SIL>, are no tags.
@@ -399,7 +401,7 @@ def clean_markup(text: Column) -> Column:
         for s in parts:
             yield pd.DataFrame([(None, None) if x is None else convert(x) for x in s], columns=["text", "elements"])
 
-    marked = converted(F.when(text.rlike(MAYBE), text))
+    marked = once(converted)(F.when(text.rlike(MAYBE), text))
     return F.struct(
         F.coalesce(marked["text"], F.trim(F.coalesce(text, F.lit("")))).alias("text"),
         F.coalesce(marked["elements"], F.array().cast("array<string>")).alias("elements"),

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from talkweave.functions.durable import once
 from talkweave.llm.language import Field, segments_of, sentences
 from talkweave.llm.markup import convert, first_delivery
 
@@ -310,4 +311,4 @@ def pair_defect(prompt: Column, response: Column, field: Field) -> Column:
         for p, r in parts:
             yield pd.Series(defects(list(p), list(r), field), dtype=object)
 
-    return found(prompt, response)
+    return once(found)(prompt, response)

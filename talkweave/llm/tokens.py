@@ -15,6 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from talkweave.functions.durable import once
+
 #: Rank file of the tokenizer, and the pattern that splits text before its merges.
 RANKS = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -65,4 +67,4 @@ def n_tokens(text: Column, path: str = RANKS) -> Column:
         for s in parts:
             yield s.map(count).astype("int64")
 
-    return sizes(F.coalesce(text, F.lit("")))
+    return once(sizes)(F.coalesce(text, F.lit("")))
