@@ -275,8 +275,8 @@ def defects(prompts: list[str | None], responses: list[str | None], field: Field
 def pairs_of(turns: DataFrame) -> DataFrame:
     """Pairs of a prompt and the response after it: id, turn of the response, prompt, response.
 
-    A prompt is a turn of the human or user, the response the turn numbered one more, of any role
-    but system.  Both meet by (id, turn), so a chat of any length is spread; a skipped number makes
+    A prompt is a turn of the human or user, the response the turn numbered one more, of any other
+    role but system: a second turn of the human's is no response.  Both meet by (id, turn), so a chat of any length is spread; a skipped number makes
     no pair; repeated deliveries count once.
     """
     one = first_delivery(turns.where("id IS NOT NULL AND turn IS NOT NULL"), "role", "value")
@@ -285,7 +285,7 @@ def pairs_of(turns: DataFrame) -> DataFrame:
         "id",
         F.explode(
             F.array(
-                F.struct(F.col("turn").alias("turn"), (who != "system").alias("answers"), F.lit(False).alias("asks"), F.col("value").alias("response"), F.lit(None).cast("string").alias("prompt")),
+                F.struct(F.col("turn").alias("turn"), (~who.isin("human", "user", "system")).alias("answers"), F.lit(False).alias("asks"), F.col("value").alias("response"), F.lit(None).cast("string").alias("prompt")),
                 F.struct((F.col("turn") + 1).alias("turn"), F.lit(False).alias("answers"), who.isin("human", "user").alias("asks"), F.lit(None).cast("string").alias("response"), F.col("value").alias("prompt")),
             )
         ).alias("s"),

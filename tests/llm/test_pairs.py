@@ -51,11 +51,11 @@ def test_pairs(spark, field):
     schema = "id string, turn int, role string, value string, lang string, ingested_at timestamp_ntz, prompt string, answers string"
     rows = [
         ("a", 0, "Human", Q), ("a", 1, "gpt", "The baker on the corner carries"), ("a", 1, "gpt", "The baker on the corner carries"), ("a", 2, "USER", Q), ("a", 4, "gpt", "x"),
-        ("b", 0, "user", None), ("b", 1, "system", "x"), ("c", 0, "human", Q), ("c", 1, "human", Q), ("c", 2, None, ""), ("d", 0, None, Q), ("d", 1, "gpt", ""), (None, 0, "user", Q), ("e", None, "user", Q),
+        ("b", 0, "user", None), ("b", 1, "system", "x"), ("c", 0, "human", Q), ("c", 1, "human", Q), ("c", 2, None, ""), ("f", 0, "human", Q), ("f", 1, "bot", Q), ("d", 0, None, Q), ("d", 1, "gpt", ""), (None, 0, "user", Q), ("e", None, "user", Q),
     ]
     from datetime import datetime, timedelta
 
     df = spark.createDataFrame([(*r, None, datetime(2024, 1, 1) + timedelta(days=k), "p", "q") for k, r in enumerate(rows)], schema)
     got = {(r.id, r.turn): r.d for r in P.pairs_of(df).select("id", "turn", P.pair_defect(F.col("prompt"), F.col("response"), field).alias("d")).collect()}
-    assert got == {("a", 1): "truncated", ("c", 1): "copy", ("c", 2): "empty"}
+    assert got == {("a", 1): "truncated", ("f", 1): "copy", ("c", 2): "empty"}
     assert P.pairs_of(df.limit(0)).count() == 0
