@@ -263,7 +263,7 @@ def defects(prompts: list[str | None], responses: list[str | None], field: Field
                 unlike.append(k)
     found = zip(unlike, *(segments_of([c[k] for k in unlike], field) for c in (clean_p, clean_r)))
     for k, sp, sr in found:
-        mine, theirs = _sized(sr), _sized(sp)
+        mine, theirs = _sized(sr), _sized([x for x in sp if x[1] >= 0.8 or x[2] >= 4])  # a word or two of no sure language is none
         main = max(mine, key=mine.get, default=None)
         enough = main is not None and mine[main] >= (6 if main == "zh" else 4) and max((x[1] for x in sr if x[0] == main), default=0) >= 0.7
         asked = enough and re.search(ASKED[main], clean_p[k], re.I)
