@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from talkweave.functions.vocab import BACKCHANNELS, INTERLOCUTOR, SHORT_BACKCHANNEL, SILENCE, TRANSITIONS
 
-#: Character ranges of Chinese, Japanese and Korean writing.
+# Character ranges of Chinese, Japanese and Korean writing.
 CJK = (
     r"[\x{3300}-\x{33ff}\x{fe30}-\x{fe4f}\x{f900}-\x{faff}\x{2f800}-\x{2fa1f}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{2e80}-\x{2eff}"
     r"\x{4e00}-\x{9fff}\x{3400}-\x{4dbf}\x{20000}-\x{2a6df}\x{2a700}-\x{2b73f}\x{2b740}-\x{2b81f}\x{2b820}-\x{2ceaf}]"
@@ -74,6 +74,7 @@ def speaker_index(label: Column) -> Column:
 
 def clean_switchboard(text: Column) -> Column:
     """Word transcripts: cut-off letters kept, laughed words kept, tags, asides and variant marks dropped."""
+    # The marks of these transcripts.
     t = F.regexp_replace(text, r"(\S)\[(.*?)\]", "$1$2")
     t = F.regexp_replace(t, r"\[laughter-(.*?)\]", "$1")
     t = F.regexp_replace(t, r"\[.*?\]", " ")
@@ -83,6 +84,7 @@ def clean_switchboard(text: Column) -> Column:
 
 def clean_fisher(text: Column) -> Column:
     """Utterance transcripts: acronyms joined, [mn] spoken, unsure words kept, tags and broken words dropped; null if nothing is left."""
+    # The marks of these transcripts.
     t = F.replace(text, F.lit("._"), F.lit("."))
     t = F.replace(t, F.lit("[mn]"), F.lit(" mhm "))
     t = F.regexp_replace(t, r"\(\((.*?)\)\)", "$1")

@@ -58,6 +58,7 @@ def reason_of(task_id: Column) -> Column:
 
 def evaluation_mode(task: Column) -> Column:
     """The kind of evaluation a benchmark task is scored by; null for a task that is not known."""
+    # Names of tasks and of their evaluations.
     return (
         F.when(task.isin("candor_pause_handling", "synthetic_pause_handling"), "pause_handling").when(task == "candor_turn_taking", "smooth_turn_taking")
         .when(task == "icc_backchannel", "backchannel").when(task == "synthetic_user_interruption", "user_interruption")

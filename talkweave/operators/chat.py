@@ -69,6 +69,7 @@ def spoken_reason(text: Column) -> Column:
 
 def role_kind(role: Column) -> Column:
     """user, system, or bot for anything else."""
+    # Names of roles.
     r = F.lower(role)
     return F.when(r.isin("human", "user", "用户"), "user").when(r == "system", "system").otherwise("bot")
 
