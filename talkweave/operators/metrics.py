@@ -119,10 +119,11 @@ def interruption_metrics(dialogues: DataFrame, judged: DataFrame) -> DataFrame:
     """
     rates = dialogues.groupBy("kind").agg(*[(F.count_if(F.col("outcome") == o) / F.count("*")).alias(o) for o in ("mid", "end", "miss")])
     mid = (F.col("kind") == "MiU") & ~F.col("at_end")
-    pir = judged.agg(F.coalesce(F.avg(F.when(mid, F.col("score"))), F.lit(0.0)).alias("pir"), F.avg(F.when(mid, F.col("content"))).alias("prr"), F.avg(F.when(F.col("kind") == "UiM", F.col("score"))).alias("uim"))
+    means = judged.agg(F.coalesce(F.avg(F.when(mid, F.col("score"))), F.lit(0.0)).alias("pir"), F.avg(F.when(mid, F.col("content"))).alias("prr"), F.avg(F.when(F.col("kind") == "UiM", F.col("score"))).alias("uim"))
+    rates = rates.select("*", *[means.select(n).scalar().alias(n) for n in ("pir", "prr", "uim")])
     p, r = F.col("pir") * F.col("mid") + F.col("end"), 1 - F.col("miss")
     is_miu = F.col("kind") == "MiU"
-    named = rates.join(F.broadcast(pir)).select(  # two rows beside one
+    named = rates.select(
         F.explode(
             F.array(
                 F.struct(F.concat("kind", F.lit("_ir_mid")).alias("name"), F.col("mid").alias("value")),

@@ -41,8 +41,9 @@ def results(rows: DataFrame, path: str, id_column: str = "id") -> None:
 def chart_data(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
     """What a histogram draws: bin, from, to and count over the range of a numeric column."""
     ends = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    known = rows.where(F.col(column).isNotNull()).select(column, ends.select("lo").scalar().alias("lo"), ends.select("hi").scalar().alias("hi"))
     width = F.greatest((F.col("hi") - F.col("lo")) / bins, F.lit(1e-12))
-    placed = rows.select(column).where(F.col(column).isNotNull()).join(F.broadcast(ends)).withColumn("bin", F.least(F.floor((F.col(column) - F.col("lo")) / width), F.lit(bins - 1)))
+    placed = known.withColumn("bin", F.least(F.floor((F.col(column) - F.col("lo")) / width), F.lit(bins - 1)))
     return placed.groupBy("bin", "lo", width.alias("w")).agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("from"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("to"), "n")
 
 
