@@ -10,10 +10,9 @@ from talkweave.sources.tables import table
 
 
 def partner_semi(spark, folder):
-    """Calls whose callers also called each other the other way round."""
-    c = table(spark, folder, "call_meta").select("call_id", "caller_a", "caller_b").distinct().where("caller_a IS NOT NULL AND caller_b IS NOT NULL")
-    both = c.select(F.lit(0).alias("all"), (F.col("caller_a") % 50).alias("a"), (F.col("caller_b") % 50).alias("b")).distinct()
-    return J.both_directions(both, "all", "a", "b").select("a", "b")
+    """Calls whose callers also called each other the other way round; a call of a caller to itself is its own other way, a call without a caller has none."""
+    c = table(spark, folder, "call_meta").select("call_id", F.col("caller_a").alias("a"), F.col("caller_b").alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct()
+    return J.both_directions(c.withColumn("all", F.lit(0)), "all", "a", "b").select("call_id", "a", "b")
 
 
 def quality_left(spark, folder):
