@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from talkweave.functions.html import tags_to_lines
 from talkweave.functions.text import BLANK, has_cjk, is_meaningful, stripped
 from talkweave.functions.vocab import INTERLOCUTOR, SILENCE
 
@@ -45,19 +46,22 @@ def gibberish_reason(text: Column) -> Column:
 
 
 def turn_reasons(turns: DataFrame) -> DataFrame:
-    """Adds why: the first rule a turn breaks, null if none; the order of the rules matters."""
-    t, text = F.col("_t"), F.col("value")
+    """Adds why: the first rule a turn breaks, null if none; the order of the rules matters.
+
+    The rules see the text of a turn as html_to_text gives it, so a turn of markup alone is empty; value stays as it is.
+    """
+    t = F.col("_t")
     why = F.coalesce(
         F.when(t == "", "empty"),
         F.when(~t.rlike(r"[\p{L}\p{N}]"), "only_symbols"),
         code_reason(t),
-        F.when(text.contains("```"), "contains_markdown_code"),
-        F.when(text.rlike(r"\$|\\frac|\\sum|\\int|\\sqrt"), "contains_math"),
+        F.when(t.contains("```"), "contains_markdown_code"),
+        F.when(t.rlike(r"\$|\\frac|\\sum|\\int|\\sqrt"), "contains_math"),
         F.concat(too_long(t, 400, 600), F.lit("_too_long")),
         gibberish_reason(t),
-        F.when(text.startswith("System\nYou are") | text.startswith("User\n"), "prompt_leakage"),
+        F.when(t.startswith("System\nYou are") | t.startswith("User\n"), "prompt_leakage"),
     )
-    return turns.withColumn("_t", stripped(text)).withColumn("why", why).drop("_t")
+    return turns.withColumn("_t", html_to_text(F.col("value"))).withColumn("why", why).drop("_t")
 
 
 def spoken_reason(text: Column) -> Column:
@@ -122,10 +126,12 @@ def top_and_other(counts: DataFrame, name: str, n: str, k: int) -> DataFrame:
 
 
 def html_to_text(text: Column) -> Column:
-    """List items as dashed lines, other tags as line ends, at most one blank line."""
+    """List items as dashed lines, other tags as line ends, references as their characters, at most one blank line; null for null.
+
+    A "<" that begins no tag stays; comments, scripts and styles are no text.
+    """
     t = F.replace(F.replace(F.replace(text, F.lit("<li><p>"), F.lit("<li>")), F.lit("<li>"), F.lit("\n- ")), F.lit("</li>"), F.lit(""))
-    t = F.regexp_replace(t, r"(<[^<>]+>)+", "\n")
-    return F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    return stripped(F.regexp_replace(tags_to_lines(t), r"\n{3,}", "\n\n"))
 
 
 def clauses(text: Column) -> Column:

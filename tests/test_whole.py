@@ -1,5 +1,9 @@
 """Queries over small tables whose whole result is known."""
 
+import pytest
+from pyspark.sql import functions as F
+
+from talkweave.operators import chat
 from talkweave.plans import joins
 
 
@@ -9,3 +13,27 @@ def test_partner_semi_exact_callers(spark, tmp_path):
     spark.createDataFrame(rows, "call_id string, caller_a long, caller_b long").write.parquet(f"{tmp_path}/call_meta.parquet")
     got = joins.partner_semi(spark, str(tmp_path)).select("call_id", "a", "b").collect()
     assert sorted(map(tuple, got)) == [("a", 1, 2), ("b", 2, 1), ("e", 1, 2), ("f", 7, 7)]
+
+
+@pytest.mark.parametrize(
+    ("text", "why"),
+    [
+        ("<br>", "empty"), ("<p></p>", "empty"), ("&nbsp;", "empty"), ("<b>!!!</b>", "only_symbols"), ("<p>yes</p>", None), ("<div>" * 9 + "short words here" + "</div>" * 9, None), ("<p>User</p>hello", "prompt_leakage"),
+        ("<a href='https://example.org/a/long/address'>here</a>", None), ("<p>costs &#36;5</p>", "contains_math"), ("x <y", None),
+    ],
+)
+def test_turn_reasons_without_markup(spark, text, why):
+    df = spark.createDataFrame([("a", 0, "human", text)], "id string, turn int, role string, value string")
+    assert chat.turn_reasons(df).first().why == why
+    assert chat.turn_reasons(df).first().value == text
+
+
+@pytest.mark.parametrize(
+    ("text", "plain"),
+    [
+        ("a<br>b", "a\nb"), ("if x < 3 and y > 2 <i>then</i>", "if x < 3 and y > 2 \nthen"), ("R&amp;D, AT&T &lt;b&gt;", "R&D, AT&T <b>"), ("a<!-- <b> no -->b", "a\nb"), ("<script>var x</script>ok", "ok"), ("a\n\n\n\nb ", "a\n\nb"),
+        ('<a title="1 > 0">link</a>', "link"), ("<ul><li>a</li> <li><p>b</p></li></ul>", "- a \n- b"), (None, None), ("&#8217;&#146;&#xD800;&#99999999;", "\u2019\u2019\ufffd\ufffd"),
+    ],
+)
+def test_html_to_text(spark, text, plain):
+    assert spark.createDataFrame([(text,)], "t string").select(chat.html_to_text(F.col("t"))).first()[0] == plain
