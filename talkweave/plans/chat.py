@@ -60,7 +60,7 @@ def chat_consistency(spark, folder):
 
 
 def html_text(spark, folder):
-    return turns(spark, folder).where("value LIKE '%<li>%' OR value LIKE '%<p%'").select("id", "turn", C.html_to_text(F.col("value")).alias("text"))
+    return turns(spark, folder).select("id", "turn", C.html_to_text(F.col("value")).alias("text"))
 
 
 def clause_counts(spark, folder):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkweave.operators import chat
-from talkweave.plans import joins
+from talkweave.plans import chat as chat_plans, joins
 
 
 def test_partner_semi_exact_callers(spark, tmp_path):
@@ -37,3 +37,9 @@ def test_turn_reasons_without_markup(spark, text, why):
 )
 def test_html_to_text(spark, text, plain):
     assert spark.createDataFrame([(text,)], "t string").select(chat.html_to_text(F.col("t"))).first()[0] == plain
+
+
+def test_html_text_converts_every_turn(spark, tmp_path):
+    rows = [("a", 0, "human", "<div>x</div>", 1), ("a", 1, "gpt", "b<br>c", 1), ("a", 2, "human", "plain &amp; short", 1), ("a", 3, "gpt", "<p>y</p>", 1), ("a", 4, "human", None, 1)]
+    spark.createDataFrame(rows, "id string, turn int, role string, value string, ingested_at long").write.parquet(f"{tmp_path}/conversation_turn.parquet")
+    assert {r.turn: r.text for r in chat_plans.html_text(spark, str(tmp_path)).collect()} == {0: "x", 1: "b\nc", 2: "plain & short", 3: "y", 4: ""}
