@@ -1,7 +1,7 @@
 """Defects of prompt and response pairs: empty, refusal, copy, truncated, other_language.
 
 A pushdown parser follows fences, environments, brackets and quotations to tell where a response
-stops; greedy string tiling measures how much of it is the prompt's own text; a grammar of refusals
+stops; word edits and greedy string tiling measure how much of it is the prompt's own text; a grammar of refusals
 (openers, declines, closings) covers whole responses; scripts and word labels give languages.
 """
 
@@ -109,8 +109,27 @@ def tiled(prompt: list[str], response: list[str], least: int) -> list[int]:
                 tiles.append(best)
 
 
+def edits(prompt: list[str], response: list[str]) -> int:
+    """Least number of words changed, added or left out between the response and any run of the prompt, by bit vectors."""
+    whole, last = (1 << len(response)) - 1, 1 << len(response) - 1
+    at: dict[str, int] = {}
+    for j, x in enumerate(response):
+        at[x] = at.get(x, 0) | 1 << j
+    up, down, n = whole, 0, len(response)
+    least = n
+    for x in prompt:
+        same = at.get(x, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up) & whole, up & across
+        n += bool(more & last) - bool(less & last)
+        least = min(least, n)
+        more, less = more << 1 & whole, less << 1 & whole
+        up, down = less | ~(same | down | more) & whole, more & (same | down)
+    return least
+
+
 def is_copy(prompt: str, response: str) -> bool:
-    """Whether nearly all of the response lies under tiles of the prompt, long ones in the main."""
+    """Whether the response is a run of the prompt but for few words, or lies under tiles of it, long ones in the main."""
     a, b = ([x.lower() for x in _UNIT.findall(t)] for t in (prompt, response))
     if not b or not a:
         return False
@@ -118,13 +137,15 @@ def is_copy(prompt: str, response: str) -> bool:
         return True
     han = sum(1 for x in b if len(x) == 1 and "㐀" <= x <= "鿿") > len(b) / 2
     least = TILE_HAN if han else TILE
-    if len(b) < least + 1 or not {*b[: 2 * least]} & {*a}:
+    if len(b) < least + 1:
         return False
     # every word of a copy but a few stands in the prompt, which is soon seen
     words = set(a)
     if sum(x in words for x in b) < COVER * len(b):
         return False
-    tiles = tiled(a, b, least)
+    if edits(a, b) <= (1 - COVER) * len(b):
+        return True
+    tiles = tiled(a, b, least)  # parts in another order
     return sum(tiles) >= COVER * len(b) and sum(tiles) >= 1.5 * least * len(tiles)
 
 
