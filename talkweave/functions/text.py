@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from talkweave.functions.vocab import BACKCHANNELS, INTERLOCUTOR, SHORT_BACKCHANNEL, SILENCE, TRANSITIONS
+from talkweave.functions.vocab import BACKCHANNELS, HEARD_SIMULTANEOUS, HEARD_WHOLE, INTERLOCUTOR, SHORT_BACKCHANNEL, SILENCE, TRANSITIONS, UNSURE_LOGPROB
 
 # Character ranges of Chinese, Japanese and Korean writing.
 CJK = (
@@ -66,6 +66,13 @@ def is_backchannel(text: Column, duration: Column) -> Column:
     return backchannel_key(text).isin(BACKCHANNELS) & (duration < SHORT_BACKCHANNEL)
 
 
+def is_hallucination(text: Column, avg_logprob: Column, simultaneous: bool) -> Column:
+    """A phrase of silence in the text, and the recogniser unsure of it; false where either is null."""
+    said, phrases = (F.lower(text), HEARD_SIMULTANEOUS) if simultaneous else (text, HEARD_WHOLE)
+    heard = F.exists(F.array(*map(F.lit, phrases)), lambda p: F.contains(said, p))
+    return F.coalesce(heard & (avg_logprob < UNSURE_LOGPROB), F.lit(False))
+
+
 def speaker_index(label: Column) -> Column:
     """0 for A or channel 1, 1 for B or channel 2, null for anything else."""
     last = F.regexp_extract(F.upper(F.trim(label)), r"([AB12])\W*$", 1)

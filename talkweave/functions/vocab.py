@@ -4,6 +4,10 @@ TRANSITIONS = ["[C.LISTEN]", "[C.SPEAK]", "[S.LISTEN.INTERRUPT]", "[S.LISTEN.NAT
 STOP_SPEAKING = ["[S.LISTEN.INTERRUPT]", "[S.LISTEN.NATURAL]"]
 INTERLOCUTOR = "<interlocutor>"
 SILENCE = "<SIL>"
+#: What recognisers hear in silence: of a simultaneous one in lower case, of one of whole utterances as it writes them; and the log-probability below which it is not believed.
+HEARD_SIMULTANEOUS = ["thank you", "bye", "we'll be right back", "see you next time"]
+HEARD_WHOLE = ["Thank you.", "Bye.", "We'll be right back.", "see you next time."]
+UNSURE_LOGPROB = -0.3
 SILENCE_S = 0.64
 
 #: Time units in a second; thresholds in units.

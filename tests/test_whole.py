@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from talkweave.functions import text as X
 from talkweave.operators import chat
 from talkweave.plans import chat as chat_plans, joins
 
@@ -43,3 +44,16 @@ def test_html_text_converts_every_turn(spark, tmp_path):
     rows = [("a", 0, "human", "<div>x</div>", 1), ("a", 1, "gpt", "b<br>c", 1), ("a", 2, "human", "plain &amp; short", 1), ("a", 3, "gpt", "<p>y</p>", 1), ("a", 4, "human", None, 1)]
     spark.createDataFrame(rows, "id string, turn int, role string, value string, ingested_at long").write.parquet(f"{tmp_path}/conversation_turn.parquet")
     assert {r.turn: r.text for r in chat_plans.html_text(spark, str(tmp_path)).collect()} == {0: "x", 1: "b\nc", 2: "plain & short", 3: "y", 4: ""}
+
+
+@pytest.mark.parametrize(
+    ("text", "logprob", "simultaneous", "whole"),
+    [
+        ("Thank you.", -0.31, True, True), ("Thank you.", -0.3, False, False), ("well, THANK YOU so much", -0.9, True, False), ("See you next time.", -0.9, True, False), ("so see you next time.", -0.9, True, True),
+        ("goodbye", -0.9, True, False), ("hello there", -0.9, False, False), (None, -0.9, False, False), ("Bye.", None, False, False),
+    ],
+)
+def test_is_hallucination(spark, text, logprob, simultaneous, whole):
+    t, p = F.col("t"), F.col("p")
+    r = spark.createDataFrame([(text, logprob)], "t string, p double").select(X.is_hallucination(t, p, True).alias("a"), X.is_hallucination(t, p, False).alias("b")).first()
+    assert (r.a, r.b) == (simultaneous, whole)
