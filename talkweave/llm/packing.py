@@ -2,8 +2,8 @@
 
 Large documents are sorted and cut into groups of equal number; each is taken as long as the
 longest of its group, which leaves few sizes.  The ways of filling a container with so few sizes
-are searched and the best combination of them is found by column generation; then the documents
-themselves take the places of their group, largest places first, and the small ones are put where
+are searched one after another: the best filling with the largest size left is taken as often as it
+lasts, a greedy choice, with no optimum sought over all fillings together; then the documents themselves take the places of their group, largest places first, and the small ones are put where
 they leave least room.  Documents are dealt into shards by a hash of the id, so the work of a shard
 is bounded however many documents there are, and a source or call with a third of them is spread.
 """
