@@ -5,8 +5,8 @@ word for each language, learned transitions tie neighbouring words, and forward-
 probability of each language at each word.  Sentences take the language of most probability over
 their words, so a foreign phrase in a sentence does not cut it; runs of sentences make segments.
 
-The field is fitted on a bounded sample of labelled documents, whole texts whose sentences are
-strung together in changing languages; everything else covers every row.
+The field is fitted on a bounded sample of labelled documents (DOCS, PIECES, MOST), pieces of whose
+sentences are strung together in changing languages; everything else covers every row.
 """
 
 from __future__ import annotations
@@ -14,20 +14,21 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from talkweave.functions.durable import once
+from talkweave.functions.durable import once, small
 from talkweave.llm.lookalike import consistent, segment_pattern, unstable_ranges
 
-#: Labelled documents per language, and sentences per language, that the field is fitted on.
-DOCS, SENTENCES = 150, 500
-FEATURES = 1 << 12
+#: The labelled sample: documents per language, pieces of a document, pieces per language, and words in a piece.
+DOCS, PIECES, MOST, PIECE = 150, 40, 600, 24
+FEATURES = 1 << 16
 #: Least share of probability with which a sentence speaks for itself.
 SURE = 0.75
+#: Characters of Chinese in a word; a longer run is several words.
+HAN_WORD = 8
 
 # Names and codes by which a declared language may call each language.
 NAMES = {
@@ -40,37 +41,37 @@ NAMES = {
 }
 CODE_OF = {name: code for code, names in NAMES.items() for name in names.split()}
 
-# Frequent words of the languages written in Latin letters, the lexicon beside the labelled documents.
+# The lexicon.  For each language written in Latin letters its function words, then the same everyday verbs and
+# nouns in every language.  A word has a feature for each language whose lexicon knows it.
 LEXICON = {
-    "en": "the of and to in is you that it he was for on are as with his they at be this have from or one had by not but what all were we "
-    "when your can said there use an each which she do how their if will up other about out many then them these so some her would make like "
-    "him into time has look two more write go see no way could people my than first been who its now find long down day did get come made may "
-    "part sorry cannot can't won't unable i'm i'd i'll it's don't please thanks thank sure yes ok okay good maybe next week help answer question "
-    "because although since until every after before during sounds great request information here must rather "
-    "language assistant topic off limits allowed discuss falls outside guidelines comply decline comfortable responding against possible answering",
-    "de": "der die das und in zu den ist nicht von sie mit sich auf für eine im dem auch als es an werden aus er hat dass nach wird bei einer um "
-    "am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde ihr ihre ich du wir mir mich uns kann "
-    "können möchte möchten leider bitte danke nein ja gut vielleicht nächste woche frage antwort helfen entschuldigung weil obwohl seit jeden "
-    "dazu darauf darüber etwas anderes andere muss ablehnen dürfen klingt kein keine heute geöffnet ihnen meine mein gegen "
-    "assistent richtlinien verstößt bitten thema sprechen beantworten möglich auskunft verständnis jemand fragen ehrlich offen",
-    "fr": "le la les de des du un une et à en est que qui dans pour pas ne sur se ce il elle au aux avec son sa ses plus par je tu nous vous mais "
-    "ou où leur lui y tout cette cet ces comme être avoir fait faire même si sans après avant été mon ma mes votre vos notre peux puis puisse "
-    "désolé merci bien très oui non peut semaine prochaine question réponse aider regrette parce alors depuis chaque pendant malheureusement "
-    "d'accord c'est n'est j'ai je ne suis autre chose souhaitez parler dois honnête aborder sujet demande quelque "
-    "m'est interdit cela serait contraire consignes impossible donner renseignement assistant vocal refuser veuillez adresser quelqu'un d'autre",
-    "es": "el la los las de del un una y en es que a por con para no se lo su sus al como más pero le ya o este sí porque esta entre cuando muy "
-    "sin sobre también me hasta hay donde quien desde todo nos durante todos uno les ni contra otros ese eso ante ellos e esto mí antes algunos "
-    "qué unos yo otro otra puedo puede quiere hablar cosa siento lamento gracias bien vale mañana semana pregunta respuesta ayudar "
-    "lamentablemente imposible información esa aunque según usted mi tengo debo petición asunto dude hacerme quizás martes está "
-    "asistente voz soy capaz responder persona pregunte rechazar normas iría vedado resulta darle ayudarle prefiero tema sincero todavía",
-    "pt": "o a os as de do da dos das um uma e em no na nos nas que é por com para não se ao mais como mas foi ele ela seu sua ou ser quando muito "
-    "há já está eu também só pelo pela até isso entre era depois sem mesmo aos ter seus quem me esse eles você essa num numa nem suas meu minha "
-    "às têm posso pode quer falar coisa desculpe sinto obrigado obrigada bem sim talvez amanhã semana pergunta resposta ajudar infelizmente "
-    "impossível informação embora porque outra outro ainda devo pedido assunto lamento terças hoje estou este "
-    "assistente voz consigo responder pessoa pergunte recusar orientações iria vedado possível dar-lhe prefiro tema honesto fique vontade fazer",
+    "en": "a an the of and to in is am are was were be been being it its that this these those he she they we you i me him her us them my your his our their as with for on at by "
+    "from or not but what all when which who how where why if will would can could should may might must do does did have has had there up out about into than then so some any no more "
+    "most also only very just such even well now here because although since until every after before during please thanks yes okay sure i'm it's don't can't "
+    "say do have know see give want come pass think leave go live feel wait look work write ask answer speak understand read open help "
+    "time life year day thing man woman house world country part place job topic matter question answer person example problem hour night week friend street water",
+    "de": "der die das den dem des ein eine einen einem einer und in zu ist nicht von sie mit sich auf für im auch als es an werden aus er hat dass nach wird bei um am sind noch wie über so zum war haben nur "
+    "oder aber vor zur bis mehr durch man sein wurde ihr ihre ich du wir mir mich uns kann können möchte bitte danke nein ja gut vielleicht weil obwohl seit jeden dazu darauf darüber etwas muss kein keine heute meine gegen "
+    "sagen machen haben wissen sehen geben wollen kommen gehen denken lassen leben fühlen warten suchen arbeiten schreiben fragen antworten sprechen verstehen lesen öffnen helfen "
+    "zeit leben jahr tag sache mann frau haus welt land teil ort arbeit thema angelegenheit frage antwort person beispiel problem stunde nacht woche freund straße wasser",
+    "fr": "le la les de des du un une et à en est que qui dans pour pas ne sur se ce il elle on au aux avec son sa ses plus par je tu nous vous mais ou où leur lui y tout cette cet ces comme être avoir même si sans après avant "
+    "été mon ma mes votre vos notre suis es sommes êtes sont peux puis peut merci bien très oui non parce alors depuis chaque pendant d'accord c'est n'est j'ai quelque "
+    "dire faire avoir savoir voir donner vouloir venir passer penser laisser aller vivre sentir attendre chercher travailler écrire demander répondre parler comprendre lire ouvrir aider "
+    "temps vie an jour chose homme femme maison monde pays partie lieu travail sujet affaire question réponse personne exemple problème heure nuit semaine ami rue eau",
+    "es": "el la los las de del un una unos unas y en es que a por con para no se lo su sus al como más pero le ya o este esta estos sí porque entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante uno les ni contra "
+    "otro otra ese esa eso ante mí antes qué yo soy eres somos son está estoy puedo puede quiere gracias bien mañana aunque según usted mi tengo "
+    "decir hacer tener saber ver dar querer venir pasar pensar dejar ir vivir sentir esperar buscar trabajar escribir preguntar responder hablar entender leer abrir ayudar "
+    "tiempo vida año día cosa hombre mujer casa mundo país parte lugar trabajo tema asunto pregunta respuesta persona ejemplo problema hora noche semana amigo calle agua",
+    "pt": "o a os as de do da dos das um uma e em no na nos nas que é por com para não se ao mais como mas foi ele ela seu sua ou ser quando muito há já eu também só pelo pela até isso isto entre era depois sem mesmo aos quem me "
+    "esse essa num numa nem meu minha às têm sou és somos são está estou posso pode quer obrigado obrigada bem sim talvez amanhã embora porque outro outra ainda hoje este "
+    "dizer fazer ter saber ver dar querer vir passar pensar deixar ir viver sentir esperar procurar trabalhar escrever perguntar responder falar entender ler abrir ajudar "
+    "tempo vida ano dia coisa homem mulher casa mundo país parte lugar trabalho assunto questão pergunta resposta pessoa exemplo problema hora noite semana amigo rua água",
 }
+KNOWN_IN: dict[str, list[str]] = {}
+for _code, _words in LEXICON.items():
+    for _w in set(_words.split()):
+        KNOWN_IN.setdefault(_w, []).append(_code)
 
-_WORD = re.compile(r"[㐀-鿿豈-﫿]+|[^\W\d_㐀-鿿豈-﫿]+(?:['’][^\W\d_]+)*")
+_WORD = re.compile(rf"[㐀-鿿豈-﫿]{{1,{HAN_WORD}}}|[^\W\d_㐀-鿿豈-﫿]+(?:['’][^\W\d_]+)*")
 _HAN = re.compile(r"[㐀-鿿豈-﫿]")
 _SENTENCE_END = re.compile(r"(?<=[.!?…])[\"'”’»)\]]*(?:\s+|$)|(?<=[。！？])[”’」』）]*\s*|\n+")
 #: What has no language: code, formulas, control tokens of tapes, marks in angle or square brackets.
@@ -95,13 +96,14 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def features(word: str) -> list[int]:
-    """Hashed features of a word: itself, its affixes, its 3-grams; for Chinese its characters."""
+    """Hashed features of a word: itself, its affixes, its 3-grams, the lexicons that know it; for Chinese its script and all its characters."""
     w = word.lower()
     if _HAN.match(w):
-        names = ["h0", "h1", "h2", "h3", *(f"h{c}" for c in w[:8])]  # the script tells most
+        names = ["h0", "h1", "h2", "h3", *(f"h{c}" for c in w)]  # the script tells most
     else:
         b = f"^{w}$"
         names = [f"w{w}", *(f"p{w[:k]}" for k in (1, 2, 3)), *(f"s{w[-k:]}" for k in (1, 2, 3, 4)), *(f"g{b[k : k + 3]}" for k in range(len(b) - 2))]
+        names += [f"l{code}" for code in KNOWN_IN.get(w.replace("’", "'"), ())]
     return [zlib.crc32(x.encode()) % FEATURES for x in names]
 
 
@@ -129,10 +131,6 @@ class Field:
                 self._table[k] = self.weights[features(w)].sum(0)
         return self._table[[place[w] for w in words]] if words else np.empty((0, len(self.labels)), dtype=np.float32)
 
-    def vote(self, words: list[str]) -> int | None:
-        """The label of the greatest sum of scores, by words alone; None without words."""
-        return int(self.emissions(words).sum(0).argmax()) if words else None
-
     def posteriors(self, texts: list[list[str]]) -> list[np.ndarray]:
         """For each list of words, the probability of each label at each word."""
         out: list = [None] * len(texts)
@@ -188,29 +186,34 @@ def forward_backward(e: np.ndarray, mask: np.ndarray, steps: np.ndarray, pairs:
 
 
 def fit(labelled: dict[str, list[list[str]]], rounds: int = 40, seed: int = 3) -> Field:
-    """Fits the field on sentences (lists of words) per language, strung together in changing languages."""
+    """Fits the field on pieces of sentences (lists of words) per language, strung together in changing languages."""
     labels = sorted(labelled)
     rng = np.random.default_rng(seed)
     chains: list[tuple[list[str], list[int]]] = []
     pool = [(k, s) for k, c in enumerate(labels) for s in labelled[c]]
     rng.shuffle(order := np.arange(len(pool)))
     k = 0
-    while k < len(order):  # one to three sentences, the next mostly in the same language, at times only a phrase
+    while k < len(order):  # one to three pieces; now and then a phrase of one stands by itself, its rest in the next chain
         words: list[str] = []
         marks: list[int] = []
+        rests: list[tuple[list[str], list[int]]] = []
         for _ in range(int(rng.integers(1, 4))):
             if k >= len(order):
                 break
             c, s = pool[order[k]]
             k += 1
-            cut = s[:24] if rng.random() < 0.8 else s[: int(rng.integers(1, 5))]
-            words += cut
-            marks += [c] * len(cut)
-        chains.append((words, marks))
+            cut = len(s) if rng.random() < 0.8 else min(len(s), int(rng.integers(1, 5)))
+            words += s[:cut]
+            marks += [c] * cut
+            if cut < len(s):
+                rests.append((s[cut:], [c] * (len(s) - cut)))
+        chains += [(words, marks), *rests]
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws, _ in chains for w in ws}))}
-    on = np.zeros((len(vocabulary), FEATURES), dtype=np.float32)
-    for w, i in vocabulary.items():
-        np.add.at(on[i], features(w), 1.0)
+    per_word = [features(w) for w in vocabulary]
+    flat = np.array([f for fs in per_word for f in fs], dtype=np.int64)
+    counts = np.array([len(fs) for fs in per_word], dtype=np.int64)
+    begins = np.cumsum(counts) - counts
+    used, slot = np.unique(flat, return_inverse=True)  # only these weights move
     n, length, c = len(chains), max((len(w) for w, _ in chains), default=1), len(labels)
     ids, gold, mask = np.zeros((n, length), dtype=int), np.zeros((n, length), dtype=int), np.zeros((n, length), dtype=bool)
     for r, (ws, ms) in enumerate(chains):
@@ -220,42 +223,64 @@ def fit(labelled: dict[str, list[list[str]]], rounds: int = 40, seed: int = 3) -
     moved = np.zeros((c, c))
     both = mask[:, 1:] & mask[:, :-1]
     np.add.at(moved, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
-    w, t = np.zeros((FEATURES, c), dtype=np.float32), np.zeros((c, c))
+    w, t = np.zeros((len(used), c), dtype=np.float32), np.zeros((c, c))
     gw, gt = np.full_like(w, 1e-6), np.full_like(t, 1e-6)
     for _ in range(rounds):  # gradient of the log-likelihood, with steps scaled by past gradients
-        p, pairs = forward_backward((on @ w)[ids], mask, t, pairs=True)
-        expected = np.zeros((len(vocabulary), c))
-        np.add.at(expected, ids[mask], p[mask])
-        dw = on.T @ (truth - expected).astype(np.float32) - 0.05 * w
+        scores = np.add.reduceat(w[slot], begins, axis=0) if len(flat) else np.zeros((0, c), dtype=np.float32)
+        p, pairs = forward_backward(scores[ids], mask, t, pairs=True)
+        expected = np.stack([np.bincount(ids[mask], weights=p[mask][:, k], minlength=len(vocabulary)) for k in range(c)], axis=1)
+        miss = np.repeat(truth - expected, counts, axis=0)
+        dw = np.stack([np.bincount(slot, weights=miss[:, k], minlength=len(used)) for k in range(c)], axis=1).astype(np.float32) - 0.05 * w
         dt = (moved - pairs) - 0.05 * t
         gw += dw**2
         gt += dt**2
         w += 0.3 * dw / np.sqrt(gw)
         t += 0.3 * dt / np.sqrt(gt)
-    return Field(labels, w, t)
+    weights = np.zeros((FEATURES, c), dtype=np.float32)
+    weights[used] = w
+    return Field(labels, weights, t)
+
+
+def spread(items: list, most: int) -> list:
+    """Up to `most` of the items, evenly spread over all of them."""
+    return [items[k * len(items) // most] for k in range(most)] if len(items) > most else items
+
 
+def pieces(text: str, pattern: re.Pattern) -> list[list[str]]:
+    """The sentences of a labelled text in pieces of up to PIECE words; pieces of a single word, but for Chinese, tell little and are left out."""
+    cut = [s[k : k + PIECE] for s in sentences(consistent(text, pattern)) for k in range(0, len(s), PIECE)]
+    return [s for s in cut if len(s) > 1 or _HAN.match(s[0])]
 
-def sample_field(documents: DataFrame, docs: int = DOCS, most: int = SENTENCES) -> Field:
-    """The field fitted on up to `docs` labelled documents and `most` sentences per language.
 
-    Documents are drawn by a hash of their id; ids are drawn first, so that only texts of drawn
-    documents are read.
+def sample_field(documents: DataFrame, docs: int = DOCS, most: int = MOST) -> Field:
+    """The field fitted on a bounded sample of labelled documents.
+
+    Per language up to `docs` documents are drawn by a hash of their id, in one pass over ids and
+    labels; a second pass reads the texts of those and hands over up to PIECES pieces of each,
+    evenly spread over the whole text.  Of a language's pieces up to `most` are used, evenly spread;
+    the words of the lexicon join them as pieces of eight.
     """
-    spark_lang = declared(F.col("lang"))
-    keyed = documents.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", spark_lang.alias("code"))
-    first = [keyed.where(F.col("code") == code).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs) for code in NAMES]
-    drawn = [r[0] for r in reduce(DataFrame.unionByName, first).collect()]
-    out: dict[str, list[list[str]]] = {}
+    keyed = documents.where("doc_id IS NOT NULL").select("doc_id", declared(F.col("lang")).alias("code"), F.xxhash64("doc_id").alias("h")).where("code IS NOT NULL")
+    # the first of each language: within parts of the hash, then of those that are left
+    for keys in (["code", F.pmod("h", F.lit(64))], ["code"]):
+        keyed = keyed.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("h", "doc_id"))).where(F.col("_r") <= docs).drop("_r")
+    drawn = {r["doc_id"]: r["code"] for r in small(keyed, docs * len(NAMES))}
+    out: dict[str, list[list[str]]] = {code: [] for code in LEXICON}
     pattern = segment_pattern(unstable_ranges())
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            cut = [[" ".join(s) for s in spread(pieces(t, pattern), PIECES)] for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "cut": cut})
+
     if drawn:
-        for r in documents.where(F.col("doc_id").isin(drawn)).select("doc_id", spark_lang.alias("code"), "text").orderBy("doc_id").collect():
-            mine = out.setdefault(r["code"], [])
-            if len(mine) < most:
-                mine += [s for s in sentences(consistent(r["text"], pattern)) if len(s) > 1 or _HAN.match(s[0])][: most - len(mine)]
-    for code, words in LEXICON.items():  # the lexicon as sentences, often enough to weigh like the documents
-        known = words.split()
-        out.setdefault(code, []).extend([known[(k * 7 + j * 11) % len(known)] for j in range(8)] for k in range(len(known)))
-    return fit(out)
+        texts = documents.where(F.col("doc_id").isin(list(drawn)) & F.col("text").isNotNull()).select("doc_id", "text")
+        rows = small(texts.mapInPandas(read, f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, cut array<string>"), 2 * len(drawn))
+        for r in sorted(rows, key=lambda r: r["doc_id"]):
+            out.setdefault(drawn[r["doc_id"]], []).extend(s.split(" ") for s in r["cut"])
+    words = {code: w.split() for code, w in LEXICON.items()}
+    known = {code: [[w[(k * 7 + j * 11) % len(w)] for j in range(8)] for k in range(len(w))] for code, w in words.items()}
+    return fit({code: spread(found, most) + known.get(code, []) for code, found in out.items()})
 
 
 def segments_of(texts: list[str], field: Field) -> list[list[tuple[str, float, int, str]]]:

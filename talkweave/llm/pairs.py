@@ -1,8 +1,9 @@
 """Defects of prompt and response pairs: empty, refusal, copy, truncated, other_language.
 
-A pushdown parser follows fences, environments, brackets and quotations to tell where a response
-stops; word edits and greedy string tiling measure how much of it is the prompt's own text; a grammar of refusals
-(openers, declines, closings) covers whole responses; scripts and word labels give languages.
+Pushdown parsers follow fences, environments, items, sentences, brackets, quotations and emphasis to
+tell whether a response is finished; word edits and greedy string tiling measure how much of it is the
+prompt's own text; a grammar of refusals (openers, declines, closings) derives whole responses; scripts
+and word labels give languages.
 """
 
 from __future__ import annotations
@@ -10,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkweave.functions.durable import once
-from talkweave.llm.language import Field, segments_of, sentences
+from talkweave.llm.language import Field, segments_of
 from talkweave.llm.markup import convert, first_delivery
 
 DEFECTS = ("empty", "refusal", "copy", "truncated", "other_language")
@@ -29,13 +31,23 @@ OPENERS = [
     r"infelizmente|lamentavelmente|sinto muito|lamento|desculpe|desculpa|peço desculpas?|tenho de ser honest[oa]|para ser honest[oa]|como [\w ]{2,40}|obrigad[oa] (?:por|pela|pelo) [\w ]{2,40}|(?:eu )?entendo[\w ,]{0,40}|compreendo[\w ,]{0,40}",
     r"很抱歉|非常抱歉|抱歉|对不起|不好意思|非常遗憾|很遗憾|遗憾的是|说实话|老实说|坦白说|作为[^，,。]{2,16}|感谢您[^，,。]{0,12}|我理解[^，,。]{0,16}|我明白[^，,。]{0,16}",
 ]
-_TASK_EN = r"(?:answer|help|assist|comply|do|respond|discuss|provide|give|share|fulfil|complete|support|engage|speak|talk|say|offer|continue|proceed)"
+# What a decline is about: words of one clause, none of which begins another or tells the reader to do something.
+_REST = (
+    r"(?:(?!\b(?:so|but|instead|then|therefore|take|try|use|go|aber|sondern|also|deshalb|stattdessen|dafür|nehmen sie|mais|donc|plutôt|prenez|essayez|"
+    r"sino|pero|así que|mejor|tome|pruebe|mas|porém|então|tente)\b)[^,;:()])*"
+)
+_REASON = r"(?:,? (?:as|because|since|weil|da|denn|parce que|puisque|car|porque|ya que|pues|pois|já que) [^,;:()]+)?"
+# Acts of answering, alone or with what they are about; and giving, which needs something said as its object.
+_ACT = r"(?:answer|help|assist|comply|respond|reply|discuss|comment|speak|talk|engage|get into|go into|say|do (?:this|that|it|so)|continue|proceed|(?:fulfil|complete|support) (?:this|that|your|the|it)\b)"
+_SAID = r"(?:this|that|it|answers?|responses?|opinions?|views?|advice|information|details?|help|assistance|guidance|instructions?|explanations?|comments?|recommendations?)"
+_GIVE = rf"(?:provide|give|share|offer|supply)(?: (?:you|anyone|him|her|them))?(?: with)?(?: (?:an?|the|any|my|such|this|that|these|those|more|further|personal|specific))* {_SAID}\b"
+_TASK_EN = rf"(?:{_ACT}|{_GIVE})"
 DECLINES = [
     rf"(?:i )?(?:can(?:no|')t|cannot|can not|won't|will not|am unable to|(?:am|'m) not able to|won't be able to|will not be able to|(?:am|'m) not (?:allowed|permitted|comfortable)(?: to)?|could not|couldn't|must not|may not) (?:possibly |really )?{_TASK_EN}\b.*",
-    r"i (?:must|have to|need to|will have to) (?:decline|refuse|turn (?:this|that|it|your) .*down|pass).*|i (?:decline|refuse)\b.*|this is something i (?:have to|must) (?:decline|refuse).*",
-    r"i do(?: not|n't) feel comfortable .*|i(?:'d| would) rather not .*|i prefer not to .*|(?:this|that|the|your) (?:topic|subject|question|request|matter)? ?(?:is off limits|falls outside|is outside|goes against|is beyond|is not something i).*|no answer from me .*",
+    r"i (?:must|have to|need to|will have to) (?:decline|refuse|turn (?:(?:this|that|it|your) .*down|down .*)|pass)(?: .*)?|i (?:decline|refuse)\b.*|this is something i (?:have to|must) (?:decline|refuse).*",
+    rf"i do(?: not|n't) feel comfortable (?:\w+ing|with (?:this|that|it))\b.*|i(?:'d| would) rather not {_TASK_EN}\b.*|i prefer not to {_TASK_EN}\b.*|(?:this|that|the|your) (?:topic|subject|question|request|matter)? ?(?:is off limits|falls outside|is outside|goes against|is beyond|is not something i).*|no (?:answer|comment|opinion)(?: from me)? (?:on|about) (?:this|that|it)\b.*",
     r"(?:answering|doing|helping with|discussing) (?:this|that|it)\b.* (?:would|will|might) (?:go against|violate|breach|break).*|(?:this|that|it) (?:would|goes|violates|is against)\b.*(?:guidelines|rules|policy|policies|principles).*|it is(?: not|n't) possible for me to .*|it is impossible for me to .*",
-    r"(?:dabei|damit|hierbei|da) kann ich (?:ihnen |dir )?(?:leider )?nicht (?:weiter)?helfen|ich kann (?:ihnen |dir )?(?:leider |dabei |das |diese \w+ |damit )*(?:nicht|keine?) .*(?:helfen|beantworten|geben|antworten|machen|sprechen).*|(?:das|dies|eine antwort) verstößt gegen .*|(?:das|dies) widerspricht .*|diese[ns]? (?:bitte|frage|anfrage|wunsch)(?: \w+)? (?:muss|kann|darf) ich .*(?:ablehnen|nicht .*)|über dieses thema (?:darf|kann|möchte) ich nicht .*|(?:dazu|darüber|hierzu) (?:sage ich lieber nichts|möchte ich .*|darf ich .*)|es ist mir (?:leider )?nicht (?:möglich|erlaubt|gestattet).*|ich (?:muss|möchte) (?:das|dies|diese \w+) (?:leider )?ablehnen|ich darf .* nicht .*",
+    r"(?:dabei|damit|hierbei|da) kann ich (?:ihnen |dir )?(?:leider )?nicht (?:weiter)?helfen|ich kann (?:ihnen |dir )?(?:leider |dabei |das |diese \w+ |damit )*(?:nicht|keine?) .*(?:helfen|beantworten|geben|antworten|machen|sprechen).*|(?:das|dies|eine antwort) verstößt gegen .*|(?:das|dies) widerspricht .*|diese[ns]? (?:bitte|frage|anfrage|wunsch)(?: \w+)? (?:muss|kann|darf) ich .*(?:ablehnen|nicht .*)|über dieses thema (?:darf|kann|möchte) ich nicht .*|(?:dazu|darüber|hierzu) (?:sage ich lieber nichts|möchte ich .*|darf ich .*)|es ist mir (?:leider )?nicht (?:möglich|erlaubt|gestattet)(?:,? .*)?|ich (?:muss|möchte) (?:das|dies|diese \w+) (?:leider )?ablehnen|ich darf .* nicht .*",
     r"je ne (?:peux|suis|puis|pourrai|saurais)(?: malheureusement)? pas .*(?:aider|répondre|mesure|autorisé|aborder|donner|capable|faire|discuter|parler|accéder|satisfaire).*|je préfère ne pas .*|(?:cela|ce|ça) (?:serait|est|irait|va) .*(?:contraire|à l'encontre|contre) .*|ce (?:sujet|thème) m'est interdit|je dois (?:refuser|décliner).*|il m'est impossible de .*|je (?:refuse|décline) .*|cette (?:question|demande) .*(?:dépasse|sort|interdit).*",
     r"no (?:puedo|soy capaz de|me es posible|estoy (?:autorizado|en condiciones)|podré|me siento cómod[oa])\b.*(?:ayudar|responder|dar|hablar|contestar|facilitar|hacer|atender|cumplir).*|prefiero no .*|debo (?:rechazar|declinar|negarme).*|tengo que (?:rechazar|declinar).*|(?:eso|esto|ello|responder a (?:eso|esto)) (?:iría|va|sería) (?:en )?contra.*|ese (?:asunto|tema) me está (?:vedado|prohibido)|me (?:resulta|es) imposible .*|me niego .*",
     r"não (?:posso|consigo|sou capaz de|me é possível|estou autorizado|poderei|me sinto à vontade)\b.*(?:ajudar|responder|dar|falar|fornecer|fazer|atender|cumprir).*|prefiro não .*|(?:tenho de|devo|preciso de|tenho que) (?:recusar|declinar).*|(?:isso|isto) (?:iria|vai|seria) contra.*|esse (?:assunto|tema) me está (?:vedado|proibido)|é-me impossível .*|recuso.*",
@@ -50,7 +62,7 @@ CLOSINGS = [
     r"感谢您的理解|谢谢您的理解|欢迎您?提出其他问题|您想聊聊别的话题吗|请您?咨询其他人|请您?(?:问|询问|咨询)[^。！？]{0,12}|还有(?:什么|其他)[^。！？]{0,16}",
 ]
 _OPENER = re.compile(rf"^(?:{'|'.join(OPENERS)})\s*(?:[,:;，：、–—-]|\.(?=\s))?\s*(?:but|however|yet|and|aber|jedoch|doch|mais|toutefois|pero|sin embargo|mas|porém|但是?|不过|可是|然而)?\s*,?\s*", re.I)
-_DECLINE = re.compile(rf"^(?:{'|'.join(DECLINES)})$", re.I)
+_DECLINE = re.compile(rf"^(?:{'|'.join(DECLINES).replace('.*', _REST)}){_REASON}$", re.I)
 _CLOSING = re.compile(rf"^(?:{'|'.join(CLOSINGS)})$", re.I)
 _SENTENCE = re.compile(r"[^.!?。！？\n]+")
 
@@ -81,32 +93,50 @@ _UNIT = re.compile(r"[㐀-鿿]|[^\W_㐀-鿿]+(?:['’][^\W_]+)*")
 TILE, TILE_HAN, COVER = 4, 6, 0.85
 
 
+_BASE = 0x9E3779B97F4A7C15  # an odd number; sums of powers wrap around
+
+
+def _window_hashes(codes: np.ndarray, used: np.ndarray, n: int, power: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the runs of n words that no tile has, and their Karp-Rabin hashes."""
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * power[: len(codes)])])
+    taken = np.concatenate([[0], np.cumsum(used)])
+    at = np.flatnonzero(taken[n:] == taken[:-n])
+    # the sum of a run, shifted as if it stood at the end of the longer text
+    return at, (sums[at + n] - sums[at]) * power[len(power) - 1 - at]
+
+
 def tiled(prompt: list[str], response: list[str], least: int) -> list[int]:
-    """Lengths of the tiles of greedy string tiling: longest common runs first, none overlapping."""
-    used_p, used_r, tiles = [False] * len(prompt), [False] * len(response), []
-    at: dict[tuple[str, ...], list[int]] = {}
-    for i in range(len(prompt) - least + 1):
-        at.setdefault(tuple(prompt[i : i + least]), []).append(i)
-    while True:
-        best, found = least - 1, []
-        for j in range(len(response) - least + 1):
-            if used_r[j]:
-                continue
-            for i in at.get(tuple(response[j : j + least]), ()):
-                n = 0
-                while i + n < len(prompt) and j + n < len(response) and prompt[i + n] == response[j + n] and not used_p[i + n] and not used_r[j + n]:
-                    n += 1
-                if n > best:
-                    best, found = n, [(i, j)]
-                elif n == best and n >= least:
-                    found.append((i, j))
-        if best < least:
-            return tiles
-        for i, j in found:
-            if not any(used_p[i : i + best]) and not any(used_r[j : j + best]):
-                used_p[i : i + best] = [True] * best
-                used_r[j : j + best] = [True] * best
-                tiles.append(best)
+    """Lengths of the tiles of greedy string tiling: longest common runs first, none overlapping.
+
+    Each round finds the greatest length that still has a common run, never more than the round
+    before, by halving over hashes of runs, and lays all tiles of that length.
+    """
+    code: dict[str, int] = {}
+    a, b = (np.array([code.setdefault(w, len(code) + 1) for w in ws], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) for ws in (prompt, response))
+    power = np.cumprod(np.concatenate([np.ones(1, dtype=np.uint64), np.full(max(len(a), len(b)), _BASE, dtype=np.uint64)]))
+    used_a, used_b, tiles = np.zeros(len(a), dtype=bool), np.zeros(len(b), dtype=bool), []
+    most = min(len(a), len(b))
+    while most >= least:
+        low, high = least - 1, most  # a run of `low` words is common, or low is too short to count
+        while low < high:
+            n = (low + high + 1) // 2
+            common = np.isin(_window_hashes(b, used_b, n, power)[1], _window_hashes(a, used_a, n, power)[1]).any()
+            low, high = (n, high) if common else (low, n - 1)
+        if low < least:
+            break
+        places: dict[int, list[int]] = {}
+        for i, h in zip(*(x.tolist() for x in _window_hashes(a, used_a, low, power))):
+            places.setdefault(h, []).append(i)
+        laid = False
+        for j, h in zip(*(x.tolist() for x in _window_hashes(b, used_b, low, power))):
+            while places.get(h) and not used_b[j : j + low].any():
+                i = places[h].pop(0)
+                if not used_a[i : i + low].any() and (a[i : i + low] == b[j : j + low]).all():
+                    used_a[i : i + low] = used_b[j : j + low] = True
+                    tiles.append(low)
+                    laid = True
+        most = low if laid else low - 1
+    return tiles
 
 
 def edits(prompt: list[str], response: list[str]) -> int:
@@ -137,8 +167,8 @@ def is_copy(prompt: str, response: str) -> bool:
         return True
     han = sum(1 for x in b if len(x) == 1 and "㐀" <= x <= "鿿") > len(b) / 2
     least = TILE_HAN if han else TILE
-    if len(b) < least + 1:
-        return False
+    if len(b) <= least:  # so short a run of the prompt may be an answer: it must be most of the prompt
+        return edits(a, b) == 0 and 3 * len(b) >= 2 * len(a)
     # every word of a copy but a few stands in the prompt, which is soon seen
     words = set(a)
     if sum(x in words for x in b) < COVER * len(b):
@@ -150,58 +180,99 @@ def is_copy(prompt: str, response: str) -> bool:
 
 
 # -- truncation ---------------------------------------------------------------------------------
-_OPENS = re.compile(
-    r"(?m)^[ \t]*(?P<fence>`{3,}|~{3,})|\\(?P<env>begin|end)\{(?P<name>\w+)\*?\}|<(?P<close>/?)(?P<tag>pre|source|syntaxhighlight|math|table)\b[^<>]*>|"
-    r"(?P<bracket>[()\[\]{}（）「」『』【】])|(?P<quote>[“”„«»\"])|(?P<math>\$\$)", re.I
+# Two pushdown parsers.  Over the raw text: fences, environments, block tags and displayed formulas.  Over the clean text, block by
+# block: sentences, brackets, quotations and marks of emphasis.  What is on a stack at the end was begun and not finished.
+_BLOCKS = re.compile(
+    r"(?m)^[ \t]*(?P<fence>`{3,}|~{3,})|\\(?P<env>begin|end)\{(?P<name>\w+)\*?\}|<(?P<close>/?)(?P<tag>pre|source|syntaxhighlight|math)\b[^<>]*>|(?P<math>\$\$)", re.I
 )
-_PARTNER = {")": "(", "]": "[", "}": "{", "）": "（", "」": "「", "』": "『", "】": "【", "”": "“", "»": "«"}
-_FACE = re.compile(r"[:;=8xX]['’]?-?[()\[\]DPp/|3]+|\^_+\^|<3|(?<!\w)(?:\d{1,3}|[a-z])\)(?=\s)")
-
-
-def still_open(text: str) -> list[tuple[str, int]]:
-    """What a text has opened and not closed, with its place: a pushdown parser over the raw text."""
-    text = _FACE.sub(lambda m: " " * len(m[0]), text)
-    stack: list[tuple[str, int]] = []
-    for m in _OPENS.finditer(text):
-        kind, token = m.lastgroup, m[0]
-        top = stack[-1][0] if stack else ""
-        if top[:1] in "`~" and top:  # in a fence only its own end mark counts
+
+
+def open_blocks(raw: str) -> list[str]:
+    """The blocks a raw text has opened and not closed."""
+    stack: list[str] = []
+    for m in _BLOCKS.finditer(raw):
+        top = stack[-1] if stack else ""
+        if top[:1] in ("`", "~"):  # in a fence only its own end mark counts
             if m["fence"] and m["fence"][0] == top[0] and len(m["fence"]) >= len(top):
                 stack.pop()
+        elif top.startswith("<") and not m["tag"] or top.startswith("\\verb") and not m["env"]:
             continue
-        if top.startswith("<") and not m["tag"] or top.startswith("\\verb") and not m["env"]:
-            continue
-        if m["fence"]:
-            stack.append((m["fence"], m.start()))
-        elif m["env"]:
-            name = f"\\verb:{m['name']}" if re.fullmatch("verbatim|Verbatim|lstlisting|minted", m["name"]) else f"\\{m['name']}"
-            if m["env"] == "begin":
-                stack.append((name, m.start()))
-            elif any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-        elif m["tag"]:
-            name = f"<{m['tag'].lower()}"
-            if not m["close"]:
-                stack.append((name, m.start()))
-            elif any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
+        elif m["fence"]:
+            stack.append(m["fence"])
         elif m["math"]:
-            stack.pop() if top == "$$" else stack.append(("$$", m.start()))
-        elif m["quote"] == '"':
-            stack.pop() if top == '"' else stack.append(('"', m.start()))
-        elif token in _PARTNER and (top == _PARTNER[token] or token == "”" and top == "„"):
-            stack.pop()
-        elif token == "“" and top == "„":
-            stack.pop()
-        elif token not in _PARTNER:
-            stack.append((token, m.start()))
+            stack.pop() if top == "$$" else stack.append("$$")
+        else:
+            if m["tag"]:
+                name, opens = f"<{m['tag'].lower()}", not m["close"]
+            else:
+                verbatim = re.fullmatch("verbatim|lstlisting|minted", m["name"], re.I)
+                name, opens = f"\\verb{m['name']}" if verbatim else f"\\{m['name']}", m["env"] == "begin"
+            if opens:
+                stack.append(name)
+            elif name in stack:
+                while stack.pop() != name:
+                    pass
     return stack
 
 
-_ENDS = re.compile(r"(?:[.!?。！？]|(?<=[.!?。！？])[ ]?(?:[:;]-?[)D(]|[🙂😀-🙏]))[\"'”’“»«)\]）」』*_\s]*$|[:;]-?[)(DP]$|<3$|\^_\^$")
-_TRAILS = re.compile(r"(?:\.{3,}|…)[\"'”’»)\]）」\s]*$")
+_FACE = r"(?<!\w)[:;=8][’'-]?-?[()DP/|3](?!\w)|\^_+\^|<3|[☀-➿\U0001f300-\U0001faff]"
+_INLINE = re.compile(
+    rf"(?P<face>{_FACE})|(?P<letter>(?<![\w(])\w{{1,3}}\)(?=\s))|(?P<trail>\.{{3,}}|…)|(?P<end>[.!?]+(?![\w.])|[。！？]+)|(?P<open>[(\[{{（「『【„«])|(?P<shut>[)\]}}）」』】”»])|(?P<high>“)|"
+    r"(?P<straight>(?<!\d)\"|\"(?=\w))|(?P<mark>\*\*|~~|`)|(?P<pause>[,;:，；：、]|[–—]|-(?![\w-]))|(?P<word>[㐀-鿿]|[^\W_㐀-鿿](?:[\w'’.@/-]*[^\W_])?)"
+)
+_SHUTS = {")": "(", "]": "[", "}": "{", "）": "（", "」": "「", "』": "『", "】": "【", "”": "“", "»": "«"}
+SENTENCE = "sentence"
+#: The most words (Chinese: characters) of an answer that is no sentence: a name, a number, yes.
+FRAGMENT = 4
+
+
+class Inline:
+    """A pushdown parser of running text: a stack of sentences, brackets, quotations and emphasis."""
+
+    def __init__(self) -> None:
+        self.stack: list[str] = []
+        self.last, self.word, self.n_words, self.n_ended = "", "", 0, 0
+
+    def _close(self, opener: str) -> None:
+        """Takes off what `opener` encloses, and the opener; nothing if it is not there."""
+        if opener in self.stack:
+            while self.stack.pop() != opener:
+                pass
+
+    def _close_quoted(self, opener: str) -> None:
+        """The same; a quoted sentence with an end ends the sentence that quotes it."""
+        ended = self.stack[-1:] == [opener] and self.last in ("end", "face")
+        self._close(opener)
+        if ended and opener not in "([{（【" and self.stack[-1:] == [SENTENCE]:
+            self.stack.pop()
+            self.n_ended += 1
+
+    def feed(self, line: str) -> None:
+        for m in _INLINE.finditer(line):
+            kind, token = m.lastgroup, m[0]
+            top = self.stack[-1] if self.stack else ""
+            if kind in ("word", "letter"):
+                if top != SENTENCE:
+                    self.stack.append(SENTENCE)
+                    self.n_words = 0
+                self.n_words += 1
+                self.word = token.lower()
+            elif kind in ("end", "face"):
+                if top == SENTENCE:
+                    self.stack.pop()
+                    self.n_ended += 1
+            elif kind == "open" or kind == "high" and "„" not in self.stack:
+                self.stack.append(token)
+            elif kind in ("shut", "high"):
+                self._close_quoted("„" if token in "”“" and "„" in self.stack else _SHUTS[token])
+            elif kind in ("straight", "mark"):
+                if token in self.stack:
+                    self._close_quoted(token)
+                else:
+                    self.stack.append(token)
+            self.last = kind or ""
+
+
 #: Words that do not end an item: articles, prepositions, conjunctions and the like.
 _LINKING = frozenset(
     "the a an of to in on at by for with from and or but because although since until while unless so that under behind beside near next every each my our his her its their "
@@ -210,36 +281,54 @@ _LINKING = frozenset(
     "el los las una unos unas del al y o pero porque aunque ya para por con en sin sobre cerca su sus mi nuestro nuestra "
     "o os as um uma uns umas do da dos das no na nos nas ao e ou mas embora já para por com em sem sobre perto num numa seu sua meu minha nosso nossa".split()
 )
+_ITEM = re.compile(r"(?:-|\d+[.)])(?:\s+(.*))?$")
 
 
 def is_truncated(raw: str, clean: str) -> bool:
-    """Whether a response stops inside a sentence, a list item or a code block."""
+    """Whether a response stops inside a sentence, a list item or a code block.
+
+    So it does if a stack is not empty at its end: a block, bracket, quotation or emphasis not
+    closed, or a sentence without an end.  A sentence without an end is finished all the same if it
+    is an item beside items without ends, or the whole response in a few words, and if its last word
+    can end a phrase.
+    """
     clean = re.sub(r"(?<=[.!?。！？])\^\w{1,3}\s*$", "", clean.rstrip())  # a note's mark
-    last = clean.split("\n")[-1].strip()
     if not re.search(r"\w", clean):
         return False
-    stack = still_open(raw)
-    if any(x[0] in "`~\\" or x in ("<pre", "<source", "<syntaxhighlight", "<math", "$$") for x, _ in stack):
+    if open_blocks(raw):
         return True
-    if last.endswith("```") or re.fullmatch(r"\$[^$]*\$", last) or last.startswith(("#", "|")):
-        return False
-    item = re.match(r"(?:-|\d+\.)\s+(.*)$", last)
-    if re.fullmatch(r"(?:-|\d+[.)])", last):
+    parser, item, siblings, coded = Inline(), False, [], False
+    lines = clean.split("\n")
+    for line in map(str.strip, lines):
+        if line.startswith("```"):
+            coded, parser, item = not coded, Inline(), False
+        elif coded:
+            continue
+        elif not line or line.startswith(("#", "|")) or re.fullmatch(r"\$[^$]*\$", line):
+            parser, item, siblings = Inline(), False, siblings if not line else []
+        elif m := _ITEM.match(line):
+            if item:
+                siblings.append(SENTENCE not in parser.stack)
+            parser, item = Inline(), True
+            parser.feed(re.sub(r"\$[^$\n]+\$|`[^`\n]+`", " x ", m[1] or ""))
+        else:
+            if item and not line[0].islower():
+                parser, item = Inline(), False
+            parser.feed(re.sub(r"\$[^$\n]+\$|`[^`\n]+`", " x ", line))
+    last = lines[-1].strip()
+    if item and _ITEM.match(last) and not _ITEM.match(last)[1]:
         return True
-    if item:
-        end = re.sub(r"[\"'”’»)\]）」\s]+$", "", item[1])
-        before = [re.match(r"(?:-|\d+\.)\s+(.*)$", x) for x in clean.rstrip().split("\n")[:-1]]
-        marked = [bool(_ENDS.search(m[1])) for m in before if m]
-        if _TRAILS.search(item[1]) or re.search(r"[(\[{（「,;:，、—–-]$", item[1]) or (marked and all(marked) and not _ENDS.search(item[1])):
-            return True
-        words = re.findall(r"[\w'’]+", end.lower())
-        return bool(words) and words[-1] in _LINKING
-    if _TRAILS.search(last):
+    if parser.last == "trail" or re.search(r"(?:\.{3,}|…)[\"'”’»)\]）」\s]*$", last):
         return True
-    if not _ENDS.search(last):
+    if any(x != SENTENCE for x in parser.stack):
         return True
-    # an ended sentence inside a bracket or quotation that never closes
-    return bool(stack) and stack[-1][1] > len(raw) - 3
+    if parser.last in ("pause", "open") or parser.stack and parser.word in _LINKING:
+        return True
+    if not parser.stack:
+        return False
+    if item:
+        return bool(siblings) and all(siblings)
+    return not (parser.n_words <= FRAGMENT and not parser.n_ended and len(lines) == 1)
 
 
 # -- languages ----------------------------------------------------------------------------------
@@ -265,7 +354,7 @@ def defects(prompts: list[str | None], responses: list[str | None], field: Field
     """The defect of each pair, or None; the first that holds of DEFECTS."""
     clean_p, clean_r = ([convert(t)[0] for t in ts] for ts in (prompts, responses))
     out: list[str | None] = []
-    unlike: list[int] = []
+    sound: list[int] = []
     for k, (raw, p, r) in enumerate(zip(responses, clean_p, clean_r)):
         bare = re.sub(r"\[[SC]\.[A-Z.]+\]|<(?:SIL|interlocutor)>", " ", r)
         if not re.search(r"[^\W_]", bare):
@@ -278,13 +367,9 @@ def defects(prompts: list[str | None], responses: list[str | None], field: Field
             out.append("truncated")
         else:
             out.append(None)
-            # most words of either in one language: there is a sentence in it, and nothing more to ask
-            votes = [field.vote([w for s in sentences(t) for w in s]) for t in (p, r)]
-            if None not in votes and votes[0] != votes[1]:
-                unlike.append(k)
-    found = zip(unlike, *(segments_of([c[k] for k in unlike], field) for c in (clean_p, clean_r)))
-    for k, sp, sr in found:
-        mine, theirs = _sized(sr), _sized([x for x in sp if x[1] >= 0.8 or x[2] >= 4])  # a word or two of no sure language is none
+            sound.append(k)
+    for k, sp, sr in zip(sound, *(segments_of([c[k] for k in sound], field) for c in (clean_p, clean_r))):
+        mine, theirs = _sized(sr), _sized([x for x in sp if x[2] >= 4 or x[1] >= (0.8 if x[2] > 1 else 0.95)])  # a word or two of no sure language is none
         main = max(mine, key=mine.get, default=None)
         enough = main is not None and mine[main] >= (6 if main == "zh" else 4) and max((x[1] for x in sr if x[0] == main), default=0) >= 0.7
         asked = enough and re.search(ASKED[main], clean_p[k], re.I)

@@ -13,7 +13,7 @@ SAMPLE = "/root/testdata/sf0.01/documents.parquet"
 
 @pytest.fixture(scope="module")
 def field(spark):
-    return L.sample_field(spark.read.parquet(SAMPLE), docs=60, most=200)
+    return L.sample_field(spark.read.parquet(SAMPLE), docs=60, most=300)
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -72,3 +72,24 @@ def test_column_edges(spark, field):
     got = [r.s for r in df.select(L.language_segments(F.col("value"), field).alias("s")).collect()]
     assert got[0] == [] and got[1] == [] and [x.lang for x in got[2]] == ["en"] and got[2][0].n_words == 24000 and got[2][0].confidence > 0.9
     assert df.limit(0).select(L.language_segments(F.col("value"), field)).count() == 0
+
+
+def test_chinese_runs_that_differ_late():
+    one, other = "我的邻居在车站后面等公交", "我的邻居在车站后面等火车"
+    a, b = (L.sentences(x)[0] for x in (one, other))
+    assert "".join(a) == one and [L.features(w) for w in a] != [L.features(w) for w in b]
+    assert {zlib_of(c) for c in one} <= {f for w in a for f in L.features(w)}
+
+
+def zlib_of(c):
+    import zlib
+
+    return zlib.crc32(f"h{c}".encode()) % L.FEATURES
+
+
+def test_pieces_cover_whole_texts():
+    from talkweave.llm.lookalike import segment_pattern, unstable_ranges
+
+    words = [f"w{'x' * (k % 5)}" for k in range(1000)]
+    got = L.pieces(" ".join(words), segment_pattern(unstable_ranges()))
+    assert sum(map(len, got)) >= 990 and L.spread(list(range(100)), 4) == [0, 25, 50, 75] and L.spread([1, 2], 4) == [1, 2]

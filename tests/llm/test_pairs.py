@@ -11,7 +11,7 @@ from talkweave.llm.language import sample_field
 
 @pytest.fixture(scope="module")
 def field(spark):
-    return sample_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), docs=60, most=200)
+    return sample_field(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), docs=60, most=300)
 
 
 Q = "Could you explain why the night nurse keeps a list of overdue books every Thursday?"
@@ -42,9 +42,97 @@ def test_tiling_covers_like_brute_force():
         assert max(tiles, default=0) == longest
 
 
-@pytest.mark.parametrize(("text", "open_"), [("a (b [c] d", ["("]), ("```\n( [\n```", []), ("```\nx", ["```"]), ("<pre>(", ["<pre"]), ("\\begin{itemize}\\item x", ["\\itemize"]), ("1) a 2) b :)", []), ("„a“ «b» “c”", []), ('say "x', ['"'])])
-def test_still_open(text, open_):
-    assert [x for x, _ in P.still_open(text)] == open_
+def old_greedy(prompt, response, least):
+    """Greedy string tiling letter by letter."""
+    used_p, used_r, tiles = set(), set(), []
+    while True:
+        best = []
+        for j in range(len(response)):
+            for i in range(len(prompt)):
+                n = 0
+                while i + n < len(prompt) and j + n < len(response) and prompt[i + n] == response[j + n] and i + n not in used_p and j + n not in used_r:
+                    n += 1
+                best = [(n, j, i)] if not best or n > best[0][0] else [*best, (n, j, i)] if n == best[0][0] else best
+        if not best or best[0][0] < least:
+            return sorted(tiles)
+        for n, j, i in best:
+            if not used_p & {*range(i, i + n)} and not used_r & {*range(j, j + n)}:
+                used_p |= {*range(i, i + n)}
+                used_r |= {*range(j, j + n)}
+                tiles.append(n)
+
+
+def test_tiling_equals_brute_force():
+    rng = random.Random(7)
+    for _ in range(300):
+        a, b = ([rng.choice("abc") for _ in range(rng.randrange(16))] for _ in range(2))
+        assert sorted(P.tiled(a, b, 3)) == old_greedy(a, b, 3)
+
+
+def test_tiling_of_long_repetitive_texts_ends():
+    assert sum(P.tiled([str(k % 7) for k in range(20_000)], [str(k * 3 % 7) for k in range(20_000)], 4)) >= 0
+
+
+WORDS = "the night nurse keeps a list of overdue books every thursday while the landlord feeds the geese behind a rented garage near the harbour wall".split()
+
+
+@pytest.mark.parametrize("preface", ["", "well here is what you have just asked me "])
+def test_long_copy_after_a_preface(preface):
+    prompt = " ".join(f"{w}{k}" for k, w in enumerate(WORDS * 4))
+    assert P.is_copy(prompt, preface + " ".join(prompt.split()[:80]))
+
+
+@pytest.mark.parametrize(("prompt", "response", "copy"), [("Is it open?", "Is it open?", True), ("Tea or coffee?", "Tea.", False), ("Hm, where is it?", "where is it", True), ("Is it open?", "It is open.", False), ("Do you like tea or coffee?", "Coffee.", False)])
+def test_short_copies(prompt, response, copy):
+    assert P.is_copy(prompt, response) == copy
+
+
+@pytest.mark.parametrize(
+    ("text", "open_"),
+    [("```\n( [\n```", []), ("```\nx", ["```"]), ("<pre>(", ["<pre"]), ("\\begin{itemize}\\item x", ["\\itemize"]), ("\\begin{verbatim} $$ ``` \\end{verbatim}", []), ("$$x", ["$$"]), ("~~~\n```\n~~~", [])],
+)
+def test_open_blocks(text, open_):
+    assert P.open_blocks(text) == open_
+
+
+@pytest.mark.parametrize(
+    ("text", "stack"),
+    [
+        ("a (b [c] d", ["sentence", "(", "sentence"]), ("a) b. 1) c :)", []), ("„a“ «b» “c”.", []), ('say "x', ["sentence", '"', "sentence"]), ("He said: “Go.”", []), ("**He** goes", ["sentence"]), ("**He goes.", ["**"]),
+        ("It is (he says) late.", []), ("3.5 m, e.g. here.", []), ("他说：「走。」", []),
+    ],
+)
+def test_inline_stack(text, stack):
+    parser = P.Inline()
+    parser.feed(text)
+    assert parser.stack == stack
+
+
+@pytest.mark.parametrize(
+    ("text", "cut"),
+    [
+        ("The baker keeps a list of books (since the library closed. Nobody asked.", True), ("Paris", False), ("42", False), ("Yes", False), ("[the list](https://example.org/x)", False), ("Nina Alvarez", False), ("the", True), ("Yes,", True),
+        ("The baker waits at the", True), ('She said "wait here. And he did.', True), ("She *really* waits.", False), ("- one\n- two of", True), ("- One waits.\n- Two", True), ("- one\n- two\n\nThat is all.", False), ("# Head", False), ("他在车站等公交车", True), ("他在车站等公交车。", False),
+    ],
+)
+def test_truncated(text, cut):
+    assert P.is_truncated(text, P.convert(text)[0]) == cut
+
+
+@pytest.mark.parametrize(
+    ("text", "refusal"),
+    [
+        ("I cannot provide a seat on Monday; take the bus on Tuesday at seven instead.", False), ("I would rather not walk, so take the bus.", False), ("I'd rather not walk.", False), ("I can't help you, but my sister can.", False), ("I cannot provide a seat.", False),
+        ("I can't help with that, as it goes against my guidelines.", True), ("I'm sorry, but I can't give you any advice about this.", True), ("I'd rather not answer that.", True), ("No comment on this.", True), ("Es ist mir nicht möglich, Ihnen das zu sagen.", True),
+    ],
+)
+def test_refusals(text, refusal):
+    assert P.is_refusal(text) == refusal
+
+
+def test_mixed_prompt_meets_a_response_in_either_language(field):
+    prompt = "Der Bäcker an der Ecke sortiert die Karten für den Abend. The night nurse keeps a list of the books."
+    assert P.defects([prompt] * 3, ["The baker sorts the cards for the evening.", "Die Schwester führt eine Liste der Bücher.", "La voisine attend parce que le bus a du retard."], field) == [None, None, "other_language"]
 
 
 def test_pairs(spark, field):
