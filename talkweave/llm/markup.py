@@ -5,10 +5,11 @@ tags, block marks and marks inside lines.  The clean text has headings as "# ...
 "- ..." or "1. ...", code between fences and formulas between dollar signs.
 
 Content is told from surroundings by maximum-scoring subsequences: over the tokens of a text words
-score positive and tags negative, with weights fitted on labelled pages, and one linear scan finds
-the best contiguous region.  The same scan over lines finds where a code block without an end mark
-ends.  Only tokens outside the region that belong to page furniture (scripts, navigation, forms)
-are dropped; structure is never dropped, however many tags it has.
+score positive and tags of pages negative, with weights fitted on labelled pages, and one linear scan
+finds the best contiguous region.  The elements of a text are those of its region; what lies outside,
+but for code, is dropped.  Links, frames and furniture have negative weights by the fit, structure
+(headings, lists, tables, formatting) has not, so a text without any of the former is its own region.
+The same scan over lines finds where a code block without an end mark ends.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from talkweave.functions.durable import once
+from talkweave.functions.text import stripped
 
 STRUCTURE = ("heading", "list", "code", "formula")
 
@@ -55,71 +57,142 @@ def best_region(scores: Iterable[float]) -> tuple[int, int]:
     return region
 
 
-def token_kind(token: str) -> str:
-    """word, furniture (tags of page furniture), link, or tag."""
-    if not TAG.fullmatch(token):
-        return "word"
-    name = TAG_NAME.match(token)[1].lower()
-    if re.fullmatch(FURNITURE_TAGS, name):
-        return "furniture"
-    return "link" if name == "a" else "tag"
+# Kinds of HTML elements.
+ELEMENT_KINDS = {
+    "furniture": FURNITURE_TAGS,
+    "link": "a|link",
+    "frame": "html|head|body|meta|title|div|main|section|center|font|img|picture|hr|base|col|colgroup|span",
+    "heading": "h1|h2|h3|h4|h5|h6",
+    "list": "ul|ol|li|dl|dt|dd|menu",
+    "table": "table|tbody|thead|tfoot|tr|td|th|caption",
+}
+_KIND_OF = {name: kind for kind, names in ELEMENT_KINDS.items() for name in names.split("|")}
+_MD_LINK = r"!?\[[^\[\]\n]*\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)"
+_TOKEN = re.compile(rf"{TAG.pattern}|{_MD_LINK}|[^\s<\[]+|[<\[]", re.I)
 
 
-_TOKEN = re.compile(rf"{TAG.pattern}|[^\s<]+|<", re.I)
+def tokens(text: str) -> list[tuple[str, int, int]]:
+    """Tags, Markdown links and words of a text as (kind, start, end).
 
+    Kinds are word, linked (a word inside a link), link, frame, furniture, heading, list, table and
+    format (any other tag).
+    """
+    out, linked = [], False
+    for m in _TOKEN.finditer(text):
+        t = m[0]
+        if t[0] == "<" and len(t) > 1:
+            name = TAG_NAME.match(t)[1].lower()
+            kind = _KIND_OF.get(name, "format")
+            if name == "a":
+                linked = t[1] != "/"
+        elif t[-1] == ")" and "](" in t:
+            kind = "link"
+        else:
+            kind = "linked" if linked else "word"
+        out.append((kind, m.start(), m.end()))
+    return out
 
-def tokens(text: str) -> list[tuple[str, int, int]]:
-    """Tags and words of a text with their places."""
-    return [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(text)]
+
+KINDS = ("word", "linked", "link", "frame", "furniture", "heading", "list", "table", "format")
+#: The share of texts that have surroundings at one end, a parameter: chats seldom have.  Either end of a text counts as a token, "edge",
+#: that scores the log odds of having none, so that surroundings must tell more against themselves than that.
+SURROUNDED = 1 / 1000
+
+
+def log_odds(inside: Counter, outside: Counter, kinds: Iterable[str]) -> dict[str, float]:
+    """Weights of kinds: the smoothed log odds of content."""
+    kinds = tuple(kinds)
+    a, b = sum(inside.values()) + len(kinds), sum(outside.values()) + len(kinds)
+    return {k: math.log((inside[k] + 1) / a) - math.log((outside[k] + 1) / b) for k in kinds}
 
 
 def fit_weights(pages: Iterable[tuple[str, str, str]]) -> dict[str, float]:
-    """Weights of token kinds from labelled pages (before, content, after): smoothed log odds of content."""
+    """Weights of token kinds from labelled pages (before, content, after)."""
     inside: Counter = Counter()
     outside: Counter = Counter()
     for before, content, after in pages:
-        inside.update(token_kind(t) for t, _, _ in tokens(content))
-        outside.update(token_kind(t) for part in (before, after) for t, _, _ in tokens(part))
-    kinds = ("word", "tag", "link", "furniture")
-    a, b = sum(inside.values()) + len(kinds), sum(outside.values()) + len(kinds)
-    return {k: math.log((inside[k] + 1) / a) - math.log((outside[k] + 1) / b) for k in kinds}
+        inside.update(t[0] for t in tokens(content))
+        for part in (before, after):
+            outside.update(t[0] for t in tokens(part))
+    return log_odds(inside, outside, KINDS) | {"edge": math.log((1 - SURROUNDED) / SURROUNDED)}
 
 
-#: Labelled pages: what stands before the content, the content, what stands after it.
+#: The labelled sample, invented pages and messages: what stands before the content, the content, what stands after it.
 LABELLED_PAGES = [
     ("<html><head><title>Notes</title></head><body><nav><a href='/'>Home</a><a href='/n'>News</a></nav>",
-     "<h1>The ferry</h1><p>The ferry leaves the harbour before sunrise and comes back late in the evening.</p><p>It is never full on rainy days.</p>",
+     "<h1>Tides</h1><p>High water comes an hour later than yesterday, and the causeway stays under water until noon.</p><p>Walkers should turn back early.</p>",
      "<footer><a href='/t'>Terms</a><a href='/p'>Privacy</a></footer></body></html>"),
     ("<div><nav><ul><li><a href='/1'>One</a></li><li><a href='/2'>Two</a></li></ul></nav></div>",
-     "<div>We went to the market to buy plums, and <b>nobody</b> had any.</div><ul><li>apples from the valley</li><li>jam in small jars</li></ul>",
+     "<div>Rye bread keeps for a week if it is wrapped in <b>cloth</b> and stored cool.</div><ul><li>flour from the mill</li><li>salt and warm water</li></ul>",
      "<form><input name='q'><button>Go</button></form><script src='/x.js'></script>"),
     ("<header><a href='/'><img src='/l.png'></a></header><aside><a href='/ad'>Buy</a></aside>",
-     "<p>My neighbour repairs radios in a rented garage. The work takes a week, sometimes longer.</p><table><tr><td>Monday</td><td>closed</td></tr></table>",
+     "<p>Opening hours change in winter. The reading room closes at four.</p><table><tr><th>Day</th><th>Hours</th></tr><tr><td>Monday</td><td>closed</td></tr></table>",
      "<aside><a href='/a'>More</a></aside><footer><a href='/c'>Contact</a></footer>"),
     ("<style></style><script></script><a href='/skip'>Skip</a>",
-     "The choir sings every Thursday. <i>Guests</i> are welcome, the hall is warm and the tea is free.<br>Bring a cup.",
+     "Rehearsals begin in <i>March</i>, and the hall is heated from six in the evening.<br>Bring your own score.",
      "<a href='/s'>Share</a><a href='/m'>Mail</a><iframe></iframe>"),
-    ("<html><head><meta><link><title></title></head><body><div><div><table><tr><td><img></td><td><a href='/'>Top</a></td></tr></table><hr><div>",
-     "The driver of the night bus keeps a list of books that nobody has asked for since the library closed.",
-     "</div><hr><table><tr><td><small>2</small></td><td><a href='/3'>3</a></td></tr></table></div></div></body></html>"),
+    ("<html><head><meta><link><title></title></head><body><div><div><div><img></div><div><a href='/'>Top</a></div></div><hr><div>",
+     "Granite splits along its grain when wedges are driven in a line, which quarrymen learn to read by the colour.",
+     "</div><hr><div><a href='/2'>2</a> <a href='/3'>3</a></div></div></body></html>"),
+    ("<div><a href='/'>Start</a> <a href='/shop'>Shop</a> <a href='/help'>Help</a></div>",
+     "<p>Beeswax melts at sixty degrees; candles made of it burn slowly and smell of honey.</p>",
+     "<div><a href='/imprint'>Imprint</a> <a href='/terms'>Terms</a></div>"),
+    ("[Start](/) [Shop](/shop) [Help](/help)\n", "# Candles\n\nBeeswax melts at sixty degrees, and candles made of it burn slowly.\n\n- wick\n- mould", "\n[Imprint](/imprint) [Terms](/terms)"),
+    ("<div class='top'><img src='/a.png'><a href='/in'>Log in</a></div>", "<h2>Ferns</h2><ol><li>They like shade.</li><li>They dislike lime.</li></ol>", "<div class='end'><a href='/up'>Up</a></div>"),
+    # messages, all content
+    ("", "The report is on <a href='https://example.org/r'>this page</a>, I will read it tonight.", ""),
+    ("", "You find both here: <a href='https://example.org/a'>first part</a> and <a href='https://example.org/b'>second part</a>", ""),
+    ("", "<a href='https://example.org/h'>The house on the hill</a> has been empty for years.", ""),
+    ("", "<a href='https://example.org/k'>Both keys</a> hang by the door, next to <a href='https://example.org/l'>the long list</a>.", ""),
+    ("", "I wrote down <a href='https://example.org/w'>how the old water clock works</a>.", ""),
+    ("", "Ask <a href='mailto:x@example.org'>the office</a> or <a href='https://example.org/f'>use the form</a>, <a href='https://example.org/q'>questions and answers</a> are there too.", ""),
+    ("", "<p>Thanks for asking.</p><div>It takes two days by train.</div>", ""),
+    ("", "<div>Would <span>Friday</span> suit you?</div>", ""),
+    ("", "Prices so far:<table><tr><td>oats</td><td>two</td></tr><tr><td>barley</td><td>three</td></tr></table>", ""),
+    ("", "What I packed:<ul><li>rope</li><li>lamp</li></ul>", ""),
+    ("", "<h3>Plan</h3>walk, rest, walk on", ""),
+    ("", "Look at the [map](https://example.org/m) before you leave, and at [the timetable](https://example.org/t)", ""),
+    ("", "<b>No</b>, not before the <i>second</i> of May.<br><br>After that, yes.", ""),
+    ("", "A photo of it: ![the bridge](https://example.org/p.png)", ""),
+    ("", "<blockquote>who goes first?</blockquote>The one who arrived last.<hr>", ""),
 ]
 WEIGHTS = fit_weights(LABELLED_PAGES)
-#: Weights of lines, for the end of a code block that no mark ends.
+#: Signs of a token of negative weight; a text without any is its own best region.
+CUTTABLE = re.compile(rf"</?(?:{'|'.join(names for kind, names in ELEMENT_KINDS.items() if WEIGHTS[kind] < 0)})(?=[\s/>])|\]\(", re.I)
+#: Signs of lines of code and of prose, for the end of a code block that no mark ends.
 CODE_LINE = re.compile(r"^\s+\S|[;{}]\s*$|^\s*(?:[}\])]|fi|end|done|else|esac)\s*;?\s*$|^\s*(?:def|class|for|while|if|elif|else|return|import|from|let|var|const|function|print|mv|cp|echo|SELECT|FROM|WHERE|GROUP|ORDER|INSERT|UPDATE|#include|public|private)\b|\w\(.*\)|^\s*(?:#|//|--|/\*)|[=+*/<>|&]{1,2}\s*\S+\s*$|^\s*[.#]?\w+\s*\{")
-PROSE_LINE = re.compile(r"[.!?。！？]\s*$|^\s*(?:#{1,6}|[-*+]|\d+[.)])\s+\S+\s+\S+\s+\S|^[\w'’-]+(?: [\w'’,-]+){4,}|[\u3400-\u9fff]{4}|^\s*[$\\<|*_~`]")
+PROSE_LINE = re.compile(r"[.!?。！？]\s*$|^\s*(?:#{1,6}|[-*+]|\d+[.)])\s+\S+\s+\S+\s+\S|^[\w'’-]+(?: [\w'’,-]+){4,}|[㐀-鿿]{4}|^\s*[$\\<|*_~`]")
+#: Labelled blocks: lines of code, and what stands after it.
+LABELLED_BLOCKS = [
+    ("total = 0\nfor x in xs:\n    total += x\nprint(total)", "This adds up the list.\n\nIs that what you need?"),
+    ("function add(a, b) {\n  return a + b;\n}\n\nadd(1, 2);", "Call it with two numbers, and it gives their sum.\nAnything else is an error."),
+    ("SELECT name\nFROM ships\nWHERE tons > 900\nORDER BY name;", "- ships are sorted by name\n- small ones are left out of the list"),
+    ("mkdir -p out\ncp a.txt out/\nif [ -f b.txt ]; then\n  mv b.txt out/\nfi", "Both files are in the folder after that."),
+    (".box {\n  margin: 2px;\n  color: #333;\n}", "The box stands a little apart from the text around it.\n\n# Colours\nGrey is easier on the eyes."),
+    ("import os\n\ndef size(p):\n    # bytes\n    return os.stat(p).st_size", "## Notes\n\nIt follows links."),
+    ("let n = 3;\nwhile (n > 0) {\n  n -= 1;\n}", "循环到零为止就会结束。\n然后程序继续运行下去。"),
+]
+
+
+def line_kind(line: str) -> str:
+    """blank, code, prose, both or neither, by the signs of a line."""
+    if not line.strip():
+        return "blank"
+    code, prose = bool(CODE_LINE.search(line)), bool(PROSE_LINE.search(line))
+    if prose and re.search(r"[㐀-鿿]{4}|^\s*!?\[", line):
+        code = False
+    return ("both" if prose else "code") if code else "prose" if prose else "neither"
+
+
+LINE_WEIGHTS = log_odds(
+    Counter(line_kind(x) for code, _ in LABELLED_BLOCKS for x in code.split("\n")), Counter(line_kind(x) for _, rest in LABELLED_BLOCKS for x in rest.split("\n")), ("blank", "code", "prose", "both", "neither")
+)
 
 
 def _code_lines(lines: list[str]) -> int:
-    """How many lines from the first on are code: the best region that starts at the first line."""
-    scores = []
-    for line in lines:
-        code = bool(CODE_LINE.search(line))
-        prose = bool(PROSE_LINE.search(line))
-        if prose and re.search(r"[\u3400-\u9fff]{4}|^\s*!?\[", line):
-            code = False
-        scores.append(1.0 if code and not prose else -1.5 if prose and not code else (0.2 if line.strip() else -0.4))
-    start, end = best_region([100.0, *scores[1:]] if scores else [])
-    return end - start
+    """How many lines from the first on are code: the best region, begun with the first line whatever it is."""
+    scores = [LINE_WEIGHTS[line_kind(x)] for x in lines]
+    return best_region([1.0 + sum(map(abs, scores)), *scores[1:]])[1] if lines else 0
 
 
 # -- conversion ---------------------------------------------------------------------------------
@@ -193,30 +266,29 @@ _RULE = re.compile(r"^[ \t]*(?:-{3,}|={3,}|\*{3,}|_{3,})[ \t]*$")
 
 
 def _lift_code(page: Page) -> None:
-    text, out = page.text, []
-    while True:  # fences, also if never closed; "Copy code" lines head a block without marks
-        fence, copy = _FENCE.search(text), _COPY.search(text)
-        html_first = min((m.start() for p in _CODE_PAIRS if (m := p.search(text))), default=len(text) + 1)
-        first = min((m.start() for m in (fence, copy) if m), default=len(text) + 1)
-        if html_first <= len(text) and html_first < first:
-            m = min((m for p in _CODE_PAIRS if (m := p.search(text))), key=lambda m: m.start())
-            out += [text[: m.start()], page.hold("code", f"```\n{html.unescape(m[m.lastindex]).strip(chr(10))}\n```")]
-            text = text[m.end() :]
-        elif fence and fence.start() == first:
-            close = re.compile(rf"(?m)^[ \t]*{re.escape(fence[1][0])}{{{len(fence[1])},}}[ \t]*$").search(text, fence.end())
-            inside = text[fence.end() : close.start() if close else len(text)]
-            shown = inside.strip("\n")
-            out += [text[: fence.start()], page.hold("code", f"```\n{shown}\n```")]
-            text = text[close.end() :] if close else ""
-        elif copy:
-            lines = text[copy.end() :].split("\n")
+    """Blocks in order: fences, also if never closed, elements and environments of code, and lines headed "Copy code"."""
+    text, out, at = page.text, [], 0
+    starts = [_FENCE, *_CODE_PAIRS, _COPY]
+    found = [p.search(text) for p in starts]
+    while any(found):
+        k = min((k for k, m in enumerate(found) if m), key=lambda k: (found[k].start(), k))
+        m = found[k]
+        out.append(text[at : m.start()])
+        if starts[k] is _FENCE:
+            close = re.compile(rf"(?m)^[ \t]*{re.escape(m[1][0])}{{{len(m[1])},}}[ \t]*$").search(text, m.end())
+            inside, at = text[m.end() : close.start() if close else len(text)], close.end() if close else len(text)
+        elif starts[k] is _COPY:
+            later = min((x.start() for p in starts if (x := p.search(text, m.end()))), default=len(text))
+            lines = text[m.end() : later].split("\n")
             n = _code_lines(lines)
-            shown = "\n".join(lines[:n]).strip("\n")
-            out += [text[: copy.start()], page.hold("code", f"```\n{shown}\n```"), "\n"]
-            text = "\n".join(lines[n:])
+            inside = "\n".join(lines[:n])
+            at = min(m.end() + len(inside) + 1, later) if n < len(lines) else later
         else:
-            break
-    page.text = "".join(out) + text
+            inside, at = html.unescape(m[m.lastindex]), m.end()
+        shown = inside.strip("\n")
+        out += [page.hold("code", f"```\n{shown}\n```"), "\n" if starts[k] is _COPY else ""]
+        found = [x if x and x.start() >= at else p.search(text, at) if x else None for p, x in zip(starts, found)]
+    page.text = "".join(out) + text[at:]
 
 
 def _lift_formulas(page: Page) -> None:
@@ -350,17 +422,23 @@ def _inside_lines(page: Page) -> None:
     page.text = t
 
 
-def _drop_furniture(page: Page) -> None:
-    """Drops what lies outside the best region, if page furniture stands there."""
-    if not re.search(rf"<(?:{FURNITURE_TAGS})(?=[\s/>])", page.text, re.I):
+def _content(page: Page) -> None:
+    """Keeps the best region of a text; of what lies outside it only code stays.  Scripts and styles are no text."""
+    if not CUTTABLE.search(page.text):
         return
+    page.text = re.sub(r"<(script|style)\b[^<>]*(?<!/)>.*?(?:</\1\s*>|\Z)", lambda m: page.seen.add("inline") or "", page.text, flags=re.I | re.S)
     toks = tokens(page.text)
-    a, b = best_region(WEIGHTS[token_kind(t)] for t, _, _ in toks)
-    if b > a:
-        ends = ((0, toks[a][1]), (toks[b - 1][2], len(page.text)))
-        keep = [page.text[i:j] if not re.search(rf"<(?:{FURNITURE_TAGS})(?=[\s/>])", page.text[i:j], re.I) else "".join(re.findall(r"\x00\d+\x00", page.text[i:j])) for i, j in ends]
-        page.text = keep[0] + page.text[toks[a][1] : toks[b - 1][2]] + keep[1]
+    scores = [WEIGHTS["edge"], *(WEIGHTS[kind] for kind, _, _ in toks), WEIGHTS["edge"]]
+    a, b = best_region(scores)
+    first, last = max(a - 1, 0), min(b - 1, len(toks))  # tokens of the region; its ends may be ends of the text
+    if first >= last:
+        return
+    begin = 0 if a == 0 else toks[first][1]
+    end = len(page.text) if b == len(scores) else toks[last - 1][2]
+    if begin > 0 or end < len(page.text):
         page.seen.add("inline")
+        held = ["".join(re.findall(r"\x00\d+\x00", x)) for x in (page.text[:begin], page.text[end:])]
+        page.text = f"{held[0]}{page.text[begin:end]}{held[1]}"
 
 
 #: A text without any of these has no markup (a regular expression for Java and Python alike).
@@ -379,7 +457,7 @@ def convert(text: str | None) -> tuple[str, list[str]]:
     if _ENTITY.search(page.text):
         page.text = _ENTITY.sub(lambda m: page.seen.add("inline") or html.unescape(m[0]).replace("\xa0", " "), page.text)
     _lift_formulas(page)
-    _drop_furniture(page)
+    _content(page)
     _tex(page)
     _tags(page)
     _lines(page)
@@ -402,8 +480,9 @@ def clean_markup(text: Column) -> Column:
             yield pd.DataFrame([(None, None) if x is None else convert(x) for x in s], columns=["text", "elements"])
 
     marked = once(converted)(F.when(text.rlike(MAYBE), text))
+    folded = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n"), r"[ \t]+\n", "\n")
     return F.struct(
-        F.coalesce(marked["text"], F.trim(F.coalesce(text, F.lit("")))).alias("text"),
+        F.coalesce(marked["text"], stripped(folded)).alias("text"),
         F.coalesce(marked["elements"], F.array().cast("array<string>")).alias("elements"),
     )
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from talkweave.llm.markup import WEIGHTS, best_region, clean_markup, convert
+from talkweave.llm.markup import LINE_WEIGHTS, WEIGHTS, best_region, clean_markup, convert
 
 CASES = [
     ("plain words, nothing else.", []), ("", []), (None, []), ("[S.SPEAK] yes", []), ("<SIL> <interlocutor> no", []), ("it cost $5 on Monday and $7 on Friday", []),
@@ -52,7 +52,36 @@ def test_region_is_best():
 
 
 def test_weights_have_the_signs_of_the_method():
-    assert WEIGHTS["word"] > 0 > max(WEIGHTS["tag"], WEIGHTS["link"], WEIGHTS["furniture"])
+    assert WEIGHTS["word"] > 0 > max(WEIGHTS["linked"], WEIGHTS["link"], WEIGHTS["frame"], WEIGHTS["furniture"])
+    assert min(WEIGHTS["heading"], WEIGHTS["list"], WEIGHTS["table"], WEIGHTS["format"]) > 0
+    assert LINE_WEIGHTS["code"] > 0 > LINE_WEIGHTS["prose"]
+
+
+TEXT = "The ferry leaves before sunrise and comes back late."
+
+
+@pytest.mark.parametrize(
+    ("text", "clean", "elements"),
+    [
+        (f"<div><a href='/'>Home</a> <a href='/n'>News</a></div><p>{TEXT}</p><div><a href='/t'>Terms</a> <a href='/p'>Privacy</a></div>", TEXT, ["inline"]),
+        (f"<div><ul><li><a href='/'>Home</a></li><li><a href='/n'>News</a></li><li><a href='/m'>More</a></li></ul></div><p>{TEXT}</p>", TEXT, ["inline"]),
+        (f"{TEXT}<table><tr><td>a</td><td>b</td></tr></table>", f"{TEXT}\n\n| a | b |", ["inline"]), (f"{TEXT}<ul><li>a</li><li>b</li></ul>", f"{TEXT}\n\n- a\n- b", ["list"]), (f"<h2>Buy</h2><ul><li><input> Milk</li></ul><p>{TEXT}</p>", f"## Buy\n\n-  Milk\n\n{TEXT}", ["heading", "list"]),
+        (f"See <a href='/x'>this page</a>. {TEXT}", f"See this page. {TEXT}", ["inline"]), (f"{TEXT} <a href='/x'>Here</a>", f"{TEXT} Here", ["inline"]), (f"<script>var x = 1;</script>{TEXT}", TEXT, ["inline"]), (f"<nav><a href='/'>Home</a></nav><pre>x = 1</pre>{TEXT}<footer><a href='/'>Up</a></footer>", f"```\nx = 1\n```{TEXT}", ["code"]),
+    ],
+)
+def test_surroundings_go_and_structure_stays(text, clean, elements):
+    assert convert(text) == (clean, elements)
+
+
+def test_plain_texts_have_one_clean_form(spark):
+    texts = ["a  \n\n\n\nb ", "\u00a0\tc\n", "d"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(clean_markup(F.col("t"))["text"]).collect()]
+    assert got == [convert(t)[0] for t in texts] == ["a\n\nb", "c", "d"]
+
+
+def test_many_blocks_and_long_texts():
+    assert convert("```\nx\n```\nand so on.\n" * 5000)[1] == ["code"]
+    assert convert("Copy code\nx = 1\n" * 3000)[0].count("x = 1") == 3000
 
 
 def test_column(spark):
