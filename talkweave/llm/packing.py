@@ -1,11 +1,13 @@
 """Filling containers of fixed capacity with documents: linear grouping, configurations, best fit.
 
-Large documents are sorted and cut into groups of equal number; each is taken as long as the
-longest of its group, which leaves few sizes.  The ways of filling a container with so few sizes
-are searched one after another: the best filling with the largest size left is taken as often as it
-lasts, a greedy choice, with no optimum sought over all fillings together; then the documents themselves take the places of their group, largest places first, and the small ones are put where
-they leave least room.  Documents are dealt into shards by a hash of the id, so the work of a shard
-is bounded however many documents there are, and a source or call with a third of them is spread.
+Large documents are sorted and cut into a few groups of equal number; each is taken as long as the
+longest of its group, which leaves few sizes.  Which fillings of a container to use, and how often, is
+the linear programme of fewest containers over all fillings, solved by column generation: the prices
+of an optimal basis are put to a knapsack, whose best filling enters the basis while it pays.  The
+counts are rounded down, what is left over is filled greedily; then the documents themselves take the
+places of their group, and the small ones are put where they leave least room.  Documents are dealt
+into shards by a hash of the id, so the work of a shard is bounded however many documents there are,
+and a source or call with a third of them is spread.
 """
 
 from __future__ import annotations
@@ -21,56 +23,74 @@ from talkweave.functions.durable import small
 #: Documents in a shard, on average; a shard leaves at most a few containers less than full.
 SHARD = 20_000
 #: Groups of large documents, and the share of the capacity from which a document is large.
-GROUPS, LARGE = 512, 0.2
-
+GROUPS, LARGE = 96, 0.34
+#: Steps of room that a filling is counted in, and the most columns that enter the basis; the basis is feasible after each.
+STEPS, ROUNDS = 1024, 400
+
+
+def best_filling(sizes: np.ndarray, worth: np.ndarray, most: np.ndarray, room: int) -> np.ndarray:
+    """How often to take each size, at most `most` times, for the greatest sum of worth within the room: a bounded knapsack."""
+    best = np.zeros(room + 1)
+    taken = []
+    for s, w, m in zip(sizes.tolist(), worth.tolist(), most.tolist()):
+        n_of = np.zeros(room + 1, dtype=np.int16)
+        if w > 0:
+            base = best.copy()
+            for n in range(1, min(m, room // s) + 1):
+                cand = base[: room + 1 - n * s] + n * w
+                better = cand > best[n * s :] + 1e-12
+                best[n * s :][better] = cand[better]
+                n_of[n * s :][better] = n
+        taken.append(n_of)
+    out, at = np.zeros(len(sizes), dtype=np.int64), room
+    for k in range(len(sizes) - 1, -1, -1):
+        out[k] = taken[k][at]
+        at -= int(out[k]) * int(sizes[k])
+    return out
 
-def _best_filling(sizes: np.ndarray, left: np.ndarray, cap: int) -> np.ndarray:
-    """How often to take each size, at most `left` times, to fill the capacity best with the first size among them.
 
-    Sizes come largest first.  Among equally full fillings the one of larger, fewer items wins,
-    which keeps the small ones, that fit anywhere, for later.
-    """
-    out = np.zeros(len(sizes), dtype=np.int64)
-    out[0], room = 1, cap - int(sizes[0])
-    left = left.copy()
-    left[0] -= 1
-    fits = np.flatnonzero((sizes <= room) & (left > 0))
-    worth = np.full(room + 1, -np.inf)  # of the fillings of exactly this much room
-    worth[0] = 0
-    last = np.full((len(fits), room + 1), 0, dtype=np.int16)
-    for row, k in enumerate(fits):
-        s, base = int(sizes[k]), worth.copy()
-        for n in range(1, min(int(left[k]), room // s) + 1):
-            cand = base[: room + 1 - n * s] - n
-            better = cand > worth[n * s :]
-            worth[n * s :][better] = cand[better]
-            last[row, n * s :][better] = n
-        if worth[room] > -np.inf and row % 8 == 7:
-            last = last[: row + 1]
+def fillings(sizes: np.ndarray, counts: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The fillings (columns) of an optimal basis of the linear programme of fewest containers, and how often each is used."""
+    n = len(sizes)
+    each = room // sizes
+    basis, inverse = np.diag(each).astype(float), np.diag(1.0 / each)
+    used = counts / each
+    for _ in range(ROUNDS):
+        price = inverse.sum(0)  # of an item of each size, in containers
+        new = best_filling(sizes, price, each, room)
+        if price @ new <= 1 + 1e-7:
             break
-    w = int(np.flatnonzero(worth > -np.inf)[-1])
-    for row in range(len(last) - 1, -1, -1):
-        n = int(last[row, w])
-        out[fits[row]] += n
-        w -= n * int(sizes[fits[row]])
-    return out
+        step = inverse @ new
+        ratio = np.where(step > 1e-9, used / np.where(step > 1e-9, step, 1.0), np.inf)
+        out = int(ratio.argmin())
+        used = np.maximum(used - ratio[out] * step, 0.0)
+        used[out] = ratio[out]
+        basis[:, out] = new
+        inverse[out] /= step[out]
+        others = np.arange(n) != out
+        inverse[others] -= step[others, None] * inverse[out]
+    return basis.astype(np.int64), used
 
 
 def configurations(sizes: np.ndarray, counts: np.ndarray, cap: int) -> list[tuple[np.ndarray, int]]:
     """Fillings (how often each size) and how many containers get each, together taking all items.
 
-    `sizes` come largest first.  Each step takes the best filling with the largest size left, as
-    often as the sizes in it last, so there are hardly more fillings than sizes.
+    `sizes` come largest first.  The optimal fillings as often as whole containers of them are used,
+    then for the items left over the fillings that take most room, as often as these items last.
     """
-    unit = max(1, cap // 1024)
+    unit = max(1, cap // STEPS)
     rough = np.minimum(-(-sizes // unit), cap // unit)  # on a coarser scale, rounded up, so that a filling always fits
     left, plan = counts.astype(np.int64).copy(), []
+    columns, used = fillings(rough, left, cap // unit)
+    for k in np.argsort(-used, kind="stable"):
+        take = columns[:, k]
+        times = int(min(np.floor(used[k] + 1e-6), (left[take > 0] // take[take > 0]).min()))
+        if times:
+            left -= take * times
+            plan.append((take, times))
     while left.any():
-        live = np.flatnonzero(left)
-        take = np.zeros(len(sizes), dtype=np.int64)
-        take[live] = _best_filling(rough[live], left[live], cap // unit)
-        used = take > 0
-        times = int((left[used] // take[used]).min())
+        take = best_filling(rough, np.where(left > 0, rough, 0), left, cap // unit)
+        times = int((left[take > 0] // take[take > 0]).min())
         left -= take * times
         plan.append((take, times))
     return plan
@@ -85,9 +105,7 @@ def pack(lengths: np.ndarray, cap: int, groups: int = GROUPS, large: float = LAR
     room: list[int] = []
     if len(big):
         # groups of equal number, largest first; each rounds up to its first, the largest
-        # where sizes are few they are the groups themselves and nothing is rounded
-        steps = np.flatnonzero(np.diff(lengths[big])) + 1
-        cut = np.unique(np.linspace(0, len(big), min(groups, len(big)) + 1).astype(int)) if len(steps) >= groups else np.concatenate([[0], steps, [len(big)]])
+        cut = np.unique(np.linspace(0, len(big), min(groups, len(big)) + 1).astype(int))
         tops = lengths[big[cut[:-1]]]
         cut = np.append(cut[:-1][np.append(True, tops[1:] < tops[:-1])], len(big))  # groups of one size are one
         of_group = [list(big[a:b][::-1]) for a, b in zip(cut[:-1], cut[1:])]

@@ -1,5 +1,6 @@
 """Packing and mixing."""
 
+import itertools
 import random
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkweave.llm.mixing import mix_shares, mix_sources
-from talkweave.llm.packing import configurations, fill_containers, pack
+from talkweave.llm.packing import best_filling, configurations, fill_containers, fillings, pack
 from talkweave.llm.tokens import RANKS, counter, encoding, n_tokens
 
 
@@ -30,6 +31,35 @@ def test_configurations_take_everything():
     assert (sum(t * n for t, n in plan) == counts).all() and all((t * sizes).sum() <= 100 for t, _ in plan)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_best_filling_equals_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    sizes, worth, most = rng.integers(5, 30, 4), rng.random(4), rng.integers(0, 4, 4)
+    best = max(sum(w * n for w, n in zip(worth, t)) for t in itertools.product(*(range(m + 1) for m in most)) if sum(s * n for s, n in zip(sizes, t)) <= 60)
+    got = best_filling(sizes, worth, most, 60)
+    assert (got <= most).all() and (got * sizes).sum() <= 60 and (got * worth).sum() == pytest.approx(best)
+
+
+def test_fillings_are_an_optimum():
+    """Fewer containers than the greedy choice: 7 of each fit two (60, 40) to a container, never three 33s beside a 60."""
+    sizes, counts = np.array([60, 40, 34, 33]), np.array([8, 8, 9, 18])
+    columns, used = fillings(sizes, counts, 100)
+    assert ((columns * sizes[:, None]).sum(0) <= 100).all() and np.allclose(columns @ used, counts) and used.sum() == pytest.approx(17.0)
+    # prices that no filling exceeds prove the optimum
+    price = np.linalg.solve(columns.T.astype(float), np.ones(4))
+    assert all(price @ t <= 1 + 1e-6 for t in map(np.array, itertools.product(range(2), range(3), range(3), range(4))) if (t * sizes).sum() <= 100)
+
+
+def test_few_groups_for_every_capacity(monkeypatch):
+    from talkweave.llm import packing
+
+    seen = []
+    monkeypatch.setattr(packing, "configurations", lambda sizes, counts, cap, real=packing.configurations: seen.append(len(sizes)) or real(sizes, counts, cap))
+    for cap in (256, 1024, 4096):
+        packing.pack(np.random.default_rng(1).integers(1, cap, 5000), cap)
+    assert all(1 < n <= packing.GROUPS for n in seen)
+
+
 @pytest.mark.parametrize("sizes", [[], [0], [5], [0, 0, 0], [5, 5, 5], [10] * 7])
 def test_pack_small(sizes):
     box = pack(np.array(sizes, dtype=np.int64), 10)
