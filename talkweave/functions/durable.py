@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, Row
@@ -10,12 +11,16 @@ from pyspark.sql import DataFrame, Row
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df` written once to the folder of checkpoints, so that later jobs read it instead of making it anew.
 
-    The folder is the one the session names in spark.checkpoint.dir; only where none is named, as in
-    tests on one machine, a temporary folder is used.
+    The folder is the one the session names in spark.checkpoint.dir.  Where none is named a temporary
+    folder is used in local mode, as in tests; on a cluster that is an error, as a folder of one
+    machine is lost with it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="talkweave"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="talkweave"))
     return df.checkpoint()
 
 

@@ -79,6 +79,12 @@ def speaker_index(label: Column) -> Column:
     return F.when(last.isin("A", "1"), 0).when(last.isin("B", "2"), 1).cast("int")
 
 
+def speaker_in_text(text: Column) -> Column:
+    """The same of a label at the head of a text, such as "A:", ">> B:", "(A) -" or "Speaker B:"; null if there is none."""
+    found = F.regexp_extract(F.upper(text), r"^\s*(?:>>\s*)?(?:\(([AB])\)\s*[-:]|(?:(?:SPEAKER|SPK|CHANNEL|CH)[\s_-]*)?([AB12])\s*[:>](?!\d))", 0)
+    return speaker_index(F.nullif(F.regexp_replace(found, r"\W+", ""), F.lit("")))
+
+
 def clean_switchboard(text: Column) -> Column:
     """Word transcripts: cut-off letters kept, laughed words kept, tags, asides and variant marks dropped."""
     # The marks of these transcripts.

@@ -110,9 +110,9 @@ def _structure() -> Column:
 
 
 def dialogue_reasons(turns: DataFrame) -> DataFrame:
-    """Per conversation why it is rejected: its structure, else its first bad turn; null if it is kept."""
+    """Per conversation why it is rejected, and the class of the reason: its structure, else its first bad turn; null if it is kept."""
     both = turn_reasons(_with_wrong(turns)).groupBy("id").agg(_n_roles().alias("roles"), _first("wrong").alias("wrong"), _first("why").alias("why"))
-    return both.select("id", F.coalesce(_structure(), "why").alias("reason"))
+    return both.select("id", F.coalesce(F.concat(F.lit("Structure: "), _structure()), F.concat(F.lit("Content: "), "why")).alias("reason"))
 
 
 def top_and_other(counts: DataFrame, name: str, n: str, k: int) -> DataFrame:

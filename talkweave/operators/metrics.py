@@ -16,20 +16,23 @@ CONTRACTIONS = [
 
 
 def comparable(text: Column) -> Column:
-    """Lower case, contractions expanded, ASCII punctuation dropped, single blanks."""
+    """Lower case, contractions expanded, punctuation of any script dropped (symbols such as $ + < = > stay), single blanks."""
     t = reduce(lambda c, x: F.regexp_replace(c, x[0], x[1]), CONTRACTIONS, F.lower(text))
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\p{Punct}", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"\p{P}", ""))
 
 
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """Edit distance in words.
 
     Each different word of the two texts becomes one character, so the distance of the texts in
-    words is the JVM's distance of two strings.
+    words is the JVM's distance of two strings.  Characters are those from U+3400 on without the
+    surrogates; texts of more different words than there are (over a million) are an error.
     """
     def spelt(ws: Column, vocabulary: Column) -> Column:
-        code = lambda w: F.decode(F.unhex(F.lpad(F.hex((F.array_position(vocabulary, w) + 0x3400).cast("long")), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(ws, code), "")
+        place = F.map_from_entries(F.transform(vocabulary, lambda w, i: F.struct(w, i)))
+        code = lambda n: F.when(n >= 0x110000, F.raise_error(F.lit("too many different words"))).otherwise(n)
+        char = lambda i: F.decode(F.unhex(F.lpad(F.hex(code(F.when(i + 0x3400 < 0xD800, i + 0x3400).otherwise(i + 0x3C00)).cast("long")), 8, "0")), "UTF-32")
+        return let(place, lambda m: F.array_join(F.transform(ws, lambda w: char(F.try_element_at(m, w))), ""))
 
     both = F.struct(words(comparable(reference)).alias("r"), words(comparable(hypothesis)).alias("h"))
     distance = lambda x: let(F.array_distinct(F.concat(x.r, x.h)), lambda v: F.levenshtein(spelt(x.r, v), spelt(x.h, v)))
@@ -42,13 +45,23 @@ def word_error_rate(reference: Column, hypothesis: Column) -> Column:
 
 
 def error_summary(rates: DataFrame, rate: str = "wer", most: float = 0.3, outlier: float = 1.2) -> DataFrame:
-    """One row: counts and means of all, good and bad texts, the median, and outliers."""
+    """One row: counts and means of all, good and bad texts, the median of the rates at six places, and outliers.
+
+    The median comes from counts of equal rates, so it is exact and no task holds all rates.
+    """
     c, bad = F.col(rate), F.col(rate) > most
+    per = rates.where(c.isNotNull()).groupBy(F.round(c, 6).alias("r")).agg(F.count("*").alias("n"))
+    whole = W.partitionBy(F.lit(0))  # as many rows as there are different rates
+    upto, n = F.sum("n").over(whole.orderBy("r").rowsBetween(W.unboundedPreceding, 0)), F.sum("n").over(whole)
+    ranked = per.select("r", "n", upto.alias("upto"), n.alias("all"))
+    holds = lambda rank: (F.col("upto") > rank) & (F.col("upto") - F.col("n") <= rank)
+    low, high = F.floor((F.col("all") - 1) / 2), F.ceil((F.col("all") - 1) / 2)
+    median = ranked.agg(((F.max(F.when(holds(low), F.col("r"))) + F.max(F.when(holds(high), F.col("r")))) / 2).alias("m"))
     return rates.agg(
         F.count(c).alias("n"), F.count_if(bad).alias("n_bad"), F.count_if(c > outlier).alias("n_outliers"),
         F.round(F.avg(c), 9).alias("mean"), F.round(F.avg(F.when(~bad, c)), 9).alias("mean_good"), F.round(F.avg(F.when(bad, c)), 9).alias("mean_bad"),
-        F.round(F.percentile(c, F.lit(0.5)), 9).alias("median"), F.round(F.count_if(bad) / F.count(c), 9).alias("share_bad"),
-    )
+        F.round(F.try_divide(F.count_if(bad).cast("double"), F.count(c)), 9).alias("share_bad"),
+    ).withColumn("median", F.round(median.scalar(), 9))
 
 
 def confusion(rows: DataFrame, true: str, pred: str) -> DataFrame:

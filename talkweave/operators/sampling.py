@@ -37,6 +37,12 @@ def split_names(ranked: DataFrame, test: float = 0.2, val: float = 0.1) -> DataF
     return ranked.withColumn("split", F.when(F.col("rank") < n_train, "train").when(F.col("rank") < n_train + n_val, "val").otherwise("test"))
 
 
+def split_capped(ranked: DataFrame, train: float = 0.9, most: int = 1500) -> DataFrame:
+    """Adds `split`: train for int(n * train) rows, `most` at most, the rest val."""
+    n_train = F.least(F.floor(F.col("total") * train), F.lit(most))
+    return ranked.withColumn("split", F.when(F.col("rank") < n_train, "train").otherwise("val"))
+
+
 def resampled(ranked: DataFrame, scale: float) -> DataFrame:
     """Every row as often as the scale says: whole repeats, and once more for the first of the seeded order."""
     whole = int(scale)

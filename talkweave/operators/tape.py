@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import string
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass, fields
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from talkweave.functions.vocab import INTERLOCUTOR, SILENCE, STOP_SPEAKING, TRANSITIONS
-from talkweave.operators.timeline import floor_holders
+from talkweave.functions.durable import checkpointed
+from talkweave.functions.text import let
+from talkweave.functions.vocab import INTERLOCUTOR, SILENCE, SILENCE_S, STOP_SPEAKING, TRANSITIONS, UNITS
+from talkweave.operators.blocks import beside, latest, matched, numbered, past
+from talkweave.operators.timeline import BLOCK, CALL, FIRST_SCENE, SCENE, clipped_once, event_segments, floor_holders, scenes, words_in_segments
 
-_SPEAKING_BEFORE = {"[C.SPEAK]", *STOP_SPEAKING}
-_SPEAKING_AFTER = {"[C.SPEAK]", "[S.SPEAK]"}
+LISTEN_ON, SPEAK_ON, SPEAK = "[C.LISTEN]", "[C.SPEAK]", "[S.SPEAK]"
 
 
 @dataclass(frozen=True)
@@ -23,7 +22,7 @@ class Rule:
     lead: str = ""
     own: bool = False
     heard: bool = True
-    join: str = "[C.LISTEN]"
+    join: str = LISTEN_ON
     no_silence: bool = False
     tail: str = ""
     stop: str = ""  # takes the place of the first [C.LISTEN]
@@ -32,154 +31,186 @@ class Rule:
 
 #: By label and the party concerned: the initiator, for P and G the floor holder (2: nobody yet).
 RULES = {
-    ("T", 1): Rule("[S.SPEAK]", own=True, heard=False),
-    ("P", 0): Rule("[C.LISTEN]", lead_if="heard"),
+    ("T", 1): Rule(SPEAK, own=True, heard=False),
+    ("P", 0): Rule(LISTEN_ON, lead_if="heard"),
     ("P", 1): Rule(heard=False),
-    ("G", 0): Rule("[C.LISTEN]"),
+    ("G", 0): Rule(LISTEN_ON),
     ("G", 1): Rule("[S.LISTEN.NATURAL]"),
     ("G", 2): Rule(),
-    ("IF", 0): Rule("[C.SPEAK]", own=True, tail="[C.LISTEN]", stop="[S.LISTEN.INTERRUPT]"),
-    ("IF", 1): Rule("[S.SPEAK]", own=True, join="[C.SPEAK]", no_silence=True),
-    ("IB", 0): Rule("[C.SPEAK]", own=True, join="[C.SPEAK]", no_silence=True),
-    ("BC", 0): Rule("[C.SPEAK]", own=True, join="[C.SPEAK]", no_silence=True),
-    ("IB", 1): Rule("[S.SPEAK]", own=True, no_silence=True, tail="[C.LISTEN]", stop="[S.LISTEN.INTERRUPT]"),
-    ("BC", 1): Rule("[S.SPEAK]", own=True, no_silence=True, tail="[C.LISTEN]", stop="[S.LISTEN.NATURAL]"),
-    ("C", 0): Rule("[C.LISTEN]", lead_if="unless_token"),
-    ("C", 1): Rule("[C.SPEAK]", own=True, heard=False, lead_if="unless_token"),
+    ("IF", 0): Rule(SPEAK_ON, own=True, tail=LISTEN_ON, stop="[S.LISTEN.INTERRUPT]"),
+    ("IF", 1): Rule(SPEAK, own=True, join=SPEAK_ON, no_silence=True),
+    ("IB", 0): Rule(SPEAK_ON, own=True, join=SPEAK_ON, no_silence=True),
+    ("BC", 0): Rule(SPEAK_ON, own=True, join=SPEAK_ON, no_silence=True),
+    ("IB", 1): Rule(SPEAK, own=True, no_silence=True, tail=LISTEN_ON, stop="[S.LISTEN.INTERRUPT]"),
+    ("BC", 1): Rule(SPEAK, own=True, no_silence=True, tail=LISTEN_ON, stop="[S.LISTEN.NATURAL]"),
+    ("C", 0): Rule(LISTEN_ON, lead_if="unless_token"),
+    ("C", 1): Rule(SPEAK_ON, own=True, heard=False, lead_if="unless_token"),
 }
+#: A turn of the interlocutor's: at the call's beginning, after a gap, and else.
+TURN_HEARD = {"first": Rule(), "after_gap": Rule(LISTEN_ON), "else": Rule("[S.LISTEN.NATURAL]")}
+
+
+def rule_of(label: Column, who: Column, floor: Column, before: Column) -> Column:
+    """The rule of a segment as a struct, null if none covers it; `before` is the label of the segment before."""
+    party = F.when(label.isin("P", "G"), F.coalesce(floor, F.lit(2))).when(who.isNull() & label.isin("IB", "BC"), 1 - floor).otherwise(who)
+    shown = lambda r: F.struct(*[F.lit(v).alias(f.name) for f, v in zip(fields(Rule), astuple(r))])
+    heard = F.when(before.isNull(), shown(TURN_HEARD["first"])).when(before == "G", shown(TURN_HEARD["after_gap"])).otherwise(shown(TURN_HEARD["else"]))
+    out = F.when((label == "T") & (party == 0), heard)
+    for (name, k), rule in RULES.items():
+        out = out.when((label == name) & (party == k), shown(rule))
+    return out
 
 
-def written(label: str, who: int | None, floor: int | None, before: str | None, heard: list[str], own: list[str], last: str | None) -> list[str]:
-    """The part of a tape that one segment gives; empty if no rule covers it."""
-    party = (2 if floor is None else floor) if label in ("P", "G") else who
-    if party is None and label in ("IB", "BC") and floor is not None:
-        party = 1 - floor
-    rule = RULES.get((label, party))
-    if label == "T" and party == 0:
-        rule = Rule("" if before is None else "[C.LISTEN]" if before == "G" else "[S.LISTEN.NATURAL]")
-    if rule is None:
-        return []
-    words = [INTERLOCUTOR + w for w in heard if not (rule.no_silence and SILENCE in w)] if rule.heard else []
-    lead = rule.lead and (rule.lead_if == "always" or (rule.lead_if == "heard" and bool(words)) or (rule.lead_if == "unless_token" and last not in TRANSITIONS))
-    out = [rule.lead] if lead else []
-    out += own if rule.own else []
-    for k, w in enumerate(words):
-        out += [rule.join, w] if k else [w]
-    out += [rule.tail] if rule.tail else []
-    if rule.stop and "[C.LISTEN]" in out:
-        out[out.index("[C.LISTEN]")] = rule.stop
-    return out
+def written(rule: Column, heard: Column, own: Column, after_token: Column) -> Column:
+    """The part of a tape that a segment gives; empty if it has no rule.  `after_token`: the tape ends in a switching token."""
+    some = lambda cond, x: F.when(cond, F.array(x)).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    audible = F.when(rule["heard"], F.filter(heard, lambda w: ~(rule["no_silence"] & w.contains(SILENCE)))).otherwise(none)
+    words = F.flatten(F.transform(audible, lambda w, i: F.when(i == 0, F.array(F.concat(F.lit(INTERLOCUTOR), w))).otherwise(F.array(rule["join"], F.concat(F.lit(INTERLOCUTOR), w)))))
+    led = (rule["lead"] != "") & ((rule["lead_if"] == "always") | ((rule["lead_if"] == "heard") & (F.size(audible) > 0)) | ((rule["lead_if"] == "unless_token") & ~after_token))
+    plain = F.concat(some(led, rule["lead"]), F.when(rule["own"], own).otherwise(none), words, some(rule["tail"] != "", rule["tail"]))
+    stopped = let(plain, lambda p: let(F.array_position(p, LISTEN_ON), lambda at: F.transform(p, lambda x, i: F.when((i == at - 1) & (rule["stop"] != ""), rule["stop"]).otherwise(x))))
+    return F.when(rule.isNotNull(), stopped).otherwise(none)
 
 
-def merged(first: str, second: str) -> str:
-    """One token for two that meet, by whether the agent speaks before the first and after the second."""
-    before, after = first in _SPEAKING_BEFORE, second in _SPEAKING_AFTER
-    if before and after:
-        return "[C.SPEAK]"
-    if not before:
-        return "[S.SPEAK]" if after else "[C.LISTEN]"
-    return first if first in STOP_SPEAKING else second
-
-
-def fold(segments: list[tuple]) -> list[tuple[str, int]]:
-    """A call's tape as (entry, segment number), from (label, initiator, floor, heard, own) in order of time."""
-    tape: list[tuple[str, int]] = []
-    before = None
-    for k, (label, who, floor, heard, own) in enumerate(segments):
-        part = written(label, who, floor, before, heard, own, tape[-1][0] if tape else None)
-        before = label
-        if part and tape and part[0] in TRANSITIONS and tape[-1][0] in TRANSITIONS:
-            token = merged(tape[-1][0], part[0])
-            if token == tape[-1][0]:
-                part = part[1:]
-            else:
-                tape.pop()
-                part = [token, *part[1:]]
-        tape += [(x, k) for x in part]
-    return tape
-
-
-def without_gap_silence(tape: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Drops silences and waiting between what the interlocutor said last and the agent's [S.SPEAK]."""
-    out: list[tuple[str, int]] = []
-    for entry in tape:
-        if entry[0] == "[S.SPEAK]":
-            k = len(out)
-            while k and (SILENCE in out[k - 1][0] or out[k - 1][0] == "[C.LISTEN]"):
-                k -= 1
-            if k and out[k - 1][0].startswith(INTERLOCUTOR):
-                del out[k:]
-        out.append(entry)
-    return out
+def speaks_before(token: Column) -> Column:
+    """Whether the agent was speaking when it gave the token."""
+    return token.isin(SPEAK_ON, *STOP_SPEAKING)
 
 
-_CUT = re.compile(r"(?<=[.!?])\s+|(?<=[,;:])(?=\s)|(?<=[。！？，；：、])")
-
-
-def in_clauses(tape: list[tuple[str, int]]) -> list[tuple[str, int]]:
-    """Own words joined to running text across [C.SPEAK], then cut into clauses with [C.SPEAK] between them."""
-    out: list[tuple[str, int]] = []
-    text: list[str] = []
-    since, waiting = 0, None
-
-    def flush() -> None:
-        nonlocal waiting
-        if text:
-            parts = [c.strip() for c in _CUT.split(" ".join(text)) if c.strip(string.punctuation + " \t\n")]
-            for k, c in enumerate(parts):
-                out.extend([("[C.SPEAK]", since), (c, since)] if k else [(c, since)])
-            text.clear()
-        if waiting is not None:
-            out.append(("[C.SPEAK]", waiting))
-            waiting = None
-
-    for x, k in tape:
-        if x == "[C.SPEAK]":
-            if text and waiting is None:
-                waiting = k  # kept only if no own word follows
-            else:
-                flush()
-                out.append((x, k))
-        elif x in TRANSITIONS or x.startswith(INTERLOCUTOR):
-            flush()
-            out.append((x, k))
-        else:
-            if not text:
-                since = k
-            waiting = None
-            text.append(x)
-    flush()
-    return out
+def met(first: Column, second: Column) -> Column:
+    """One token for two that meet: the step from the state before the first to the state after the second."""
+    speaks_after = second.isin(SPEAK_ON, SPEAK)
+    return (
+        F.when(speaks_before(first) & speaks_after, SPEAK_ON).when(speaks_after, SPEAK).when(~speaks_before(first), LISTEN_ON)
+        .when(first.isin(STOP_SPEAKING), first).otherwise(second)
+    )
 
 
-def call_tapes(words: DataFrame, silences: DataFrame, segments: DataFrame, clauses: bool = True, trim_gaps: bool = False) -> DataFrame:
-    """The tape of each call, heard by speaker 1: conv_id, pos, token, segment.
+def complemented(silences: Column, length: Column) -> Column:
+    """The silences heard in a gap or pause, or as many as its length (in units of time) has room for if they are fewer."""
+    room = F.floor(length / int(SILENCE_S * UNITS)).cast("int")
+    heard = F.size(F.filter(silences, lambda w: w == SILENCE))
+    return F.when(room > heard, F.array_repeat(F.lit(SILENCE), room)).otherwise(silences)
+
+
+TAPE = ["conv_id", "part"]
+
 
-    Words are placed in the segment they start in, if they end after its start; silences of speaker 0
-    stand among the words heard.  The fold over a call's segments is sequential, as the tokens at a
-    segment's edge depend on the tape before; it runs on one row a segment.
+def _parts(timed: DataFrame, segments: DataFrame, complement: bool) -> DataFrame:
+    """What each segment writes: conv_id, part, segment, written.
+
+    Parts of a call are cut after a word of the interlocutor's, the last such place in a scene:
+    neither tokens nor clauses nor silences reach over it.
     """
-    from talkweave.operators.timeline import words_in_segments
-
-    timed = words.select("conv_id", "spk", "seq", "text", "s", "e").unionByName(silences.select("conv_id", "spk", "seq", "text", "s", "e"))
-    placed = words_in_segments(timed, segments).where("e > start").groupBy("conv_id", "start").agg(F.array_sort(F.collect_list(F.struct("s", "seq", "spk", "text"))).alias("w"))
-    of = lambda k: F.transform(F.filter("w", lambda x: x.spk == k), lambda x: x.text)
-    rows = (
-        floor_holders(segments)
-        .join(placed, ["conv_id", "start"], "left")
-        .select("conv_id", "start", "label", "initiator", "floor", of(0).alias("heard"), of(1).alias("own"))
+    placed = words_in_segments(timed, segments).where("e > start").groupBy(*SCENE, "start").agg(F.array_sort(F.collect_list(F.struct("s", "seq", "spk", "text"))).alias("w"))
+    of = lambda k: F.coalesce(F.transform(F.filter("w", lambda x: x.spk == k), lambda x: x.text), F.array().cast("array<string>"))
+    order = W.partitionBy(*SCENE).orderBy("start")
+    rows = matched(floor_holders(segments), placed, [*SCENE, "start"]).select(*SCENE, "start", "end", "label", "initiator", "floor", of(0).alias("heard"), of(1).alias("own"))
+    if complement:
+        rows = rows.withColumn("heard", F.when(F.col("label").isin("P", "G"), complemented(F.col("heard"), F.col("end") - F.col("start"))).otherwise(F.col("heard")))
+    # what a segment writes last does not depend on what came before, but for a C without words, which is or follows a token
+    rows = rows.withColumn("rule", rule_of(F.col("label"), F.col("initiator"), F.col("floor"), F.lit("?")))
+    rows = rows.withColumn("alone", written(F.col("rule"), F.col("heard"), F.col("own"), F.lit(True))).withColumn("last", F.when(F.size("alone") > 0, F.element_at("alone", -1)))
+    last, own_words = F.col("last"), F.size(F.when(F.col("initiator") == 1, F.col("own")).otherwise(F.col("heard"))) > 0
+    # of a turn heard only the lead depends on the segment before; without words it may write nothing
+    silent_turn = F.coalesce((F.col("label") == "T") & (F.col("initiator") == 0) & ~own_words, F.lit(False))
+    rows = rows.select(
+        *SCENE, "start", "label", "initiator", "floor", "heard", "own",
+        F.when((F.col("label") == "C") & F.col("rule").isNotNull(), ~own_words).when(~silent_turn, last.isin(TRANSITIONS)).alias("token_last"),
+        silent_turn.alias("silent_turn"), (last.startswith(INTERLOCUTOR) & ~last.contains(SILENCE)).alias("word_last"),
+    )
+    made = {"_n": F.count("*"), "_label": latest(F.col("label"), F.col("start"))}
+    back = past(CALL, "scene")
+    near = beside(rows, CALL, "scene", made, {"_before": F.coalesce(F.sum("_n").over(back), F.lit(0)), "_lab": F.lag("_label").over(W.partitionBy("conv_id").orderBy("scene"))})
+    rows = near.select(
+        "*", F.coalesce(F.lag("label").over(order), F.col("_lab")).alias("before"), (F.col("_before") + F.row_number().over(order) - 1).cast("int").alias("segment")
+    ).withColumn("token_last", F.when(F.col("silent_turn") & F.col("before").isNotNull(), F.lit(True)).otherwise(F.col("token_last")))
+    made = {"_t": latest(F.col("token_last"), F.col("start")), "_c": F.max(F.when(F.col("word_last"), F.col("start")))}
+    seen = {"_token": F.last("_t", ignorenulls=True).over(back), "_cut": F.col("_c"), "_part": F.coalesce(F.last(F.when(F.col("_c").isNotNull(), F.col("scene")), ignorenulls=True).over(back), F.lit(FIRST_SCENE))}
+    rows = beside(rows.drop("_before", "_lab", "silent_turn"), CALL, "scene", made, seen)
+    after = F.coalesce(F.last("token_last", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_token"), F.lit(False))
+    ruled = rows.select("*", after.alias("_after"), rule_of(F.col("label"), F.col("initiator"), F.col("floor"), F.col("before")).alias("rule"))
+    return ruled.select(
+        "conv_id", F.when(F.col("start") > F.col("_cut"), F.col("scene")).otherwise(F.col("_part")).alias("part"), "segment",
+        written(F.col("rule"), F.col("heard"), F.col("own"), F.col("_after")).alias("written"),
+    )
+
+
+def _merged(entries: DataFrame) -> DataFrame:
+    """Neighbouring switching tokens of different segments as one: conv_id, part, run, token, segment."""
+    order = W.partitionBy(*TAPE).orderBy("segment", "i")
+    token = F.col("token").isin(TRANSITIONS)
+    linked = F.coalesce(token & F.lag("token").over(order).isin(TRANSITIONS) & (F.lag("segment").over(order) != F.col("segment")), F.lit(False))
+    listed = F.array_sort(F.collect_list(F.struct("segment", "i", "token")))
+
+    def step(acc: Column, x: Column) -> Column:
+        t = met(acc.token, x.token)
+        return F.when(t == acc.token, acc).otherwise(F.struct(t.alias("token"), x.segment.alias("segment")))
+
+    return (
+        entries.withColumn("run", F.sum((~linked).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*TAPE, "run")
+        .agg(listed.alias("l"))
+        .select(*TAPE, "run", F.aggregate(F.slice("l", 2, F.size("l")), F.struct(F.col("l")[0].token.alias("token"), F.col("l")[0].segment.alias("segment")), step).alias("x"))
+        .select(*TAPE, "run", "x.token", "x.segment")
+    )
+
+
+def _without_gap_silence(entries: DataFrame) -> DataFrame:
+    """Drops silences and waiting between what the interlocutor said last and the agent's [S.SPEAK]."""
+    quiet = F.col("token").contains(SILENCE) | (F.col("token") == LISTEN_ON)
+    loud = F.when(~quiet, F.col("token"))
+    order = W.partitionBy(*TAPE).orderBy("run")
+    # parts but the first begin after a word of the interlocutor's
+    said = F.coalesce(F.last(loud, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)), F.when(F.col("part") != FIRST_SCENE, INTERLOCUTOR), F.lit(""))
+    follows = F.last(loud, ignorenulls=True).over(W.partitionBy(*TAPE).orderBy(F.desc("run")).rowsBetween(W.unboundedPreceding, 0))
+    dropped = quiet & said.startswith(INTERLOCUTOR) & F.coalesce(follows == SPEAK, F.lit(False))
+    return entries.withColumn("_d", dropped).where("NOT _d").drop("_d")
+
+
+#: After the marks of sentences and clauses.
+_CUT = r"(?<=[.!?])\s+|(?<=[,;:])(?=\s)|(?<=[。！？，；：、])"
+
+
+def _in_clauses(entries: DataFrame) -> DataFrame:
+    """Own words joined to running text across single [C.SPEAK], then cut into clauses with [C.SPEAK] between them."""
+    own = ~F.col("token").isin(TRANSITIONS) & ~F.col("token").startswith(INTERLOCUTOR)
+    order = W.partitionBy(*TAPE).orderBy("run")
+    marked = entries.withColumn("own", own)
+    between = (F.col("token") == SPEAK_ON) & F.coalesce(F.lag("own").over(order) & F.lead("own").over(order), F.lit(False))
+    kept = marked.withColumn("_d", between).where("NOT _d").drop("_d")
+    goes_on = F.coalesce(F.col("own") & F.lag("own").over(order), F.lit(False))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("run", "token"))), lambda x: x.token), " ")
+    joined = (
+        kept.withColumn("span", F.sum((~goes_on).cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
+        .groupBy(*TAPE, "span")
+        .agg(text.alias("text"), F.first("own").alias("own"), F.min("segment").alias("segment"))
     )
+    clauses = F.filter(F.transform(F.split("text", _CUT), lambda c: F.trim(c)), lambda c: c.rlike(r"[^\p{Punct}\s]"))
+    spoken = F.flatten(F.transform(clauses, lambda c, i: F.when(i == 0, F.array(c)).otherwise(F.array(F.lit(SPEAK_ON), c))))
+    return joined.select(*TAPE, "span", "segment", F.posexplode(F.when(F.col("own"), spoken).otherwise(F.array("text"))).alias("i", "token"))
+
 
-    def serialise(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("start", kind="stable")
-        number = lambda v: None if v is None or v != v else int(v)
-        plain = lambda v: [] if v is None else list(v)
-        tape = fold([(a, number(b), number(c), plain(d), plain(e)) for a, b, c, d, e in zip(pdf["label"], pdf["initiator"], pdf["floor"], pdf["heard"], pdf["own"])])
-        tape = without_gap_silence(tape) if trim_gaps else tape
-        tape = in_clauses(tape) if clauses else tape
-        return pd.DataFrame({"conv_id": pdf["conv_id"].iloc[0], "pos": range(len(tape)), "token": [x for x, _ in tape], "segment": [k for _, k in tape]})
+def call_tapes(words: DataFrame, silences: DataFrame, clip: bool = True, clauses: bool = True, trim_gaps: bool = False, complement: bool = False, block: int = BLOCK) -> DataFrame:
+    """The tape of each call, heard by speaker 1: conv_id, pos, token, segment.
 
-    return rows.groupBy("conv_id").applyInPandas(serialise, "conv_id string, pos int, token string, segment int")
+    Words, clipped by default, and silences of speaker 0 are placed in the segment they start in, if
+    they end after its start.  `complement` adds the silences that fit in a gap or pause where fewer
+    were heard.  Segments write their parts, neighbouring tokens become one, silences before the
+    agent's turns go if wanted (`trim_gaps`), and own words become clauses.  All windows run within
+    parts of a call.  An empty table gives no tapes.
+    """
+    cols = ["conv_id", "spk", "seq", "text", "s", "e"]
+    timed = scenes(words.select(*cols).unionByName(silences.select(*cols)), block)
+    timed = clipped_once(timed) if clip else checkpointed(timed)
+    segments = checkpointed(event_segments(timed.where(F.col("text") != SILENCE), clip=False))
+    entries = _parts(timed, segments, complement).repartition(*TAPE).select(*TAPE, "segment", F.posexplode("written").alias("i", "token"))
+    tape = _merged(entries)
+    tape = _without_gap_silence(tape) if trim_gaps else tape
+    tape = _in_clauses(tape) if clauses else tape
+    order = ["span", "i"] if clauses else ["run"]
+    return numbered(tape, CALL, "part", order, "_pos").select("conv_id", (F.col("_pos") - 1).cast("int").alias("pos"), "token", "segment")
 
 
 def first_errors(entries: DataFrame, key: str) -> DataFrame:

@@ -50,11 +50,52 @@ def class_priors(counts: DataFrame, tau: float = 1.0, among: str = "all") -> Dat
     return shares.select("token", F.round(tau * F.ln(F.greatest(F.col("n") / base, F.lit(1e-9))), 6).alias("adjustment"))
 
 
-def slices(lengths: DataFrame, key: str, limit: int) -> DataFrame:
-    """Windows of up to `limit` tokens, each starting 7/8 of the limit after the one before: key, start, size."""
-    stride = int(limit * 7 / 8)
-    starts = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(stride)))
-    return lengths.where("length > 0").select(key, "length", starts.alias("start")).select(key, "start", F.least(F.lit(limit), F.col("length") - F.col("start")).alias("size"))
+def slices(lengths: DataFrame, key: str, most: int, system: int = 0, end: int = 1) -> DataFrame:
+    """Slices of up to `most` tokens, of which `system` are the system prompt and `end` the end mark: key, start, size.
+
+    What is left is the limit of content; a slice starts 7/8 of it after the one before.
+    """
+    limit = most - system - end
+    if limit <= 0:
+        raise ValueError(f"a system prompt of {system} tokens leaves no room in {most}")
+    starts = F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(max(1, int(limit * 7 / 8)))))
+    size = F.least(F.lit(limit), F.col("length") - F.col("start")) + system + end
+    return lengths.where("length > 0").select(key, "length", starts.alias("start")).select(key, "start", size.alias("size"))
+
+
+def packing_stats(lengths: DataFrame, packed: DataFrame, most: int) -> DataFrame:
+    """One row: rows, tokens, mean, longest and shortest, packed rows, and the share of their room that tokens of content take.
+
+    `packed` has batch and box.
+    """
+    n = F.col("length")
+    boxes = packed.groupBy("batch").agg((F.max("box") + 1).alias("b")).agg(F.coalesce(F.sum("b"), F.lit(0)).alias("n_packed"))
+    whole = lengths.agg(F.count("*").alias("n"), F.sum(n).alias("total"), F.round(F.avg(n), 9).alias("mean"), F.max(n).alias("longest"), F.min(n).alias("shortest"))
+    return whole.withColumn("n_packed", boxes.scalar()).withColumn("efficiency", F.round(F.coalesce(F.try_divide(F.col("total").cast("double"), F.col("n_packed") * most), F.lit(0.0)), 9))
+
+
+def vocabulary_priors(counts: DataFrame, tau: float = 1.0) -> DataFrame:
+    """tau * log(prior) of every counted token: control tokens by their own share, all others by the share of responses together."""
+    control = F.col("token").isin(TRANSITIONS)
+    by_class = class_priors(counts, tau).withColumnRenamed("token", "class")
+    return counts.select("token", F.when(control, F.col("token")).otherwise("response").alias("class")).join(F.broadcast(by_class), "class").select("token", "adjustment")  # six rows
+
+
+def mask_vocabulary(vocabulary: DataFrame) -> DataFrame:
+    """Control tokens with their mask and their one id; a token without an id, or with several, is an error.
+
+    `vocabulary` has token and id, control tokens among them; repeated rows count once.
+    """
+    masks = vocabulary.sparkSession.createDataFrame(sorted(MASKS.items()), "token string, mask int")
+    ids = vocabulary.where(F.col("token").isin(TRANSITIONS)).groupBy("token").agg(F.collect_set("id").alias("ids"))
+    one = F.when(F.size(F.coalesce("ids", F.array().cast("array<bigint>"))) == 1, F.col("ids")[0]).otherwise(F.raise_error(F.concat(F.lit("not one id: "), "token")).cast("long"))
+    return masks.join(F.broadcast(ids), "token", "left").select("token", "mask", one.alias("id"))  # five rows
+
+
+def maps_differ(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Tokens whose mask or id is not the same in two maps; those of data sets that are put together must not differ."""
+    a, b = (m.select("token", F.struct("mask", "id").alias(n)) for m, n in ((first, "a"), (second, "b")))
+    return a.join(b, "token", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select("token")
 
 
 def pack_next_fit(items: DataFrame, most: int, batch: str = "batch", order: str = "place", size: str = "size") -> DataFrame:
@@ -109,6 +150,16 @@ def fuzzy(logits: Column, control: list[int]) -> Column:
     return log_sum_exp(logits) - log_sum_exp(rest)
 
 
+def fuzzy_or_exact(exact: Column, loss: Column, fuzzy_loss: Column) -> Column:
+    """The exact loss of the tokens drawn for it, of the others the fuzzy one."""
+    return F.when(exact, loss).otherwise(fuzzy_loss)
+
+
+def drawn(key: Column, sixteenths: int, seed: int = 7) -> Column:
+    """True for a share of keys, in sixteenths, by their hash."""
+    return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}"))) < F.lit("0123456789abcdefg"[sixteenths])
+
+
 def argmax(values: Column) -> Column:
     """Index, from 0, of the greatest member; the first of equals."""
     return let(values, lambda v: (F.array_position(v, F.array_max(v)) - 1).cast("int"))

@@ -43,7 +43,8 @@ def dialogue_filter(spark, folder):
 
 
 def reason_topk_other(spark, folder):
-    counts = C.dialogue_reasons(turns(spark, folder)).select(F.coalesce("reason", F.lit("valid")).alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+    """The four most frequent reasons of rejection, by class, and the rest; chats that are kept have none."""
+    counts = C.dialogue_reasons(turns(spark, folder)).where("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"))
     return C.top_and_other(counts, "reason", "n", 4)
 
 
@@ -106,25 +107,43 @@ _CJK = r"[\x{3300}-\x{33ff}\x{fe30}-\x{fe4f}\x{f900}-\x{faff}\x{2f800}-\x{2fa1f}
 _B = r"[\s\p{Z}\x{85}]"
 _WORDS = rf"list_filter(string_split_regex(t, '{_B}+'), lambda w: w <> '')"
 _KIND = "CASE WHEN lower(role) IN ('human', 'user', '用户') THEN 'user' WHEN lower(role) = 'system' THEN 'system' ELSE 'bot' END"
+#: The text of a turn written in HTML: comments and what is no text dropped, items as dashed lines, line ends for other tags, references as characters.
+_PLAIN = r"replace(replace(replace(value, '<li><p>', '<li>'), '<li>', chr(10) || '- '), '</li>', '')"
+for _a, _b in (
+    (r"(?s)<!--.*?-->", "<!>"), (r"(?is)<script\b.*?</script>|<style\b.*?</style>|<template\b.*?</template>", "<!>"), (r">[ \t\r\f]*\n[ \t\n\r\f]*<", ">\n<"), (r">[ \t\r\f]*\n[ \t\n\r\f]*<", ">\n<"), (r">[ \t\r\f]+<", "> <"), (r"(<[A-Za-z/!?][^>]*>)+", "\n"),
+    (r"&lt;", "<"), (r"&gt;", ">"), (r"&quot;", '"'), (r"&#39;|&apos;", "''"), (r"&#8211;", "–"), (r"&nbsp;", "\u00a0"), (r"&amp;", "&"), (r"\n{3,}", "\n\n"), (r"^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$", ""),
+):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_a}', '{_b}', 'g')"
+
+
+def _rules(src: str, p: str) -> str:
+    """The content rules over a table with the text t, or h if it is cleaned of HTML; names begin with the prefix."""
+    t = "h" if p else "t"
+    words = f"list_filter(string_split_regex({t}, '{_B}+'), lambda w: w <> '')"
+    return rf"""{p}wd AS (SELECT *, regexp_matches({t}, '{_CJK}') AS cjk, {words} AS w, length({t}) - length(translate({t}, '{{}}[]<>=;\_', '')) AS sym FROM {src}),
+{p}why AS (
+  SELECT *,
+    CASE WHEN contains({t}, 'Copy code') OR contains({t}, 'css' || chr(10)) THEN 'code_artifact' WHEN length({t}) > 0 AND sym / length({t}) > 0.25 THEN 'high_symbol_density' END AS code,
+    CASE WHEN cjk THEN CASE WHEN length({t}) > 20 AND len(list_distinct(string_split({t}, ''))) < 5 THEN 'repetitive_chinese' END
+      WHEN len(w) = 0 THEN 'empty' WHEN coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / len(w) > 25 THEN 'high_avg_word_len'
+      WHEN len(w) = 1 AND length(w[1]) > 25 THEN 'single_long_word' END AS gib
+  FROM {p}wd),
+{p}reason AS (
+  SELECT *, CASE WHEN {t} = '' THEN 'empty' WHEN NOT regexp_matches({t}, '[\p{{L}}\p{{N}}]') THEN 'only_symbols' WHEN code IS NOT NULL THEN code
+    WHEN contains({t}, '```') THEN 'contains_markdown_code' WHEN regexp_matches({t}, '\$|\\frac|\\sum|\\int|\\sqrt') THEN 'contains_math'
+    WHEN cjk AND length({t}) > 600 THEN 'cjk_too_long' WHEN NOT cjk AND len(w) > 400 THEN 'en_too_long' WHEN gib IS NOT NULL THEN gib
+    WHEN starts_with({t}, 'System' || chr(10) || 'You are') OR starts_with({t}, 'User' || chr(10)) THEN 'prompt_leakage' END AS reason
+  FROM {p}why),"""
+
+
 TURNS = rf"""
 WITH turns AS (
   SELECT id, turn, coalesce(role, '') AS role, coalesce(value, '') AS value FROM conversation_turn
   QUALIFY row_number() OVER (PARTITION BY id, turn ORDER BY ingested_at) = 1),
 st AS (SELECT *, regexp_replace(value, '^{_B}+|{_B}+$', '', 'g') AS t FROM turns),
-wd AS (SELECT *, regexp_matches(t, '{_CJK}') AS cjk, {_WORDS} AS w, length(t) - length(translate(t, '{{}}[]<>=;\_', '')) AS sym FROM st),
-why AS (
-  SELECT id, turn, role, value, t, cjk, w,
-    CASE WHEN contains(t, 'Copy code') OR contains(t, 'css' || chr(10)) THEN 'code_artifact' WHEN length(t) > 0 AND sym / length(t) > 0.25 THEN 'high_symbol_density' END AS code,
-    CASE WHEN cjk THEN CASE WHEN length(t) > 20 AND len(list_distinct(string_split(t, ''))) < 5 THEN 'repetitive_chinese' END
-      WHEN len(w) = 0 THEN 'empty' WHEN coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / len(w) > 25 THEN 'high_avg_word_len'
-      WHEN len(w) = 1 AND length(w[1]) > 25 THEN 'single_long_word' END AS gib
-  FROM wd),
-reason AS (
-  SELECT *, CASE WHEN t = '' THEN 'empty' WHEN NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') THEN 'only_symbols' WHEN code IS NOT NULL THEN code
-    WHEN contains(value, '```') THEN 'contains_markdown_code' WHEN regexp_matches(value, '\$|\\frac|\\sum|\\int|\\sqrt') THEN 'contains_math'
-    WHEN cjk AND length(t) > 600 THEN 'cjk_too_long' WHEN NOT cjk AND len(w) > 400 THEN 'en_too_long' WHEN gib IS NOT NULL THEN gib
-    WHEN starts_with(value, 'System' || chr(10) || 'You are') OR starts_with(value, 'User' || chr(10)) THEN 'prompt_leakage' END AS reason
-  FROM why),
+sh AS (SELECT *, {_PLAIN} AS h FROM turns),
+{_rules("st", "")}
+{_rules("sh", "h_")}
 kinds AS (SELECT *, {_KIND} AS kind FROM turns),
 seen AS (
   SELECT *, lag(turn) OVER (PARTITION BY id ORDER BY turn) AS before,
@@ -136,8 +155,8 @@ structure AS (
   SELECT id, CASE WHEN count(DISTINCT CASE WHEN lower(role) <> 'system' THEN lower(role) END) < 2 THEN 'single_role'
     ELSE arg_min(wrong, turn) FILTER (WHERE wrong IS NOT NULL) END AS reason FROM wrong GROUP BY id),
 dialogue AS (
-  SELECT s.id, coalesce(s.reason, b.why) AS reason FROM structure s
-  JOIN (SELECT id, arg_min(reason, turn) FILTER (WHERE reason IS NOT NULL) AS why FROM reason GROUP BY id) b USING (id))"""
+  SELECT s.id, coalesce('Structure: ' || s.reason, 'Content: ' || b.why) AS reason FROM structure s
+  JOIN (SELECT id, arg_min(reason, turn) FILTER (WHERE reason IS NOT NULL) AS why FROM h_reason GROUP BY id) b USING (id))"""
 _SPOKEN = rf"""CASE WHEN regexp_matches(value, '{_CJK}') AND length(value) > 150 THEN 'cjk exceed length limit'
     WHEN NOT regexp_matches(value, '{_CJK}') AND len(list_filter(string_split_regex(value, '{_B}+'), lambda w: w <> '')) > 100 THEN 'en exceed length limit'
     WHEN contains(value, ' - ') OR contains(value, '(a)') OR contains(value, '(1)') OR contains(value, '1. ') THEN 'contain list' WHEN contains(value, '**') THEN 'markdown format' END"""
@@ -154,10 +173,10 @@ SQL = {
     "cjk_length_filter": TURNS + " SELECT id, turn, cjk, CASE WHEN cjk AND length(t) > 60 THEN 'cjk' WHEN NOT cjk AND len(w) > 40 THEN 'en' END AS too_long FROM wd",
     "code_density": TURNS + " SELECT id, turn, code AS reason FROM why WHERE code IS NOT NULL",
     "gibberish": TURNS + " SELECT id, turn, gib AS reason FROM why WHERE gib IS NOT NULL",
-    "chat_content_reason": TURNS + " SELECT id, turn, reason FROM reason",
+    "chat_content_reason": TURNS + " SELECT id, turn, reason FROM h_reason",
     "chat_structure_reason": TURNS + " SELECT * FROM structure",
     "dialogue_filter": TURNS + " SELECT * FROM dialogue",
-    "reason_topk_other": TURNS + """, c AS (SELECT coalesce(reason, 'valid') AS reason, count(*) AS n FROM dialogue GROUP BY 1),
+    "reason_topk_other": TURNS + """, c AS (SELECT reason, count(*) AS n FROM dialogue WHERE reason IS NOT NULL GROUP BY 1),
       k AS (SELECT *, row_number() OVER (ORDER BY n DESC, reason) AS r FROM c)
       SELECT CASE WHEN r <= 4 THEN reason ELSE 'Other' END AS reason, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1""",
     "list_markdown_filter": TURNS + f""", s AS (SELECT id, turn, {_SPOKEN} AS why FROM turns),
@@ -167,8 +186,7 @@ SQL = {
       e AS (SELECT t.id, t.turn, t.role AS i, o.role AS o, o.id IS NOT NULL AS there FROM turns t LEFT JOIN o USING (id, turn))
       SELECT id, CASE WHEN count(*) FILTER (WHERE there) = 0 THEN 'filtered' WHEN count(*) <> count(*) FILTER (WHERE there) THEN 'turn_count'
         WHEN min(turn) FILTER (WHERE i <> o) IS NOT NULL THEN 'role' ELSE 'passed' END AS outcome, min(turn) FILTER (WHERE i <> o) AS first_wrong FROM e GROUP BY id""",
-    "html_text": TURNS + r""" SELECT id, turn, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(value, '<li><p>', '<li>'), '<li>', chr(10) || '- '), '</li>', ''),
-        '(<[^<>]+>)+', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM turns WHERE contains(value, '<li>') OR contains(value, '<p')""",
+    "html_text": TURNS + " SELECT id, turn, h AS text FROM sh",
     "clause_counts": TURNS + f" SELECT id, turn, array_to_string({_CLAUSES}, '|') AS clauses FROM turns",
     "chat_tape": TURNS + _TAPE + """ SELECT id, string_agg(CASE WHEN kind = 'user' THEN array_to_string(list_concat(flatten(list_transform(range(turn % 3), lambda x: ['<interlocutor><SIL>', '[C.LISTEN]'])), CASE WHEN len(cl) > 0 THEN [heard] ELSE [] END, ['[S.SPEAK]']), '|')
         ELSE CASE WHEN len(cl) > 0 THEN said || '|' ELSE '' END || '[S.LISTEN.NATURAL]' END, '|' ORDER BY turn) AS tape FROM heard GROUP BY id""",

@@ -36,9 +36,15 @@ def direction_files(spark, folder):
 
 
 def resume_anti(spark, folder):
-    """Chats with a first turn that have no second one yet."""
+    """Chats that have not come to their fourth turn yet."""
     t = table(spark, folder, "conversation_turn")
-    return J.remaining(t.where("turn = 0").select("id").distinct(), t.where("turn = 1"), ["id"])
+    return J.remaining(t.select("id").distinct(), t.where("turn = 3"), ["id"])
+
+
+def cache_lookup(spark, folder):
+    """Every call of the list with the cached recognition of its first piece, null where none is cached."""
+    first = table(spark, folder, "asr_stream").groupBy(F.col("conv_id").alias("call_id")).agg(F.min_by("text", F.struct("seq", "receive")).alias("cached"))
+    return J.cached(table(spark, folder, "call_meta").select("call_id").distinct(), first, "call_id")
 
 
 def transcript_pairs(spark, folder):
@@ -49,10 +55,9 @@ def transcript_pairs(spark, folder):
 
 
 def asof_progress(spark, folder):
-    """For every purchase the last click of its user before it, and its value."""
+    """For every purchase the last click of its user at or before it, and its value."""
     e = table(spark, folder, "events").select("user_id", "ts", "event_id", "event_type", "value")
-    kinds = sorted(r[0] for r in e.select("event_type").distinct().limit(10).collect())
-    left, right = e.where(F.col("event_type") == kinds[0]).select("user_id", "ts", "event_id"), e.where(F.col("event_type") == kinds[1])
+    left, right = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id"), e.where("event_type = 'click'")
     joined = J.as_of(left, right.groupBy("user_id", "ts").agg(F.max("value").alias("value")), "user_id", "ts", F.col("value"), "last_value")
     return joined.select("event_id", "user_id", F.round("last_value", 6).alias("last_value"))
 
@@ -61,7 +66,7 @@ def clause_progress(spark, folder):
     """Which transcript line covers the start of each recognised piece of its call, and how far it was spoken, in letters."""
     lines = timeline._lines(spark, folder).groupBy("conv_id", "start").agg(F.max(F.struct("seq", "end", "text")).alias("l"))
     pieces = timeline.words(spark, folder).select("conv_id", (F.col("s") / 10000).alias("start"), F.col("seq").alias("piece"))
-    got = J.as_of(pieces, lines, "conv_id", "start", F.struct(F.col("start").alias("began"), "l"), "x")
+    got = J.as_of(pieces, lines, "conv_id", "start", F.struct(F.col("start").alias("began"), "l"), "x", 300.0)
     share = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.col("start") - F.col("x.began"), F.col("x.l.end") - F.col("x.began"))))
     return got.where("x IS NOT NULL").select("conv_id", "piece", F.col("x.l.seq").alias("line"), F.floor(F.coalesce(share, F.lit(1.0)) * F.length("x.l.text")).cast("int").alias("letters"))
 
@@ -117,23 +122,24 @@ def revenue_rollup(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        partner_semi, quality_left, bad_ids_anti, direction_files, resume_anti, transcript_pairs, asof_progress, clause_progress, tape_locate, overlay_track, shared_timeline,
+        partner_semi, quality_left, bad_ids_anti, direction_files, resume_anti, cache_lookup, transcript_pairs, asof_progress, clause_progress, tape_locate, overlay_track, shared_timeline,
         weights_lookup, json_extraction, set_operations, revenue_rollup,
     )
 }
 
 SQL = {
-    "partner_semi": "WITH b AS (SELECT DISTINCT caller_a % 50 AS a, caller_b % 50 AS b FROM call_meta WHERE caller_a IS NOT NULL AND caller_b IS NOT NULL) SELECT a, b FROM b x WHERE EXISTS (SELECT 1 FROM b y WHERE y.a = x.b AND y.b = x.a)",
+    "partner_semi": """WITH c AS (SELECT DISTINCT call_id, caller_a AS a, caller_b AS b FROM call_meta WHERE caller_a IS NOT NULL AND caller_b IS NOT NULL)
+      SELECT call_id, a, b FROM c x WHERE EXISTS (SELECT 1 FROM c y WHERE y.a = x.b AND y.b = x.a)""",
     "quality_left": """WITH q AS (SELECT call_id, max(CASE WHEN regexp_matches(sig_grade, '^[0-9]+$') THEN CAST(sig_grade AS INTEGER) ELSE 0 END) AS sig, max(CASE WHEN regexp_matches(cnv_grade, '^[0-9]+$') THEN CAST(cnv_grade AS INTEGER) ELSE 0 END) AS cnv FROM call_meta GROUP BY call_id),
       s AS (SELECT conv_id, count(DISTINCT seq) AS n_lines FROM trans_stream GROUP BY conv_id)
       SELECT conv_id, n_lines, coalesce(sig, 0) AS sig, coalesce(cnv, 0) AS cnv, coalesce(sig, 0) >= 3 AND coalesce(cnv, 0) >= 3 AS good FROM s LEFT JOIN q ON call_id = conv_id""",
     "bad_ids_anti": "SELECT DISTINCT call_id FROM call_meta WHERE call_id NOT IN (SELECT call_id FROM bad_ids)",
     "direction_files": "WITH c AS (SELECT DISTINCT call_id FROM call_meta WHERE call_id NOT IN (SELECT call_id FROM bad_ids)) SELECT call_id || '_' || own || '_to_' || other AS name, own, other FROM c, (VALUES ('A', 'B'), ('B', 'A')) d(own, other)",
-    "resume_anti": "SELECT DISTINCT id FROM conversation_turn WHERE turn = 0 AND id NOT IN (SELECT id FROM conversation_turn WHERE turn = 1)",
+    "resume_anti": "SELECT DISTINCT id FROM conversation_turn WHERE id NOT IN (SELECT id FROM conversation_turn WHERE turn = 3)",
+    "cache_lookup": "SELECT call_id, cached FROM (SELECT DISTINCT call_id FROM call_meta) LEFT JOIN (SELECT conv_id, arg_min(text, (seq, receive)) AS cached FROM (SELECT conv_id, seq, receive, text FROM asr_stream WHERE text IS NOT NULL OR true) GROUP BY conv_id) ON conv_id = call_id",
     "transcript_pairs": """WITH a AS (SELECT conv_id, count(DISTINCT seq) AS n FROM asr_stream GROUP BY 1), t AS (SELECT conv_id, count(DISTINCT seq) AS n FROM trans_stream GROUP BY 1)
       SELECT coalesce(a.conv_id, t.conv_id) AS conv_id, coalesce(a.n, 0) AS n_asr, coalesce(t.n, 0) AS n_trans FROM a FULL JOIN t ON a.conv_id = t.conv_id""",
-    "asof_progress": """WITH k AS (SELECT event_type AS t, row_number() OVER (ORDER BY event_type) AS r FROM (SELECT DISTINCT event_type FROM events)),
-      l AS (SELECT event_id, user_id, ts FROM events JOIN k ON t = event_type AND r = 1), v AS (SELECT user_id, ts, max(value) AS value FROM events JOIN k ON t = event_type AND r = 2 GROUP BY 1, 2)
+    "asof_progress": """WITH l AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'), v AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)
       SELECT l.event_id, l.user_id, round(v.value, 6) AS last_value FROM l ASOF LEFT JOIN v ON l.user_id = v.user_id AND l.ts >= v.ts""",
     "clause_progress": timeline.RECORDS + timeline._LINES.replace("WITH ln", ", ln") + """, lx AS (SELECT conv_id, start, arg_max(seq, seq) AS seq, arg_max("end", seq) AS "end", arg_max(text, seq) AS text FROM line GROUP BY conv_id, start),
       p AS (SELECT conv_id, s / 10000 AS start, seq AS piece FROM w)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talkweave.functions.text import n_words, words
+from talkweave.functions.text import clean_switchboard, n_words, words
+from talkweave.functions.vocab import SILENCE
 from talkweave.operators import metrics as M
+from talkweave.operators import timeline as T
 from talkweave.operators.trainset import argmax
-from talkweave.plans import chat
+from talkweave.plans import chat, timeline
 from talkweave.sources.tables import table
 
 
@@ -33,6 +35,23 @@ def wer_gate(spark, folder):
     return rates.join(bad, "id", "left_anti").select("id", "turn")
 
 
+def transcript_wer(spark, folder):
+    """Recognised speech against transcripts: word errors and their rate per call and speaker, and whether the call passes the gate.
+
+    Both sides are compared in blocks of five minutes, in which a word belongs to the block it starts
+    in, so that the distance of a long call is a sum of short ones; shorter calls are compared whole.
+    """
+    block = F.floor(F.col("start") / 300).cast("long")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq", "text"))), lambda x: x.text), " ")
+    heard = T.asr_records(table(spark, folder, "asr_stream")).where(F.col("text") != SILENCE)
+    said = T.named_speakers(timeline._lines(spark, folder)).withColumn("text", clean_switchboard(F.col("text")))
+    sides = [d.where("spk IS NOT NULL").groupBy("conv_id", "spk", block.alias("block")).agg(text.alias(n)) for d, n in ((heard, "hyp"), (said, "ref"))]
+    e = sides[0].join(sides[1], ["conv_id", "spk", "block"], "full").na.fill("", ["hyp", "ref"])
+    counted = e.select("conv_id", "spk", M.word_errors(F.col("ref"), F.col("hyp")).alias("errors"), F.size(words(M.comparable(F.col("ref")))).alias("n"))
+    rate = F.try_divide(F.sum("errors").cast("double"), F.sum("n"))
+    return counted.groupBy("conv_id", "spk").agg(F.sum("errors").alias("errors"), F.sum("n").alias("n_words"), F.round(rate, 9).alias("wer"), (rate <= 0.3).alias("passes"))
+
+
 def _predictions(spark, folder):
     """Embeddings as logits: the true class of six, the class predicted, the mask (0: not counted) and the sample."""
     pred = (argmax(F.col("embedding")) % 6 + 1).alias("pred")
@@ -94,7 +113,7 @@ def cost_report(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (wer, wer_summary, wer_gate, confusion_matrix, confusion_wide, class_f1, prf1_macro, per_sample_f1, interruption_outcomes, interruption_metrics, subset_rollup, cost_report)
+    for f in (wer, wer_summary, wer_gate, transcript_wer, confusion_matrix, confusion_wide, class_f1, prf1_macro, per_sample_f1, interruption_outcomes, interruption_metrics, subset_rollup, cost_report)
 }
 
 _PRED = """WITH p AS (SELECT vec_id, vec_id % 20 AS sample, vec_id % 3 AS dataset, CAST(label % 6 + 1 AS INTEGER) AS label, CAST(CASE WHEN vec_id % 11 = 0 THEN 0 ELSE label % 6 + 1 END AS INTEGER) AS mask,

@@ -11,9 +11,9 @@ from talkweave.streaming import run as R
 
 def _windows(spark, folder):
     """Events as voice probabilities: runs of quiet and of speech of a length that varies with the user."""
-    e = table(spark, folder, "events").select("event_id")
+    e = table(spark, folder, "events").where("user_id IS NOT NULL").select("event_id", "user_id")
     quiet = F.floor(F.col("event_id") / (60 + F.col("event_id") % 7)) % 2 == 0
-    return e.select(F.expr("concat('s', event_id % 16)").alias("stream"), F.col("event_id").alias("idx"), F.when(quiet, 0.1).otherwise(0.2 + (F.col("event_id") * 37 % 60) / 100).alias("prob"))
+    return e.select(F.expr("concat('s', user_id)").alias("stream"), F.col("event_id").alias("idx"), F.when(quiet, 0.1).otherwise(0.2 + (F.col("event_id") * 37 % 60) / 100).alias("prob"))
 
 
 def silence_units(spark, folder):
@@ -56,17 +56,17 @@ def pipeline_latency(spark, folder):
 
 
 def hopping_counts(spark, folder):
-    """Events by type in five-minute windows."""
+    """Events by type in windows of five minutes, one every minute."""
     return R.windowed_counts(table(spark, folder, "events"), "ts").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
 QUERIES = {f.__name__: f for f in (silence_units, vad_hysteresis, fsm_replay, session_snapshot, tape_tail, pipeline_latency, hopping_counts)}
 SQL = {
-    "silence_units": """WITH w AS (SELECT 's' || event_id % 16 AS stream, event_id AS idx, CASE WHEN (event_id // (60 + event_id % 7)) % 2 = 0 THEN 0.1 ELSE 0.2 + (event_id * 37 % 60) / 100 END < 0.35 AS q FROM events),
+    "silence_units": """WITH w AS (SELECT 's' || user_id AS stream, event_id AS idx, CASE WHEN (event_id // (60 + event_id % 7)) % 2 = 0 THEN 0.1 ELSE 0.2 + (event_id * 37 % 60) / 100 END < 0.35 AS q FROM events WHERE user_id IS NOT NULL),
       t AS (SELECT *, CASE WHEN q = lag(q) OVER o THEN 0 ELSE 1 END AS b FROM w WINDOW o AS (PARTITION BY stream ORDER BY idx)), r AS (SELECT *, sum(b) OVER (PARTITION BY stream ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM t)
       SELECT stream, min(idx) AS first, count(*) AS n, count(*) // 20 AS units FROM r WHERE q GROUP BY stream, run""",
     "session_snapshot": "SELECT event_id, user_id, round(epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id), 4) AS t FROM events",
     "tape_tail": tape.ENTRIES + " SELECT id, CASE WHEN token IN ('[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]') THEN 'state' WHEN starts_with(token, '<interlocutor>') THEN 'user' ELSE 'agent' END AS kind, count(*) AS n FROM en WHERE pos > 9 GROUP BY 1, 2",
     "pipeline_latency": "WITH a AS (SELECT conv_id, CAST(round_even((finish - receive) * 1000, 0) AS BIGINT) AS ms FROM asr_stream WHERE finish IS NOT NULL) SELECT conv_id, count(*) AS n, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms FROM a GROUP BY conv_id",
-    "hopping_counts": "SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+    "hopping_counts": "SELECT strftime(time_bucket(INTERVAL '1 minute', ts) - k * INTERVAL '1 minute', '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events, range(5) r(k) GROUP BY 1, 2",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkweave.functions.durable import small
 from talkweave.operators import synthetic as Y
 from talkweave.plans import chat
 from talkweave.sources.tables import table
@@ -50,7 +51,7 @@ def train_tape(spark, folder):
 
 
 def task_parameters(spark, folder):
-    topics = sorted(r[0] for r in table(spark, folder, "call_meta").where("topic IS NOT NULL").select("topic").distinct().limit(1000).collect())
+    topics = sorted(r[0] for r in small(table(spark, folder, "call_meta").where("topic IS NOT NULL").select("topic").distinct(), 1000))
     return Y.task_parameters(spark, 1700, topics or ["any"]).withColumn("events", F.array_join(F.transform("events", lambda x: x.cast("string")), ","))
 
 

@@ -15,18 +15,22 @@ from talkweave.sources.tables import table
 
 
 def _silences(spark, folder):
-    rows = T.repair_ends(T.asr_records(table(spark, folder, "asr_stream")).where((F.col("text") == SILENCE) & (F.col("spk") == 0)))
-    return rows.select("conv_id", "spk", "seq", "text", T.units(F.col("start")).alias("s"), T.units(F.col("end")).alias("e"))
+    return T.timed_silences(table(spark, folder, "asr_stream"))
 
 
 def tape_rules(spark, folder):
     """The tapes of all calls, from words to clauses."""
-    return P.call_tapes(timeline.words(spark, folder), _silences(spark, folder), timeline.segments(spark, folder))
+    return P.call_tapes(timeline.words(spark, folder), _silences(spark, folder))
 
 
 def boundary_merge(spark, folder):
     """The tapes of all calls word by word, with silences before the agent's turns removed."""
-    return P.call_tapes(timeline.words(spark, folder), _silences(spark, folder), timeline.segments(spark, folder), clauses=False, trim_gaps=True)
+    return P.call_tapes(timeline.words(spark, folder), _silences(spark, folder), clauses=False, trim_gaps=True)
+
+
+def tape_complement(spark, folder):
+    """The tapes of all calls word by word, with as many silences in gaps and pauses as they have room for."""
+    return P.call_tapes(timeline.words(spark, folder), _silences(spark, folder), clauses=False, complement=True)
 
 
 def tapes(spark, folder):
@@ -44,7 +48,7 @@ def tape_validity(spark, folder):
 
 def word_segments(spark, folder):
     """Each word with the segment it starts in."""
-    return T.words_in_segments(timeline.words(spark, folder), timeline.segments(spark, folder))
+    return T.words_in_segments(*timeline.placed(spark, folder)).drop("scene")
 
 
 def first_speaker_role(spark, folder):
@@ -66,6 +70,11 @@ def split_counts(spark, folder):
     return S.split_names(S.hash_ranked(_ids(spark, folder), "id")).select("id", "rank", "split")
 
 
+def split_capped(spark, folder):
+    """Chats split nine to one, with at most 1,500 to train on."""
+    return S.split_capped(S.hash_ranked(_ids(spark, folder), "id")).select("id", "rank", "split")
+
+
 def resample(spark, folder):
     return S.resampled(S.hash_ranked(_ids(spark, folder), "id", 11), 2.5).select("id", F.col("copy").cast("int").alias("copy"))
 
@@ -100,7 +109,7 @@ def readable_tape(spark, folder):
 
 QUERIES = {
     f.__name__: f
-    for f in (tape_rules, boundary_merge, tape_validity, word_segments, first_speaker_role, sample_roles, split_counts, resample, resample_down, strided_shard, per_reason_cap, forced_probes, dialogue_history, readable_tape)
+    for f in (tape_rules, boundary_merge, tape_complement, tape_validity, word_segments, first_speaker_role, sample_roles, split_counts, split_capped, resample, resample_down, strided_shard, per_reason_cap, forced_probes, dialogue_history, readable_tape)
 }
 
 _CUT = "chr(31)"  # texts may hold the bar that stands between shown entries
@@ -112,7 +121,7 @@ ENTRIES = (
 _RANK = "WITH ids AS (SELECT DISTINCT id FROM conversation_turn), r AS (SELECT id, row_number() OVER (ORDER BY md5(id || '|{seed}'), id) - 1 AS rank, count(*) OVER () AS total FROM ids)"
 _TR = "('[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]')"
 SQL = {
-    "word_segments": timeline.SEGMENTS + ' SELECT g.conv_id, g.start, g."end", x.spk, x.seq, x.s, x.e, x.text FROM w x JOIN seg g ON x.conv_id = g.conv_id AND g.start <= x.s AND x.s < g."end"',
+    "word_segments": timeline.SEGMENTS + ' SELECT g.conv_id, g.start, g."end", x.spk, x.seq, x.s, x.e, x.text FROM wc x JOIN seg g ON x.conv_id = g.conv_id AND g.start <= x.s AND x.s < g."end"',
     "tape_validity": ENTRIES + f""", k AS (SELECT * FROM en WHERE pos % 37 <> 5),
       s AS (SELECT *, lag(token) OVER (PARTITION BY id ORDER BY pos) AS b,
         coalesce(last_value(CASE WHEN token = '[S.SPEAK]' THEN 'S' WHEN starts_with(token, '[S.LISTEN') THEN 'L' END IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'L') AS st FROM k)
@@ -122,6 +131,7 @@ SQL = {
     "sample_roles": ENTRIES + f""", f AS (SELECT id, starts_with(arg_min(token, pos), '<interlocutor>') AS heard FROM en WHERE token NOT IN {_TR} AND NOT contains(token, '<SIL>') GROUP BY id)
       SELECT id, direction, CASE WHEN heard = (direction = 'A_to_B') THEN 'assistant' ELSE 'user' END AS role FROM f, (VALUES ('A_to_B'), ('B_to_A')) d(direction)""",
     "split_counts": _RANK.format(seed=42) + """ SELECT id, rank, CASE WHEN rank < total - floor(total * 0.2) - floor(total * 0.1) THEN 'train' WHEN rank < total - floor(total * 0.2) THEN 'val' ELSE 'test' END AS split FROM r""",
+    "split_capped": _RANK.format(seed=42) + " SELECT id, rank, CASE WHEN rank < least(floor(total * 0.9), 1500) THEN 'train' ELSE 'val' END AS split FROM r",
     "resample": _RANK.format(seed=11) + " SELECT id, CAST(unnest(range(1, CAST(3 + CASE WHEN rank < floor(total * 2.5) - total * 2 THEN 1 ELSE 0 END AS BIGINT))) AS INTEGER) AS copy FROM r",
     "resample_down": _RANK.format(seed=13) + " SELECT id FROM r WHERE rank < floor(total * 0.25)",
     "strided_shard": _RANK.format(seed=42) + " SELECT rank % 7 AS shard, count(*) AS n FROM r GROUP BY 1",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from talkweave.functions.text import speaker_index
+from talkweave.functions.text import speaker_in_text, speaker_index
 from talkweave.functions.vocab import BACKCHANNELS, LABELS
 from talkweave.operators import timeline as T
 from talkweave.sources.tables import table
@@ -14,10 +14,20 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
     return T.timed_words(table(spark, folder, "asr_stream"))
 
 
+def clipped(spark: SparkSession, folder: str) -> DataFrame:
+    return T.clipped_once(words(spark, folder))
+
+
 def segments(spark: SparkSession, folder: str) -> DataFrame:
     return T.event_segments(words(spark, folder))
 
 
+def placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Clipped words and the segments made of them, each computed once for both uses."""
+    w = clipped(spark, folder)
+    return w, T.event_segments(w, clip=False).repartition(*T.SCENE)
+
+
 def end_repair(spark, folder):
     return T.repair_ends(T.asr_records(table(spark, folder, "asr_stream"))).select("conv_id", "spk", "seq", "text", "start", "end")
 
@@ -26,24 +36,31 @@ def asr_words(spark, folder):
     return words(spark, folder)
 
 
+_UNIT = ["conv_id", "spk", "ipu", "text", "s", "e"]
+
+
 def ipu_table(spark, folder):
-    return T.pausal_units(words(spark, folder))
+    return T.numbered_units(T.pausal_units(words(spark, folder))).select(*_UNIT, "n_words")
 
 
 def ipu_backchannel_semi(spark, folder):
-    return T.mark_backchannels(T.pausal_units(words(spark, folder))).where("is_bc").select("conv_id", "spk", "ipu", "text", "s", "e")
+    return T.numbered_units(T.mark_backchannels(T.pausal_units(clipped(spark, folder)))).where("is_bc").select(*_UNIT)
 
 
 def ipu_activity(spark, folder):
-    return T.activity(T.mark_backchannels(T.pausal_units(words(spark, folder))))
+    return T.activity(T.mark_backchannels(T.pausal_units(clipped(spark, folder)))).drop("scene")
 
 
 def event_segments(spark, folder):
-    return segments(spark, folder)
+    return segments(spark, folder).drop("scene")
+
+
+def event_segments_unclipped(spark, folder):
+    return T.event_segments(words(spark, folder), clip=False).drop("scene")
 
 
 def segment_texts(spark, folder):
-    return T.segment_texts(words(spark, folder), segments(spark, folder))
+    return T.segment_texts(*placed(spark, folder))
 
 
 def event_dialogue_stats(spark, folder):
@@ -70,7 +87,7 @@ def tape_floor(spark, folder):
 
 
 def clip_small_overlap(spark, folder):
-    return T.clip_small_overlaps(words(spark, folder))
+    return clipped(spark, folder).drop("scene")
 
 
 def asr_merge(spark, folder):
@@ -78,12 +95,15 @@ def asr_merge(spark, folder):
 
 
 def _lines(spark, folder):
+    """Transcript lines with text; spk is that of the label, or of a label in the text, null where neither names a speaker."""
     t = table(spark, folder, "trans_stream").dropDuplicates(["conv_id", "seq"])
-    return t.select("conv_id", "seq", speaker_index(F.col("speaker_id")).alias("spk"), "start", F.coalesce("end", "start").alias("end"), F.trim("text").alias("text")).where("spk IS NOT NULL AND text <> ''")
+    spk = F.coalesce(speaker_index(F.col("speaker_id")), speaker_in_text(F.col("text")))
+    return t.select("conv_id", "seq", spk.alias("spk"), "start", F.coalesce("end", "start").alias("end"), F.trim("text").alias("text")).where("text <> ''")
 
 
 def speaker_runs(spark, folder):
-    return T.speaker_runs(_lines(spark, folder))
+    """A line without a speaker goes with the line before it in time; those before any speaker are runs of nobody."""
+    return T.speaker_runs(T.named_speakers(_lines(spark, folder)))
 
 
 def interpolate(spark, folder):
@@ -101,7 +121,7 @@ def segment_table_stats(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        end_repair, asr_words, ipu_table, ipu_backchannel_semi, ipu_activity, event_segments, segment_texts, event_dialogue_stats, event_rollup, event_label_stats,
+        end_repair, asr_words, ipu_table, ipu_backchannel_semi, ipu_activity, event_segments, event_segments_unclipped, segment_texts, event_dialogue_stats, event_rollup, event_label_stats,
         tape_floor, clip_small_overlap, asr_merge, speaker_runs, interpolate, segment_table_stats,
     )
 }
@@ -125,20 +145,45 @@ w AS (
   SELECT conv_id, spk, seq, text, CAST(round_even(start * 10000, 0) AS BIGINT) AS s,
     CAST(round_even(CASE WHEN "end" > start THEN "end" WHEN least(coalesce(n, start + 0.5), start + 0.5) > start THEN least(coalesce(n, start + 0.5), start + 0.5) ELSE start + 0.5 END * 10000, 0) AS BIGINT) AS e
   FROM nxt2)"""
-IPUS = (
-    RECORDS
-    + """,
-brk AS (SELECT *, CASE WHEN s - lag(e) OVER o < 320 THEN 0 ELSE 1 END AS b FROM w WINDOW o AS (PARTITION BY conv_id, spk ORDER BY s, seq)),
-num AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, spk ORDER BY s, seq ROWS UNBOUNDED PRECEDING) AS ipu FROM brk),
-ipu AS (
+
+
+def _ipus(words: str, p: str = "") -> str:
+    """Units of a table of words; the tables made are named with the prefix."""
+    return f""",
+{p}brk AS (SELECT *, CASE WHEN s - lag(e) OVER o < 320 THEN 0 ELSE 1 END AS b FROM {words} WINDOW o AS (PARTITION BY conv_id, spk ORDER BY s, seq)),
+{p}num AS (SELECT *, sum(b) OVER (PARTITION BY conv_id, spk ORDER BY s, seq ROWS UNBOUNDED PRECEDING) AS ipu FROM {p}brk),
+{p}ipu AS (
   SELECT conv_id, spk, CAST(ipu AS BIGINT) AS ipu, string_agg(text, ' ' ORDER BY s, seq) AS text, min(s) AS s, arg_max(e, (s, seq)) AS e, count(*) AS n_words
-  FROM num GROUP BY conv_id, spk, ipu)"""
+  FROM {p}num GROUP BY conv_id, spk, ipu)"""
+
+
+_CAND = f"replace(regexp_replace(lower(trim(text)), '[[:punct:]]', '', 'g'), ' ', '') IN ({_BC}) AND e - s < 10000"
+IPUS = RECORDS + _ipus("w")
+#: Words after clipping: wc.
+CLIPPED = (
+    RECORDS
+    + _ipus("w", "u_")
+    + f""",
+u_cand AS (SELECT *, {_CAND} AS cand FROM u_ipu),
+nar AS (
+  SELECT u.conv_id, u.ipu,
+    max(CASE WHEN a.s <= u.s AND u.s < a.e AND a.e < u.e AND a.e - u.s < 500 THEN a.e END) AS head,
+    max(CASE WHEN u.s < a.s AND a.s < u.e AND u.e <= a.e AND u.e - a.s < 500 THEN a.s END) AS tail
+  FROM u_cand u JOIN u_cand a ON a.conv_id = u.conv_id AND u.spk = 0 AND a.spk = 1 AND NOT u.cand AND NOT a.cand AND greatest(u.s, a.s) < least(u.e, a.e)
+  GROUP BY u.conv_id, u.ipu),
+mv AS (
+  SELECT n.conv_id, n.spk, n.seq, n.text, b.tail, greatest(n.s, coalesce(b.head, n.s)) AS s1, greatest(n.e, CASE WHEN n.s < b.head THEN greatest(n.s, b.head) + 1 ELSE n.e END) AS e1
+  FROM u_num n LEFT JOIN nar b ON n.spk = 0 AND b.conv_id = n.conv_id AND b.ipu = n.ipu),
+wc AS (
+  SELECT conv_id, spk, seq, text, CASE WHEN e1 > tail AND s1 >= tail THEN tail - 1 ELSE s1 END AS s, CASE WHEN e1 > tail THEN tail ELSE e1 END AS e FROM mv)"""
 )
-SEGMENTS = (
-    IPUS
+
+
+def _chain(words: str) -> str:
+    return (
+        _ipus(words)
     + f""",
-cand AS (
-  SELECT *, replace(regexp_replace(lower(trim(text)), '[[:punct:]]', '', 'g'), ' ', '') IN ({_BC}) AND e - s < 10000 AS cand FROM ipu),
+cand AS (SELECT *, {_CAND} AS cand FROM ipu),
 bc AS (
   SELECT a.*, a.cand AND EXISTS (SELECT 1 FROM ipu b WHERE b.conv_id = a.conv_id AND b.spk <> a.spk AND greatest(a.s, b.s) < least(a.e, b.e)) AS is_bc
   FROM cand a),
@@ -177,12 +222,16 @@ seg AS (
     CAST(CASE WHEN l1 IN ('T', 'C') THEN a0 WHEN l1 = 'BC' THEN CASE WHEN f0 AND NOT f1 THEN 0 WHEN f1 AND NOT f0 THEN 1 END
          WHEN l1 = 'I' THEN CASE WHEN sfl = 'T' THEN sfa WHEN sfl = 'C' THEN 1 - sfa ELSE 1 - spa END END AS INTEGER) AS initiator, n0, n1
   FROM ctx)"""
-)
+    )
+
+
+SEGMENTS = CLIPPED + _chain("wc")
+_HEAD = r"regexp_extract(upper(text), '^\s*(?:>>\s*)?(?:\(([AB])\)\s*[-:]|(?:(?:SPEAKER|SPK|CHANNEL|CH)[\s_-]*)?([AB12])\s*[:>](?:\D|$))', 0)"
 _LINES = rf"""
 WITH ln AS (
-  SELECT conv_id, seq, {_SPK} AS spk, start, coalesce("end", start) AS "end", trim(text) AS text
+  SELECT conv_id, seq, coalesce({_SPK}, CASE WHEN regexp_matches({_HEAD}, '[A1]\W*\D?$') THEN 0 WHEN regexp_matches({_HEAD}, '[B2]\W*\D?$') THEN 1 END) AS spk, start, coalesce("end", start) AS "end", trim(text) AS text
   FROM (SELECT DISTINCT * FROM trans_stream)),
-line AS (SELECT * FROM ln WHERE spk IS NOT NULL AND text <> '')"""
+line AS (SELECT * FROM ln WHERE text <> '')"""
 
 SQL = {
     "end_repair": RECORDS + ' SELECT conv_id, spk, seq, text, start, "end" FROM rep',
@@ -191,9 +240,11 @@ SQL = {
     "ipu_backchannel_semi": SEGMENTS + " SELECT conv_id, spk, ipu, text, s, e FROM bc WHERE is_bc",
     "ipu_activity": SEGMENTS + ' SELECT conv_id, start, "end", n0, n1, b0, b1 FROM act',
     "event_segments": SEGMENTS + " SELECT * FROM seg",
+    "event_segments_unclipped": RECORDS + _chain("w") + " SELECT * FROM seg",
+    "clip_small_overlap": CLIPPED + " SELECT conv_id, spk, seq, text, s, e FROM wc",
     "segment_texts": SEGMENTS + """ SELECT g.conv_id, g.start, g."end", coalesce(string_agg(x.text, ' ' ORDER BY x.s, x.seq) FILTER (WHERE x.spk = 0), '') AS text0,
       coalesce(string_agg(x.text, ' ' ORDER BY x.s, x.seq) FILTER (WHERE x.spk = 1), '') AS text1
-      FROM seg g JOIN w x ON x.conv_id = g.conv_id AND g.start <= x.s AND x.s < g."end" GROUP BY g.conv_id, g.start, g."end" """,
+      FROM seg g JOIN wc x ON x.conv_id = g.conv_id AND g.start <= x.s AND x.s < g."end" GROUP BY g.conv_id, g.start, g."end" """,
     "event_dialogue_stats": SEGMENTS + ' SELECT conv_id, label, count(*) AS n, CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS units FROM seg GROUP BY conv_id, label',
     "event_rollup": SEGMENTS + ' SELECT conv_id, label, count(*) AS n, CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS units FROM seg GROUP BY GROUPING SETS ((conv_id, label), (label))',
     "event_label_stats": SEGMENTS + """, tot AS (SELECT CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS total FROM seg),
@@ -210,7 +261,8 @@ SQL = {
       g AS (SELECT conv_id, spk, CAST(run AS BIGINT) AS run, bool_and(silent) AS silent, min(start) AS s0, arg_max("end", (start, seq)) AS "end", string_agg(text, '' ORDER BY start, seq) AS text FROM r GROUP BY conv_id, spk, run)
       SELECT conv_id, spk, run, silent, CASE WHEN silent THEN s0 ELSE coalesce(lag("end") OVER (PARTITION BY conv_id, spk ORDER BY run), s0) END AS start, "end",
         CASE WHEN silent THEN '<SIL>' ELSE text END AS text FROM g""",
-    "speaker_runs": _LINES + """, c AS (SELECT *, CASE WHEN spk = lag(spk) OVER (PARTITION BY conv_id ORDER BY start, seq) THEN 0 ELSE 1 END AS b FROM line),
+    "speaker_runs": _LINES + """, nm AS (SELECT * REPLACE (last_value(spk IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY start, seq ROWS UNBOUNDED PRECEDING) AS spk) FROM line),
+      c AS (SELECT *, CASE WHEN lag(seq) OVER o IS NOT NULL AND spk IS NOT DISTINCT FROM lag(spk) OVER o THEN 0 ELSE 1 END AS b FROM nm WINDOW o AS (PARTITION BY conv_id ORDER BY start, seq)),
       r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY start, seq ROWS UNBOUNDED PRECEDING) AS run FROM c)
       SELECT conv_id, CAST(run AS BIGINT) AS run, min(spk) AS spk, arg_min(start, (start, seq)) AS start, arg_max("end", (start, seq)) AS "end",
         string_agg(text, ' ' ORDER BY start, seq) || ' ' AS text FROM r GROUP BY conv_id, run""",

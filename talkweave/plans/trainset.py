@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkweave.functions.text import n_words
+from talkweave.functions.vocab import TRANSITIONS
 from talkweave.operators import sampling as S
 from talkweave.operators import trainset as N
 from talkweave.plans import chat, tape
@@ -40,20 +41,38 @@ def _lengths(spark, folder):
     return _tokens(spark, folder).groupBy("id").agg(F.count("*").cast("int").alias("length"))
 
 
-def dataset_stats(spark, folder):
-    n = F.col("length")
-    return _lengths(spark, folder).agg(F.count("*").alias("n"), F.sum(n).alias("total"), F.round(F.avg(n), 9).alias("mean"), F.max(n).alias("longest"), F.min(n).alias("shortest"))
+#: Tokens of a training row, of its system prompt, and of its end mark.
+ROW, SYSTEM, END = 256, 12, 1
+
+
+def _slices(spark, folder):
+    return N.slices(_lengths(spark, folder), "id", ROW, SYSTEM, END)
 
 
 def slice_windows(spark, folder):
-    return N.slices(_lengths(spark, folder), "id", 64)
+    return _slices(spark, folder)
 
 
 def pack_next_fit(spark, folder):
-    """Slices in batches of 2,000 of the seeded order, packed into boxes of 256."""
-    s = N.slices(_lengths(spark, folder), "id", 64).withColumn("key", F.concat_ws(":", "id", "start"))
-    ranked = S.hash_ranked(s, "key")
-    return N.pack_next_fit(ranked.select(F.floor(F.col("rank") / 2000).alias("batch"), F.pmod("rank", F.lit(2000)).cast("long").alias("place"), F.col("size").cast("long").alias("size")), 256)
+    """Slices in batches of 2,000 of the seeded order, packed into rows."""
+    ranked = S.hash_ranked(_slices(spark, folder).withColumn("key", F.concat_ws(":", "id", "start")), "key")
+    return N.pack_next_fit(ranked.select(F.floor(F.col("rank") / 2000).alias("batch"), F.pmod("rank", F.lit(2000)).cast("long").alias("place"), F.col("size").cast("long").alias("size")), ROW)
+
+
+def dataset_stats(spark, folder):
+    return N.packing_stats(_lengths(spark, folder), pack_next_fit(spark, folder), ROW)
+
+
+def vocabulary_prior(spark, folder):
+    """The adjustment of every token of the vocabulary."""
+    return N.vocabulary_priors(N.token_counts(_tokens(spark, folder)))
+
+
+def mask_vocabulary(spark, folder):
+    """Masks and ids of control tokens, an id being a token's place in the seeded order of the vocabulary: control tokens and all counted ones."""
+    control = spark.createDataFrame([(t,) for t in TRANSITIONS], "token string")
+    every = N.token_counts(_tokens(spark, folder)).select("token").unionByName(control).distinct()
+    return N.mask_vocabulary(S.hash_ranked(every, "token").select("token", F.col("rank").cast("long").alias("id")))
 
 
 def tail_budget(spark, folder):
@@ -105,6 +124,12 @@ def fuzzy_loss(spark, folder):
     return N.token_loss(_losses(spark, folder), "fuzzy_loss", "adj_loss")
 
 
+def fuzzy_exact_loss(spark, folder):
+    """Responses by the fuzzy loss, but for a quarter of them drawn by hash, which have the exact one."""
+    rows = _losses(spark, folder).withColumn("mixed", N.fuzzy_or_exact(N.drawn(F.col("vec_id"), 4), F.col("loss"), F.col("fuzzy_loss")))
+    return N.token_loss(rows, "mixed", "adj_loss")
+
+
 def masked_softmax(spark, folder):
     """The likeliest class and its probability with the control classes 2 to 4 forbidden."""
     p = N.softmax_masked(F.col("logits"), [2, 3, 4])
@@ -115,7 +140,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_masks, token_counts, token_class_ratio, class_prior, dataset_stats, slice_windows, pack_next_fit, tail_budget, row_losses, balanced_loss, token_loss,
-        logit_adjusted_loss, all_adjusted_loss, fuzzy_loss, masked_softmax,
+        logit_adjusted_loss, all_adjusted_loss, fuzzy_loss, fuzzy_exact_loss, masked_softmax, vocabulary_prior, mask_vocabulary,
     )
 }
 
@@ -125,6 +150,11 @@ TOKENS = tape.ENTRIES + r""", tk AS (SELECT id, pos, CASE WHEN starts_with(token
 _COUNTS = TOKENS + """, cn AS (SELECT token, count(*) AS n FROM tk WHERE mask >= 1 GROUP BY token),
     cl AS (SELECT CASE WHEN token IN ('[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]') THEN token ELSE 'response' END AS token, CAST(sum(n) AS BIGINT) AS n FROM cn GROUP BY 1)"""
 _LEN = TOKENS + ", ln AS (SELECT id, CAST(count(*) AS INTEGER) AS length FROM tk GROUP BY id)"
+_SLICES = _LEN + ", ss AS (SELECT id, length, CAST(unnest(range(0, length, 212)) AS INTEGER) AS start FROM ln WHERE length > 0), sl AS (SELECT id, start, CAST(least(243, length - start) + 13 AS INTEGER) AS size FROM ss)"
+_PACKED = _SLICES.replace("WITH ", "WITH RECURSIVE ", 1) + """, rk AS (SELECT CAST(size AS BIGINT) AS size, row_number() OVER (ORDER BY md5(id || ':' || start || '|42'), id || ':' || start) - 1 AS rank FROM sl),
+    it AS (SELECT rank // 2000 AS batch, rank % 2000 AS place, size FROM rk),
+    pk AS (SELECT batch, place, size, CAST(0 AS BIGINT) AS box, size AS fill FROM it WHERE place = 0
+      UNION ALL SELECT i.batch, i.place, i.size, p.box + CASE WHEN p.fill + i.size > 256 THEN 1 ELSE 0 END, CASE WHEN p.fill + i.size > 256 THEN i.size ELSE p.fill + i.size END FROM pk p JOIN it i ON i.batch = p.batch AND i.place = p.place + 1)"""
 _LOSS = """WITH e AS (SELECT vec_id, CAST(label AS INTEGER) AS label, CAST(CASE WHEN label < 5 THEN label + 2 ELSE 1 END AS INTEGER) AS mask, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS lg,
     CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 2.0 END AS resp_w, CASE vec_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 0.5 END AS trans_w FROM embeddings),
   a AS (SELECT *, list_transform(lg, lambda x, i: x + CASE WHEN i <= 5 THEN ln(0.02 * i) ELSE 0.0 END) AS ag, list_slice(lg, 6, 64) AS rg FROM e),
@@ -145,8 +175,17 @@ SQL = {
     "token_class_ratio": _COUNTS + " SELECT token, n, round(n / sum(n) OVER (), 9) AS share FROM cl",
     "class_prior": _COUNTS + """ SELECT token, round(ln(greatest(n / sum(n) OVER (), 1e-9)), 6) AS adjustment, 'all' AS among FROM cl UNION ALL
       SELECT token, round(ln(greatest(n / CASE WHEN token = 'response' THEN sum(n) OVER () ELSE sum(n) FILTER (WHERE token <> 'response') OVER () END, 1e-9)), 6), 'transition' FROM cl""",
-    "dataset_stats": _LEN + " SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS total, round(avg(length), 9) AS mean, max(length) AS longest, min(length) AS shortest FROM ln",
-    "slice_windows": _LEN + ", s AS (SELECT id, length, CAST(unnest(range(0, length, 56)) AS INTEGER) AS start FROM ln WHERE length > 0) SELECT id, start, least(64, length - start) AS size FROM s",
+    "dataset_stats": _PACKED + """, b AS (SELECT sum(n) AS n FROM (SELECT max(box) + 1 AS n FROM pk GROUP BY batch))
+      SELECT count(*) AS n, CAST(sum(length) AS BIGINT) AS total, round(avg(length), 9) AS mean, max(length) AS longest, min(length) AS shortest,
+        CAST((SELECT n FROM b) AS BIGINT) AS n_packed, round(sum(length) / ((SELECT n FROM b) * 256), 9) AS efficiency FROM ln""",
+    "slice_windows": _SLICES + " SELECT id, start, size FROM sl",
+    "pack_next_fit": _PACKED + " SELECT batch, place, size, box FROM pk",
+    "vocabulary_prior": _COUNTS + """, pr AS (SELECT token AS class, round(ln(greatest(n / sum(n) OVER (), 1e-9)), 6) AS adjustment FROM cl)
+      SELECT cn.token, adjustment FROM cn JOIN pr ON class = CASE WHEN token IN ('[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]') THEN token ELSE 'response' END""",
+    "mask_vocabulary": _COUNTS + """, v AS (SELECT token, row_number() OVER (ORDER BY md5(token || '|42'), token) - 1 AS id FROM (SELECT token FROM cn UNION SELECT unnest(['[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]'])))
+      SELECT token, CAST(CASE token WHEN '[C.LISTEN]' THEN 2 WHEN '[C.SPEAK]' THEN 3 WHEN '[S.LISTEN.INTERRUPT]' THEN 4 WHEN '[S.LISTEN.NATURAL]' THEN 5 ELSE 6 END AS INTEGER) AS mask, id FROM v
+      WHERE token IN ('[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]')""",
+    "fuzzy_exact_loss": _mean_sql("CASE WHEN md5(CAST(vec_id AS VARCHAR) || '|7') < '4' THEN loss ELSE fuzzy_loss END", "adj_loss"),
     "tail_budget": chat.TURNS + r""", n AS (SELECT id, turn, CAST(len(list_filter(string_split_regex(value, '\s+'), lambda w: w <> '')) AS INTEGER) AS n FROM turns),
       s AS (SELECT *, sum(n) OVER (PARTITION BY id ORDER BY turn DESC ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (PARTITION BY id ORDER BY turn DESC) AS r FROM n)
       SELECT id, turn, n FROM s WHERE c <= 120 OR r = 1""",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talkweave.functions.vocab import INTERLOCUTOR, TRANSITIONS
+from talkweave.operators.blocks import matched, runs
 from talkweave.streaming.state import Floor, Voice, packed, unpacked
 
 VOICE_OUT = "stream string, kind string, first long, last long"
@@ -70,24 +71,18 @@ def floor_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandasWithState(run, FLOOR_OUT, "machine string", "append", GroupStateTimeout.NoTimeout)
 
 
-def silence_runs(windows: DataFrame, leave: float = 0.35, unit: int = 20) -> DataFrame:
+def silence_runs(windows: DataFrame, leave: float = 0.35, unit: int = 20, block: int = 100_000) -> DataFrame:
     """Silences by runs of windows below the threshold: stream, first window, windows, whole units; no state is needed once the run is known."""
-    order = W.partitionBy("stream").orderBy("idx")
-    quiet = F.col("prob") < leave
-    turned = F.coalesce((quiet != F.lag(quiet).over(order)).cast("int"), F.lit(1))
-    return (
-        windows.withColumn("quiet", quiet)
-        .withColumn("run", F.sum(turned).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .where("quiet")
-        .groupBy("stream", "run")
-        .agg(F.min("idx").alias("first"), F.count("*").alias("n"))
-        .select("stream", "first", "n", F.floor(F.col("n") / unit).alias("units"))
-    )
+    rows = windows.select("stream", "idx", F.col("idx").alias("seq"), (F.col("prob") < leave).alias("quiet"))
+    found = runs(rows, ["stream"], "idx", "quiet", block, lambda: {"n": F.count("*")}, lambda: {"n": F.sum("n")})
+    return found.where("quiet").select("stream", F.col("head.idx").alias("first"), "n", F.floor(F.col("n") / unit).alias("units"))
 
 
 def snapshot(rows: DataFrame, key: str, ts: Column) -> DataFrame:
-    """Adds t: seconds since the first row of the session, to four places."""
-    return rows.withColumn("t", F.round(ts - F.min(ts).over(W.partitionBy(key)), 4))
+    """Adds t: seconds since the first row of the session, to four places.  The first is one aggregate a session, so a long session is spread."""
+    timed = rows.withColumn("_ts", ts)
+    first = timed.groupBy(key).agg(F.min("_ts").alias("_t0"))
+    return matched(timed, first, [key]).withColumn("t", F.round(F.col("_ts") - F.col("_t0"), 4)).drop("_ts", "_t0")
 
 
 def entry_kind(token: Column) -> Column:
@@ -105,13 +100,14 @@ def paced(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(path)
 
 
-def windowed_counts(events: DataFrame, ts: str, late: str = "10 minutes", size: str = "5 minutes") -> DataFrame:
-    """Events by window and type, closed once the watermark passes; rows later than that are not counted."""
+def windowed_counts(events: DataFrame, ts: str, late: str = "10 minutes", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
+    """Events by window and type, a window every `slide`, closed once the watermark passes; rows later than that are not counted."""
     stamped = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
-    return stamped.groupBy(F.window("_ts", size).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+    return stamped.groupBy(F.window("_ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
 def with_late(batch: DataFrame, ts: str, watermark, sink_on_time, sink_late) -> None:
-    """For foreachBatch: rows before the watermark go to the sink of late rows, the others on."""
-    sink_late(batch.where(F.col(ts) < F.lit(watermark)))
-    sink_on_time(batch.where(F.col(ts) >= F.lit(watermark)))
+    """For foreachBatch: rows before the watermark, and rows without a time, go to the sink of late rows, the others on."""
+    on_time = F.coalesce(F.col(ts) >= F.lit(watermark), F.lit(False))
+    sink_late(batch.where(~on_time))
+    sink_on_time(batch.where(on_time))

@@ -1,6 +1,8 @@
 """Tapes: every rule of writing a segment, the merging of tokens, clauses, and validity."""
 
 import itertools
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,26 +39,116 @@ I = "<interlocutor>"  # noqa: E741
         ("C", 1, 1, "P", [], ["x"], "[C.SPEAK]", ["x"]),
     ],
 )
-def test_rules(label, who, floor, before, heard, own, last, tape):
-    assert P.written(label, who, floor, before, heard, own, last) == tape
+def test_rules(spark, label, who, floor, before, heard, own, last, tape):
+    schema = "label string, who int, floor int, before string, heard array<string>, own array<string>, after boolean"
+    df = spark.createDataFrame([(label, who, floor, before, heard, own, last in TRANSITIONS)], schema)
+    rule = P.rule_of(F.col("label"), F.col("who"), F.col("floor"), F.col("before"))
+    assert df.select(P.written(rule, F.col("heard"), F.col("own"), F.col("after"))).first()[0] == tape
 
 
-@pytest.mark.parametrize(("a", "b"), list(itertools.product(TRANSITIONS, TRANSITIONS)))
-def test_merging_keeps_the_states(a, b):
-    speaks_before = {"[C.SPEAK]", "[S.LISTEN.INTERRUPT]", "[S.LISTEN.NATURAL]"}
-    speaks_after = {"[C.SPEAK]", "[S.SPEAK]"}
-    if a == "[C.SPEAK]" and b == "[C.LISTEN]":
-        return  # no two neighbouring segments meet like this
-    m = P.merged(a, b)
-    assert (m in speaks_before) == (a in speaks_before) and (m in speaks_after) == (b in speaks_after)
+def joined(a, b):
+    """The step between the state before `a` and the state after `b`."""
+    speaks_before, speaks_after = a not in ("[S.SPEAK]", "[C.LISTEN]"), b in ("[C.SPEAK]", "[S.SPEAK]")
+    if speaks_after:
+        return "[C.SPEAK]" if speaks_before else "[S.SPEAK]"
+    return "[C.LISTEN]" if not speaks_before else a if a.startswith("[S.") else b
 
 
-def test_fold_and_clauses():
-    segs = [("G", None, None, ["<SIL>"], []), ("T", 0, 0, ["hi"], []), ("G", None, 0, ["<SIL>"], []), ("T", 1, 1, [], ["well,", "the", "cook."]), ("P", None, 1, [], []), ("C", 1, 1, [], ["Yes."]), ("T", 0, 0, ["ok"], [])]
-    tape = P.fold(segs)
-    assert [x for x, _ in tape] == [I + "<SIL>", "[C.LISTEN]", I + "hi", "[C.LISTEN]", I + "<SIL>", "[S.SPEAK]", "well,", "the", "cook.", "[C.SPEAK]", "Yes.", "[S.LISTEN.NATURAL]", I + "ok"]
-    assert [x for x, _ in P.without_gap_silence(tape)][2:5] == [I + "hi", "[S.SPEAK]", "well,"]
-    assert [x for x, _ in P.in_clauses(tape)][5:12] == ["[S.SPEAK]", "well,", "[C.SPEAK]", "the cook.", "[C.SPEAK]", "Yes.", "[S.LISTEN.NATURAL]"]
+def test_merging_keeps_the_states(spark):
+    speaks_before = {"[C.SPEAK]", "[S.LISTEN.INTERRUPT]", "[S.LISTEN.NATURAL]"}
+    speaks_after = {"[C.SPEAK]", "[S.SPEAK]"}
+    pairs = spark.createDataFrame(list(itertools.product(TRANSITIONS, TRANSITIONS)), "a string, b string")
+    for a, b, m in pairs.select("a", "b", P.met(F.col("a"), F.col("b"))).collect():
+        assert m == joined(a, b)
+        if (a, b) == ("[C.SPEAK]", "[C.LISTEN]"):
+            continue  # no two neighbouring segments meet like this
+        assert (m in speaks_before) == (a in speaks_before) and (m in speaks_after) == (b in speaks_after)
+
+
+def plain_tape(parts, trim, cut):
+    """A tape entry by entry from the parts of its segments: (token, segment)."""
+    tape = []
+    for k, part in enumerate(parts):
+        for i, x in enumerate(part):
+            if i == 0 and tape and x in TRANSITIONS and tape[-1][0] in TRANSITIONS:
+                t = joined(tape[-1][0], x)
+                tape[-1] = tape[-1] if t == tape[-1][0] else (t, k)
+            else:
+                tape.append((x, k))
+    quiet = lambda x: "<SIL>" in x or x == "[C.LISTEN]"
+    if trim:
+        out = []
+        for x, k in tape:
+            n = len(out)
+            while x == "[S.SPEAK]" and n and quiet(out[n - 1][0]):
+                n -= 1
+            if x == "[S.SPEAK]" and n and out[n - 1][0].startswith(I):
+                del out[n:]
+            out.append((x, k))
+        tape = out
+    if cut:
+        own = lambda j: 0 <= j < len(tape) and tape[j][0] not in TRANSITIONS and not tape[j][0].startswith(I)
+        tape = [e for j, e in enumerate(tape) if not (e[0] == "[C.SPEAK]" and own(j - 1) and own(j + 1))]
+        out, text = [], []
+        for j, (x, k) in enumerate(tape):
+            if not own(j):
+                out.append((x, k))
+                continue
+            text.append((x, k))
+            if not own(j + 1):
+                said = re.split(r"(?<=[.!?])\s+|(?<=[,;:])(?=\s)|(?<=[。！？，；：、])", " ".join(w for w, _ in text))
+                for i, c in enumerate(c.strip() for c in said if re.search(r"\w", c)):
+                    out += [("[C.SPEAK]", text[0][1])] * bool(i) + [(c, text[0][1])]
+                text = []
+        tape = out
+    return tape
+
+
+@pytest.mark.parametrize(("block", "trim", "cut"), [(3_000_000, False, True), (30_000, True, False), (6_000, True, True), (6_000, False, False)])
+def test_tapes_equal_fold(spark, block, trim, cut):
+    """Whatever the length of the blocks at which a call is cut."""
+    from talkweave.operators import timeline as T
+
+    rng = random.Random(block)
+    schema = "conv_id string, spk int, seq long, text string, s long, e long"
+    words, silences = [], []
+    for c in range(12):
+        t = [rng.choice([0, 500]), 700]
+        for seq in range(50):
+            k = rng.randrange(2)
+            t[k] = max(t[k], t[1 - k] - rng.choice([0, 0, 1500, 4000])) + rng.choice([0, 100, 319, 321, 7000])
+            e = t[k] + rng.choice([400, 1500, 3000, 10000])
+            words.append((f"c{c}", k, seq, rng.choice(["yeah", "uh-huh", "the,", "cook.", "oh"]), t[k], e))
+            t[k] = e
+            if rng.random() < 0.4:
+                silences.append((f"c{c}", 0, 1000 + seq, "<SIL>", e + rng.randrange(3000), e + 6400))
+    w, q = spark.createDataFrame(words, schema), spark.createDataFrame(silences, schema)
+    timed = T.clipped_once(T.scenes(w.unionByName(q), 10**9))
+    segments = T.event_segments(timed.where("text <> '<SIL>'"), clip=False)
+    placed = T.words_in_segments(timed, segments).where("e > start").collect()
+    floor = T.floor_holders(segments).orderBy("conv_id", "start").collect()
+    cases, before = [], {}
+    for r in floor:
+        mine = sorted((x.s, x.seq, x.spk, x.text) for x in placed if x.conv_id == r.conv_id and x.start == r.start)
+        cases.append((r.conv_id, r.start, r.label, r.initiator, r.floor, before.get(r.conv_id), [x[3] for x in mine if x[2] == 0], [x[3] for x in mine if x[2] == 1]))
+        before[r.conv_id] = r.label
+    df = spark.createDataFrame(cases, "conv_id string, start long, label string, who int, floor int, before string, heard array<string>, own array<string>")
+    ruled = df.withColumn("rule", P.rule_of(F.col("label"), F.col("who"), F.col("floor"), F.col("before")))
+    each = {}
+    for r in ruled.select("conv_id", "start", *[P.written(F.col("rule"), F.col("heard"), F.col("own"), F.lit(x)).alias(f"w{int(x)}") for x in (False, True)]).orderBy("start").collect():
+        parts = each.setdefault(r.conv_id, [])
+        last = next((p[-1] for p in reversed(parts) if p), None)
+        parts.append(list(r.w1 if last in TRANSITIONS else r.w0))
+    got = {}
+    for r in P.call_tapes(w, q, clauses=cut, trim_gaps=trim, block=block).orderBy("conv_id", "pos").collect():
+        got.setdefault(r.conv_id, []).append((r.token, r.segment))
+        assert r.pos == len(got[r.conv_id]) - 1
+    assert got == {c: plain_tape(parts, trim, cut) for c, parts in each.items()}
+
+
+def test_complemented(spark):
+    df = spark.createDataFrame([(["<SIL>"], 20000), (["<SIL>"] * 4, 20000), ([], 6399), ([], 6400)], "x array<string>, n long")
+    assert [len(r[0]) for r in df.select(P.complemented(F.col("x"), F.col("n"))).collect()] == [3, 4, 0, 1]
 
 
 @pytest.mark.parametrize(
@@ -87,7 +179,7 @@ def test_tapes_of_calls_hold_every_word_once(spark):
 
     folder = "/root/testdata/sf0.001"
     tokens = plans.boundary_merge(spark, folder).where("NOT token LIKE '[%' AND NOT token LIKE '%<SIL>%'")
-    placed = timeline.T.words_in_segments(timeline.words(spark, folder), timeline.segments(spark, folder)).where("e > start")
+    placed = timeline.T.words_in_segments(*timeline.placed(spark, folder)).where("e > start")
     # own words that no rule writes (in the other's pauses) are the only ones missing
     assert 0.97 * placed.count() <= tokens.count() <= placed.count()
 

@@ -81,15 +81,33 @@ def call(rng, n):
     return words
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_labels_equal_fold(spark, seed):
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("block", [T.BLOCK, 20_000, 3_000])
+def test_labels_equal_fold(spark, seed, block):
+    """Whatever the length of blocks at which calls are cut into scenes."""
     rng = random.Random(seed)
     calls = {f"c{k}": call(rng, rng.randrange(1, 40)) for k in range(25)}
     rows = [(c, *w) for c, ws in calls.items() for w in ws]
+    placed = T.scenes(spark.createDataFrame(rows, WORDS), block)
     got = {}
-    for r in T.event_segments(spark.createDataFrame(rows, WORDS)).collect():
+    for r in T.event_segments(placed, clip=False).collect():
         got.setdefault(r.conv_id, []).append((r.start, r.end, r.label, r.initiator))
     assert {c: sorted(x) for c, x in got.items()} == {c: labels_of(ws) for c, ws in calls.items()}
+    n = placed.select("conv_id", "scene").distinct().count()
+    assert n == len(calls) if block == T.BLOCK else n > 2 * len(calls)
+
+
+def test_hot_call_is_spread(spark):
+    """A call with a third of all words is as many scenes as it has blocks; none is much larger than the others."""
+    hot = [("hot", k % 2, k, "cook", 4000 * k, 4000 * k + 3000) for k in range(3000)]
+    rest = [(f"c{j}", k % 2, k, "cook", 4000 * k, 4000 * k + 3000) for j in range(20) for k in range(300)]
+    sizes = [r["count"] for r in T.scenes(spark.createDataFrame(hot + rest, WORDS), 400_000).groupBy("conv_id", "scene").count().collect()]
+    assert max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2] and len(sizes) > 80
+
+
+def test_speech_without_pause_is_one_scene(spark):
+    rows = [("c", k % 2, k, "cook", 1000 * k, 1000 * k + 1500) for k in range(200)]
+    assert T.scenes(spark.createDataFrame(rows, WORDS), 10_000).select("scene").distinct().count() == 1
 
 
 def clipped(words):
@@ -118,8 +136,8 @@ def clipped(words):
     return sorted(map(tuple, user))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_clipping_equals_fold(spark, seed):
+@pytest.mark.parametrize(("seed", "block"), [(0, T.BLOCK), (1, 20_000), (2, 5_000)])
+def test_clipping_equals_fold(spark, seed, block):
     rng = random.Random(seed)
     calls = {}
     for k in range(40):
@@ -133,7 +151,7 @@ def test_clipping_equals_fold(spark, seed):
         calls[f"c{k}"] = words
     df = spark.createDataFrame([(c, *w) for c, ws in calls.items() for w in ws], WORDS)
     got = {}
-    for r in T.clip_small_overlaps(df).where("spk = 0").collect():
+    for r in T.clip_small_overlaps(T.scenes(df, block)).where("spk = 0").collect():
         got.setdefault(r.conv_id, []).append((0, r.seq, r.text, r.s, r.e))
     want = {c: clipped(ws) for c, ws in calls.items()}
     assert {c: sorted(x) for c, x in got.items()} == {c: w for c, w in want.items() if w}
@@ -171,6 +189,76 @@ def test_asr_merge_and_runs(spark):
     assert [(r.text, r.start, r.end) for r in got] == [("a b", 0.0, 2.0), ("<SIL>", 2.0, 3.2), ("c", 3.2, 5.0)]
 
 
+@pytest.mark.parametrize("block", [300.0, 7.0, 0.5])
+def test_runs_equal_fold(spark, block):
+    """Runs that end in their block, that cross an edge, and that span several blocks."""
+    rng = random.Random(8)
+    rows, calls = [], {}
+    for c in range(8):
+        t, who = 0.0, 0
+        for seq in range(60):
+            t += rng.choice([0.0, 0.1, 0.4, 3.0])
+            who = 1 - who if rng.random() < 0.3 else who
+            text = rng.choice(["a", "b", "<SIL>"])
+            calls.setdefault(f"c{c}", []).append((t, seq, who, text))
+            rows.append((f"c{c}", who, seq, text, t, t + 0.1))
+    df = spark.createDataFrame(rows, "conv_id string, spk int, seq long, text string, start double, end double")
+    got = {}
+    for r in T.speaker_runs(df, block).orderBy("conv_id", "run").collect():
+        got.setdefault(r.conv_id, []).append((r.run, r.spk, r.start, r.text))
+    merged = {}
+    for r in T.merge_asr(df, block).orderBy("conv_id", "spk", "run").collect():
+        merged.setdefault((r.conv_id, r.spk), []).append((r.run, r.text, round(r.start, 6), round(r.end, 6)))
+    for c, lines in calls.items():
+        want = []
+        for t, seq, who, text in sorted(lines):
+            if want and want[-1][1] == who:
+                want[-1][3] += text + " "
+            else:
+                want.append([len(want) + 1, who, t, text + " "])
+        assert got[c] == [tuple(w) for w in want]
+        for who in (0, 1):
+            want = []
+            for t, seq, k, text in sorted(lines):
+                if k != who:
+                    continue
+                if want and (want[-1][1] == "<SIL>") == (text == "<SIL>"):
+                    want[-1][1] = "<SIL>" if text == "<SIL>" else want[-1][1] + text
+                    want[-1][3] = round(t + 0.1, 6)
+                else:
+                    start = t if text == "<SIL>" or not want else want[-1][3]
+                    want.append([len(want) + 1, text, round(start, 6), round(t + 0.1, 6)])
+            assert merged.get((c, who), []) == [tuple(w) for w in want]
+
+
+@pytest.mark.parametrize("block", [300.0, 2.0])
+def test_named_speakers(spark, block):
+    rows = [("c", None, 1, 0.0), ("c", 1, 2, 1.0), ("c", None, 3, 9.0), ("c", None, 4, 30.0), ("c", 0, 5, 30.0), ("c", None, 6, 31.0), ("d", None, 1, 5.0)]
+    got = T.named_speakers(spark.createDataFrame(rows, "conv_id string, spk int, seq long, start double"), block).orderBy("conv_id", "seq").collect()
+    assert [r.spk for r in got] == [None, 1, 1, 1, 0, 0, None]
+
+
+@pytest.mark.parametrize(("text", "spk"), [("A: yes", 0), (">> b> no", 1), ("(A) - so", 0), ("Speaker B: x", 1), ("ch1: x", 0), ("7:40 it is", None), ("Bees: many", None), ("a plain line", None), (None, None)])
+def test_speaker_in_text(spark, text, spk):
+    from pyspark.sql import functions as F
+
+    from talkweave.functions.text import speaker_in_text
+
+    assert spark.createDataFrame([(text,)], "t string").select(speaker_in_text(F.col("t"))).first()[0] == spk
+
+
+@pytest.mark.parametrize("size", [3600.0, 3.0])
+def test_as_of(spark, size):
+    from pyspark.sql import functions as F
+
+    from talkweave.operators.joins import as_of
+
+    left = spark.createDataFrame([("k", 1, "a"), ("k", 5, "b"), ("k", 50, "c"), ("j", 3, "d"), ("k", None, "e")], "key string, t int, name string")
+    right = spark.createDataFrame([("k", 1, 10), ("k", 4, 40), ("k", 5, 50), ("k", 51, 99), ("k", 6, None)], "key string, t int, v int")
+    got = {r.name: r.got for r in as_of(left, right, "key", "t", F.col("v"), "got", size).collect()}
+    assert got == {"a": 10, "b": 50, "c": 50, "d": None, "e": None}
+
+
 def test_interpolation(spark):
     rows = [("c", 1, 0, "ab", 1.0, 2.0), ("c", 1, 1, "cdef", 1.0, 2.0), ("c", 1, 2, "gh", 1.0, 2.0)]
     got = T.interpolate(spark.createDataFrame(rows, "conv_id string, seq long, pos int, text string, utt_start double, utt_end double"), ["conv_id", "seq"], "pos").orderBy("pos").collect()
