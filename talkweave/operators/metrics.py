@@ -25,13 +25,13 @@ def word_errors(reference: Column, hypothesis: Column) -> Column:
     """Edit distance in words.
 
     Each different word of the two texts becomes one character, so the distance of the texts in
-    words is the JVM's distance of two strings.  Characters are those from U+3400 on without the
-    surrogates; texts of more different words than there are (over a million) are an error.
+    words is the JVM's distance of two strings.  Characters are those of U+3400 to U+D7FF and of
+    the planes from U+10000 on; texts of more different words than there are (over a million) are an error.
     """
     def spelt(ws: Column, vocabulary: Column) -> Column:
         place = F.map_from_entries(F.transform(vocabulary, lambda w, i: F.struct(w, i)))
         code = lambda n: F.when(n >= 0x110000, F.raise_error(F.lit("too many different words"))).otherwise(n)
-        char = lambda i: F.decode(F.unhex(F.lpad(F.hex(code(F.when(i + 0x3400 < 0xD800, i + 0x3400).otherwise(i + 0x3C00)).cast("long")), 8, "0")), "UTF-32")
+        char = lambda i: F.decode(F.unhex(F.lpad(F.hex(code(F.when(i + 0x3400 < 0xD800, i + 0x3400).otherwise(i + 0x5C00)).cast("long")), 8, "0")), "UTF-32")
         return let(place, lambda m: F.array_join(F.transform(ws, lambda w: char(F.try_element_at(m, w))), ""))
 
     both = F.struct(words(comparable(reference)).alias("r"), words(comparable(hypothesis)).alias("h"))

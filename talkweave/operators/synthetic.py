@@ -48,11 +48,16 @@ def filled_in(template: Column, values: dict[str, Column]) -> Column:
     return template
 
 
+def hashed(key: Column, seed: int, k: int) -> Column:
+    """A number below 2**32 by md5, the same in any engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(seed), F.lit(k))), 1, 8), 16, 10).cast("long")
+
+
 def task_parameters(spark: SparkSession, n: int, topics: list[str], seed: int = 42, fewest: int = 3, most: int = 8) -> DataFrame:
     """Tasks with a number of rounds, two different rounds for events, and a topic, all from a hash of the task's number."""
-    h = lambda k: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 30))
+    h = lambda k: hashed(F.col("id"), seed, k)
     rounds = (F.lit(fewest) + F.pmod(h(0), F.lit(most - fewest + 1))).cast("int")
-    shuffled = F.array_sort(F.transform(F.sequence(F.lit(1), F.col("rounds")), lambda r: F.struct(F.xxhash64(r, F.col("id"), F.lit(seed + 1)).alias("h"), r.alias("r"))))
+    shuffled = F.array_sort(F.transform(F.sequence(F.lit(1), F.col("rounds")), lambda r: F.struct(F.md5(F.concat_ws("|", r, "id", F.lit(seed + 1))).alias("h"), r.alias("r"))))
     return (
         spark.range(n)
         .withColumn("rounds", rounds)
@@ -64,7 +69,7 @@ def task_parameters(spark: SparkSession, n: int, topics: list[str], seed: int =
 
 def silence_counts(key: Column, low: int, high: int, shape: str = "uniform", seed: int = 42) -> Column:
     """A seeded number of silences from low to high: uniform, triangular (peak at low) or gaussian about the middle."""
-    u = lambda k: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    u = lambda k: (hashed(key, seed, k) + 0.5) / float(1 << 32)
     if shape == "uniform":
         x = F.floor(low + u(0) * (high - low + 1))
     elif shape == "triangular":

@@ -387,6 +387,10 @@ def named_speakers(rows: DataFrame, block_s: float = BLOCK_S) -> DataFrame:
     return seen.withColumn("spk", F.coalesce(F.last("spk", ignorenulls=True).over(upto), F.col("_held"))).drop("_b", "_held")
 
 
+def _hundredths(x: Column) -> Column:
+    return F.rint(x * 100) / 100
+
+
 def interpolate(rows: DataFrame, keys: list[str], order_by: str) -> DataFrame:
     """Times of parts of an utterance by their share of its characters; the last part ends with the utterance.
 
@@ -401,6 +405,6 @@ def interpolate(rows: DataFrame, keys: list[str], order_by: str) -> DataFrame:
     at = lambda n: F.col("utt_start") + span * F.try_divide(n.cast("double"), total.cast("double"))
     return rows.select(
         *keys, order_by, "text",
-        F.bround(at(before), 2).alias("start"),
-        F.bround(F.when(F.lead("text").over(order).isNull(), F.col("utt_end")).otherwise(at(before + size)), 2).alias("end"),
+        _hundredths(at(before)).alias("start"),
+        _hundredths(F.when(F.lead("text").over(order).isNull(), F.col("utt_end")).otherwise(at(before + size))).alias("end"),
     )

@@ -59,6 +59,8 @@ SQL = {
     "punctuation_restored": chat.TURNS + r""", n AS (SELECT id, turn, value, list_filter(string_split_regex(value, '\s+'), lambda w: w <> '') AS w FROM turns),
       t AS (SELECT *, sum(len(w)) OVER (PARTITION BY id) AS total FROM n)
       SELECT id, turn, md5(CASE WHEN right(id, 1) IN ('0', '3', '6', '9') AND total > 0 THEN value ELSE array_to_string(list_transform(w, lambda x: x || '.'), ' ') END) AS digest FROM t""",
+    "letters_spoken": timeline._LINES + r""", w AS (SELECT conv_id, seq, list_transform(regexp_extract_all(text, '\S+ *'), lambda x: length(x)) AS l FROM line)
+      SELECT conv_id, seq, array_to_string(list_transform(range(1, len(l) + 1), lambda k: CAST(list_sum(l[1:k]) AS BIGINT)), ',') AS letters FROM w""",
     "probe_reasons": chat.TURNS + " SELECT lower(role) AS reason, count(*) AS n FROM turns WHERE turn = 1 GROUP BY 1",
     "distinct_counts": """WITH a AS (SELECT 'asr_stream' AS stream, conv_id, count(DISTINCT seq) AS n FROM asr_stream GROUP BY ALL UNION ALL SELECT 'trans_stream', conv_id, count(DISTINCT seq) FROM trans_stream GROUP BY ALL)
       SELECT stream, count(*) AS calls, max(n) AS most FROM a GROUP BY stream""",

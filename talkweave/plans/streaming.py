@@ -65,6 +65,14 @@ SQL = {
     "silence_units": """WITH w AS (SELECT 's' || user_id AS stream, event_id AS idx, CASE WHEN (event_id // (60 + event_id % 7)) % 2 = 0 THEN 0.1 ELSE 0.2 + (event_id * 37 % 60) / 100 END < 0.35 AS q FROM events WHERE user_id IS NOT NULL),
       t AS (SELECT *, CASE WHEN q = lag(q) OVER o THEN 0 ELSE 1 END AS b FROM w WINDOW o AS (PARTITION BY stream ORDER BY idx)), r AS (SELECT *, sum(b) OVER (PARTITION BY stream ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM t)
       SELECT stream, min(idx) AS first, count(*) AS n, count(*) // 20 AS units FROM r WHERE q GROUP BY stream, run""",
+    "vad_hysteresis": """WITH w AS (SELECT 's' || user_id AS stream, event_id AS idx, CASE WHEN (event_id // (60 + event_id % 7)) % 2 = 0 THEN 0.1 ELSE 0.2 + (event_id * 37 % 60) / 100 END AS p FROM events WHERE user_id IS NOT NULL),
+      o AS (SELECT stream, row_number() OVER (PARTITION BY stream ORDER BY idx) - 1 AS a, p, p < 0.35 AS q FROM w),
+      t AS (SELECT *, CASE WHEN q = lag(q) OVER (PARTITION BY stream ORDER BY a) THEN 0 ELSE 1 END AS b FROM o),
+      r AS (SELECT *, sum(b) OVER (PARTITION BY stream ORDER BY a ROWS UNBOUNDED PRECEDING) AS run FROM t),
+      g AS (SELECT stream, run, bool_and(q) AS q, min(a) AS a0, max(a) AS a1, min(a) FILTER (WHERE p >= 0.5) AS s FROM r GROUP BY stream, run),
+      n AS (SELECT *, lead(run) OVER (PARTITION BY stream ORDER BY run) AS more FROM g)
+      SELECT stream, 'silence' AS kind, (a0 + 20 * k) * 512 AS first, (a0 + 20 * (k + 1)) * 512 AS last FROM (SELECT *, unnest(range((a1 - a0 + 1) // 20)) AS k FROM n WHERE q)
+      UNION ALL SELECT stream, 'speech', (s - least(1, s)) * 512, (a1 + 2) * 512 FROM n WHERE NOT q AND s IS NOT NULL AND more IS NOT NULL AND a1 - s + 1 + least(1, s) >= 5""",
     "session_snapshot": "SELECT event_id, user_id, round(epoch_us(ts) / 1e6 - min(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id), 4) AS t FROM events",
     "tape_tail": tape.ENTRIES + " SELECT id, CASE WHEN token IN ('[C.LISTEN]', '[C.SPEAK]', '[S.LISTEN.INTERRUPT]', '[S.LISTEN.NATURAL]', '[S.SPEAK]') THEN 'state' WHEN starts_with(token, '<interlocutor>') THEN 'user' ELSE 'agent' END AS kind, count(*) AS n FROM en WHERE pos > 9 GROUP BY 1, 2",
     "pipeline_latency": "WITH a AS (SELECT conv_id, CAST(round_even((finish - receive) * 1000, 0) AS BIGINT) AS ms FROM asr_stream WHERE finish IS NOT NULL) SELECT conv_id, count(*) AS n, round(avg(ms), 6) AS mean_ms, max(ms) AS max_ms FROM a GROUP BY conv_id",

@@ -266,6 +266,11 @@ SQL = {
       r AS (SELECT *, sum(b) OVER (PARTITION BY conv_id ORDER BY start, seq ROWS UNBOUNDED PRECEDING) AS run FROM c)
       SELECT conv_id, CAST(run AS BIGINT) AS run, min(spk) AS spk, arg_min(start, (start, seq)) AS start, arg_max("end", (start, seq)) AS "end",
         string_agg(text, ' ' ORDER BY start, seq) || ' ' AS text FROM r GROUP BY conv_id, run""",
+    "interpolate": _LINES + r""", tk AS (SELECT conv_id, seq, start, "end", unnest(range(len(l))) AS pos, unnest(l) AS text, len(l) AS n FROM
+        (SELECT *, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS l FROM line)),
+      sz AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id, seq) AS total, coalesce(sum(length(text)) OVER (PARTITION BY conv_id, seq ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM tk)
+      SELECT conv_id, seq, CAST(pos AS INTEGER) AS pos, text, round_even((start + ("end" - start) * (CAST(before AS DOUBLE) / CAST(total AS DOUBLE))) * 100, 0) / 100 AS start,
+        round_even(CASE WHEN pos = n - 1 THEN "end" ELSE start + ("end" - start) * (CAST(before + length(text) AS DOUBLE) / CAST(total AS DOUBLE)) END * 100, 0) / 100 AS "end" FROM sz""",
     "segment_table_stats": """SELECT conv_id, label, count(*) AS n, CAST(sum(greatest(0, "end" - start)) AS BIGINT) AS units
       FROM (SELECT DISTINCT conv_id, upper(trim(label)) AS label, start, "end" FROM segments WHERE start IS NOT NULL AND "end" IS NOT NULL AND label IS NOT NULL) GROUP BY conv_id, label""",
 }

@@ -31,12 +31,12 @@ def test_turn_reasons(spark, text, why):
 def test_structure(spark, roles, why):
     df = spark.createDataFrame([("a", k, r, "x") for k, r in enumerate(roles)], TURN)
     assert C.structure_reasons(df).first().reason == why
-    assert C.dialogue_reasons(df).first().reason == why
+    assert C.dialogue_reasons(df).first().reason == (why and f"Structure: {why}")
 
 
 def test_first_bad_turn_rejects(spark):
     df = spark.createDataFrame([("a", 0, "human", "ok then"), ("a", 1, "gpt", "$"), ("a", 2, "human", "")], TURN)
-    assert C.dialogue_reasons(df).first().reason == "only_symbols"
+    assert C.dialogue_reasons(df).first().reason == "Content: only_symbols"
 
 
 @pytest.mark.parametrize(("text", "why"), [("fine", None), ("a - b", "contain list"), ("(a) x", "contain list"), ("1. x", "contain list"), ("**x**", "markdown format"), ("w " * 101, "en exceed length limit"), ("字" * 151, "cjk exceed length limit")])

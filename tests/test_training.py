@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from talkweave.functions.vocab import TRANSITIONS
 from talkweave.operators import joins as J
 from talkweave.operators import metrics as M
 from talkweave.operators import synthetic as Y
@@ -23,8 +24,40 @@ def test_masks_and_counts(spark):
 
 
 def test_slices(spark):
-    got = [(r.start, r["size"]) for r in N.slices(spark.createDataFrame([("a", 20), ("b", 0)], "id string, length int"), "id", 8).orderBy("start").collect()]
-    assert got == [(0, 8), (7, 8), (14, 6)]
+    got = [(r.start, r["size"]) for r in N.slices(spark.createDataFrame([("a", 20), ("b", 0)], "id string, length int"), "id", 11, 2, 1).orderBy("start").collect()]
+    assert got == [(0, 11), (7, 11), (14, 9)]  # eight tokens of content, a prompt of two, an end mark
+    with pytest.raises(ValueError):
+        N.slices(spark.createDataFrame([("a", 20)], "id string, length int"), "id", 3, 2, 1)
+
+
+def test_packing_stats(spark):
+    lengths = spark.createDataFrame([("a", 6), ("b", 2)], "id string, length int")
+    packed = spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "batch long, box long")
+    r = N.packing_stats(lengths, packed, 8).first()
+    assert (r.n, r.total, r.longest, r.shortest, r.n_packed) == (2, 8, 6, 2, 3) and r.efficiency == pytest.approx(8 / 24)
+    assert N.packing_stats(lengths.limit(0), packed.limit(0), 8).first().efficiency == 0.0
+
+
+def test_vocabulary_maps(spark):
+    rows = [(t, k) for k, t in enumerate(TRANSITIONS)] + [("word", 9)]
+    good = N.mask_vocabulary(spark.createDataFrame(rows + rows[:1], "token string, id long"))
+    assert {(r.token, r.mask, r.id) for r in good.collect()} == {(t, k + 2, k) for k, t in enumerate(TRANSITIONS)}
+    for bad in (rows[1:], [*rows, (TRANSITIONS[0], 77)]):
+        with pytest.raises(Exception, match="not one id"):
+            N.mask_vocabulary(spark.createDataFrame(bad, "token string, id long")).collect()
+    other = N.mask_vocabulary(spark.createDataFrame([(t, k + (k == 3)) for t, k in rows], "token string, id long"))
+    assert [r.token for r in N.maps_differ(good, other).collect()] == [TRANSITIONS[3]] and N.maps_differ(good, good).count() == 0
+
+
+def test_priors_of_the_vocabulary(spark):
+    counts = spark.createDataFrame([("[S.SPEAK]", 2), ("a", 5), ("b", 1)], "token string, n long")
+    got = {r.token: r.adjustment for r in N.vocabulary_priors(counts).collect()}
+    assert got == {"[S.SPEAK]": pytest.approx(math.log(0.25), abs=1e-6), "a": pytest.approx(math.log(0.75), abs=1e-6), "b": pytest.approx(math.log(0.75), abs=1e-6)}
+
+
+def test_drawn_share(spark):
+    df = spark.range(4000)
+    assert df.where(N.drawn(F.col("id"), 0)).count() == 0 and df.where(N.drawn(F.col("id"), 16)).count() == 4000 and 900 < df.where(N.drawn(F.col("id"), 4)).count() < 1100
 
 
 @pytest.mark.parametrize(("sizes", "boxes"), [([4, 4, 1], [0, 0, 1]), ([8, 1], [0, 1]), ([9, 1], [0, 1]), ([3, 3, 3, 3], [0, 0, 1, 1]), ([1], [0])])
@@ -70,6 +103,44 @@ def test_word_errors(spark):
     assert [x[0] for x in r] == [0.0, None, 0.5]
 
 
+def test_punctuation_of_any_script_goes_and_symbols_stay(spark):
+    t = spark.createDataFrame([("«Ja», sagt’s er — $5 + 3 = 8 <x> 好。",)], "t string").select(M.comparable(F.col("t"))).first()[0]
+    assert t.split() == ["ja", "sagts", "er", "$5", "+", "3", "=", "8", "<x>", "好"]
+
+
+def test_word_errors_of_many_different_words(spark):
+    """More different words than characters of the basic plane."""
+    n = 50_000
+    words = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.concat(F.lit("w"), k.cast("string")))
+    text = lambda x: F.array_join(x, " ")
+    tail = F.slice(words, n - 60, 61)  # words that stand last in the vocabulary
+    both = spark.range(1).select(text(words).alias("all"), text(tail).alias("r"), text(F.filter(tail, lambda w: ~w.endswith("7"))).alias("h"))
+    r = both.select(M.word_errors(F.concat_ws(" ", "r", "r"), F.concat_ws(" ", "h", "r")).alias("n"), M.word_errors(F.col("all"), F.lit("")).alias("whole")).first()
+    assert (r.n, r.whole) == (6, n)
+    # one word of the vocabulary's end against its neighbour: they must not get the same character
+    v = spark.range(1).select(F.slice(words, 1, 44_000).alias("w")).select(M.word_errors(text(F.slice("w", 41_980, 10)), text(F.reverse(F.slice("w", 41_980, 10)))).alias("n")).first()
+    assert v.n >= 9
+
+
+def test_summary_and_gate(spark):
+    rates = [0.0, 0.1, 0.1, 0.5, 1.5, None]
+    r = M.error_summary(spark.createDataFrame([(x,) for x in rates], "wer double")).first()
+    assert (r.n, r.n_bad, r.n_outliers, r.median) == (5, 2, 1, 0.1) and r.mean == pytest.approx(0.44) and r.mean_good == pytest.approx(0.2 / 3, abs=1e-9) and r.share_bad == 0.4
+    assert M.error_summary(spark.createDataFrame([(0.1,), (0.4,)], "wer double")).first().median == 0.25
+    assert M.error_summary(spark.createDataFrame([], "wer double")).first().n == 0
+
+
+def test_transcript_wer(spark, tmp_path):
+    from talkweave.plans import metrics
+
+    asr = [("c", "A", 1, "hello there", 1.0, 1.0, 0.0, 0.5), ("c", "A", 3, "general", 3.0, 3.0, 2.0, 2.5), ("c", "A", 2, "<SIL>", 2.0, 2.0, 1.0, 1.5), ("c", "B", 4, "so far", 4.0, 4.0, 400.0, 401.0)]
+    trans = [("c", 1, "A", 0.0, 1.0, "hello there [noise]"), ("c", 2, "A", 2.0, 3.0, "general kenobi"), ("c", 3, None, 3.0, 4.0, "yes"), ("c", 4, "B", 400.0, 401.0, "so far")]
+    spark.createDataFrame(asr, "conv_id string, speaker_id string, seq long, text string, receive double, finish double, audio_start double, audio_end double").write.parquet(f"{tmp_path}/asr_stream.parquet")
+    spark.createDataFrame(trans, "conv_id string, seq long, speaker_id string, start double, end double, text string").write.parquet(f"{tmp_path}/trans_stream.parquet")
+    got = {r.spk: (r.errors, r.n_words, r.passes) for r in metrics.transcript_wer(spark, str(tmp_path)).collect()}
+    assert got == {0: (2, 5, False), 1: (0, 2, True)}
+
+
 def test_outcomes_and_metrics(spark):
     probes = [("m1", "MiU", 1, "[S.SPEAK]"), ("m1", "MiU", 2, "[C.LISTEN]"), ("m2", "MiU", 1, "[C.LISTEN]"), ("m2", "MiU", 2, "[S.SPEAK]"), ("u1", "UiM", 1, "[C.SPEAK]"), ("u1", "UiM", 2, "[S.LISTEN.INTERRUPT]"), ("u2", "UiM", 1, "[C.SPEAK]")]
     d = M.outcomes(spark.createDataFrame(probes, "id string, kind string, target int, response string"))
