@@ -3,92 +3,53 @@
 Starts and ends of an entity's intervals are ranked independently in order of time.  A boundary
 lies after the end of rank r when the start of rank r + 1 comes later; the end of rank r and the
 start of rank r + 1 then enclose a gap, and the boundaries on either side of a stretch give a
-period.  Ranks are made of a count within a block of time and the counts of the blocks before it,
-so that an entity that holds a third of all rows is spread over as many tasks as it has blocks;
-only one summary row a block and the periods cut by a block's edge meet in one window.
+period.  Bounds at one time are counted together, and ranks are made of a count within a block of
+time and the counts of the blocks before it, so that an entity that holds a third of all rows is
+spread over as many tasks as it has blocks; only one summary row a block and the periods cut by a
+block's edge meet in one window.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from talkweave.operators.blocks import matched, past
+
 #: Units of time in a block.  Segments come in 0.1 ms, so this is ten minutes.
 BLOCK = 6_000_000
 
-_ENTITY = ["kind", "entity", "label"]
+_LABELLED, _ENTITY = ["entity", "label"], ["entity"]
 
 
-def _boundary_points(intervals: DataFrame, block: int) -> DataFrame:
-    """Each valid interval once, as a start and an end point of its label and of its entity."""
-    valid = (
-        intervals.where("start IS NOT NULL AND end IS NOT NULL AND end > start")
-        .select("entity", "label", "start", "end")
-        .distinct()
-    )
-    member = F.explode(
-        F.array(
-            F.struct(F.lit("gap").alias("kind"), F.lit("").alias("label")),
-            F.struct(F.lit("merged").alias("kind"), F.col("label")),
-        )
-    )
-    point = F.explode(
-        F.array(
-            F.struct(F.col("start").alias("t"), F.lit(0).alias("is_end")),
-            F.struct(F.col("end").alias("t"), F.lit(1).alias("is_end")),
-        )
-    )
-    return (
-        valid.select("entity", "start", "end", member.alias("m"))
-        .where("m.label IS NOT NULL")
-        .select(F.col("m.kind").alias("kind"), "entity", F.col("m.label").alias("label"), point.alias("p"))
-        .select(*_ENTITY, "p.t", "p.is_end", F.floor(F.col("p.t") / block).cast("long").alias("block"))
-    )
+def _bounds(intervals: DataFrame, block: int) -> DataFrame:
+    """Each valid interval once, as a start and an end: entity, label, block, t, n_s, n_e."""
+    valid = intervals.where("start IS NOT NULL AND end IS NOT NULL AND end > start").select(*_LABELLED, "start", "end").distinct()
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    point = F.explode(F.array(F.struct(F.col("start").alias("t"), one.alias("n_s"), none.alias("n_e")), F.struct(F.col("end").alias("t"), none.alias("n_s"), one.alias("n_e"))))
+    return valid.select(*_LABELLED, point.alias("p")).select(*_LABELLED, F.floor(F.col("p.t") / block).cast("long").alias("block"), "p.*")
 
 
-def _ranked(points: DataFrame) -> DataFrame:
-    """Points with the ranks of starts and ends reached, `n_start` and `n_end`, over the whole entity."""
-    keys = [*_ENTITY, "block"]
-    before = W.partitionBy(*_ENTITY).orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    carry = (
-        points.groupBy(*keys)
-        .agg(F.sum(1 - F.col("is_end")).alias("s"), F.sum("is_end").alias("e"))
-        .select(
-            *keys,
-            F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"),
-            F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"),
-        )
-    )
-    same = reduce(and_, (F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys))
-    joined = points.alias("p").join(carry.alias("c"), same).select("p.*", "s0", "e0")
-    block = W.partitionBy(*keys)
-    rows = block.orderBy("t", "is_end").rowsBetween(W.unboundedPreceding, 0)
-    earlier = block.orderBy("t").rangeBetween(W.unboundedPreceding, -1)
-    return joined.select(
-        *keys,
-        "t",
-        "is_end",
-        (F.col("s0") + F.sum(1 - F.col("is_end")).over(rows)).alias("n_start"),
-        (F.col("e0") + F.sum("is_end").over(rows)).alias("n_end"),
-        (F.col("s0") + F.coalesce(F.sum(1 - F.col("is_end")).over(earlier), F.lit(0))).alias("n_start_earlier"),
-    ).select(
-        "*",
-        ((F.col("is_end") == 0) & (F.col("n_start") == F.col("n_end") + 1)).alias("opens"),
-        ((F.col("is_end") == 1) & (F.col("n_start") == F.col("n_end"))).alias("closes"),
-        # the end of rank r lies after the start of rank r + 1: two intervals share more than a point
-        ((F.col("is_end") == 1) & (F.col("n_start_earlier") > F.col("n_end"))).alias("overlaps"),
-    )
+def _ranked(bounds: DataFrame, keys: list[str]) -> DataFrame:
+    """Per time of an entity the ranks of starts and ends reached before and at it: keys, block, t, s0, s1, e0, e1."""
+    at = bounds.repartition(*keys, "block").groupBy(*keys, "block", "t").agg(F.sum("n_s").alias("n_s"), F.sum("n_e").alias("n_e"))
+    counts = at.groupBy(*keys, "block").agg(F.sum("n_s").alias("s"), F.sum("n_e").alias("e"))
+    carry = counts.select(*keys, "block", *[F.coalesce(F.sum(c).over(past(keys, "block")), F.lit(0)).alias(f"_{c}") for c in ("s", "e")])
+    upto = W.partitionBy(*keys, "block").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
+    s1, e1 = F.col("_s") + F.sum("n_s").over(upto), F.col("_e") + F.sum("n_e").over(upto)
+    return matched(at, carry, [*keys, "block"]).select(*keys, "block", "t", (s1 - F.col("n_s")).alias("s0"), s1.alias("s1"), (e1 - F.col("n_e")).alias("e0"), e1.alias("e1"))
+
+
+#: Nothing lasts up to a time at which something starts; nothing lasts on after a time at which something ends.
+_OPENS, _CLOSES = "s1 > s0 AND s0 = e0", "e1 > e0 AND s1 = e1"
 
 
 def _gaps(ranked: DataFrame) -> DataFrame:
     """The end of rank r paired with the start of rank r + 1, where both are boundaries."""
+    sides = F.filter(F.array(F.when(F.expr(_OPENS), F.struct(F.col("s0").alias("r"), F.col("t"), F.lit(True).alias("opens"))), F.when(F.expr(_CLOSES), F.struct(F.col("e1").alias("r"), F.col("t"), F.lit(False).alias("opens")))), lambda x: x.isNotNull())
     return (
-        ranked.where("kind = 'gap' AND (opens OR closes)")
-        .select("entity", F.when(F.col("opens"), F.col("n_start") - 1).otherwise(F.col("n_end")).alias("r"), "t", "opens")
-        .groupBy("entity", "r")
-        .agg(F.max(F.when(~F.col("opens"), F.col("t"))).alias("period_start"), F.max(F.when(F.col("opens"), F.col("t"))).alias("period_end"))
+        ranked.select("entity", F.explode(sides).alias("x"))
+        .groupBy("entity", "x.r")
+        .agg(F.max(F.when(~F.col("x.opens"), F.col("x.t"))).alias("period_start"), F.max(F.when(F.col("x.opens"), F.col("x.t"))).alias("period_end"))
         .where("period_start IS NOT NULL AND period_end IS NOT NULL")
         .select("entity", F.lit("gap").alias("kind"), F.lit("").alias("label"), "period_start", "period_end", F.lit(False).alias("overlaps"))
     )
@@ -96,28 +57,29 @@ def _gaps(ranked: DataFrame) -> DataFrame:
 
 def _periods(ranked: DataFrame) -> DataFrame:
     """Boundaries paired into periods: within the block, or across blocks for those a block's edge cuts."""
-    rows = W.partitionBy(*_ENTITY, "block").orderBy("t", "is_end").rowsBetween(W.unboundedPreceding, 0)
+    rows = W.partitionBy(*_LABELLED, "block").orderBy("t").rowsBetween(W.unboundedPreceding, 0)
     pieces = (
-        ranked.where("kind = 'merged'")
-        .withColumn("piece", F.sum(F.col("opens").cast("int")).over(rows))
-        .groupBy(*_ENTITY, "block", "piece")
+        ranked.withColumn("piece", F.sum(F.expr(_OPENS).cast("int")).over(rows))
+        .groupBy(*_LABELLED, "block", "piece")
         .agg(
-            F.max(F.when(F.col("opens"), F.col("t"))).alias("period_start"),
-            F.max(F.when(F.col("closes"), F.col("t"))).alias("period_end"),
-            F.max("overlaps").alias("overlaps"),
+            F.max(F.when(F.expr(_OPENS), F.col("t"))).alias("period_start"),
+            F.max(F.when(F.expr(_CLOSES), F.col("t"))).alias("period_end"),
+            # the start of rank r + 1 lies before the end of rank r: two intervals share more than a point
+            F.max(F.expr("e1 > e0 AND s0 > e0 + 1")).alias("overlaps"),
         )
         .withColumn("cut", F.expr("period_start IS NULL OR period_end IS NULL"))
     )
-    # cut pieces of an entity stand in one group, all others in a group of their block
-    group = ["entity", "label", "cut", "own"]
-    order = W.partitionBy(*group).orderBy("block", "piece").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        pieces.withColumn("own", F.when(~F.col("cut"), F.col("block")))
+    # cut pieces of an entity, at most two a block, stand in one group, all others are whole
+    order = W.partitionBy(*_LABELLED).orderBy("block", "piece").rowsBetween(W.unboundedPreceding, 0)
+    whole = pieces.where("NOT cut").select(*_LABELLED, "period_start", "period_end", "overlaps")
+    joined = (
+        pieces.where("cut")
         .withColumn("n", F.sum(F.col("period_start").isNotNull().cast("int")).over(order))
-        .groupBy(*group, "n")
+        .groupBy(*_LABELLED, "n")
         .agg(F.max("period_start").alias("period_start"), F.max("period_end").alias("period_end"), F.max("overlaps").alias("overlaps"))
-        .select("entity", F.lit("merged").alias("kind"), "label", "period_start", "period_end", "overlaps")
+        .drop("n")
     )
+    return whole.unionByName(joined).select("entity", F.lit("merged").alias("kind"), "label", "period_start", "period_end", "overlaps")
 
 
 def periods_and_gaps(
@@ -143,5 +105,6 @@ def periods_and_gaps(
         F.col(end).cast("long").alias("end"),
         F.upper(F.trim(F.col(label))).alias("label"),
     )
-    ranked = _ranked(_boundary_points(intervals, block))
-    return _periods(ranked).unionByName(_gaps(ranked)).withColumnRenamed("entity", entity)
+    bounds = _bounds(intervals, block)
+    periods, gaps = _periods(_ranked(bounds.where("label IS NOT NULL"), _LABELLED)), _gaps(_ranked(bounds, _ENTITY))
+    return periods.unionByName(gaps).withColumnRenamed("entity", entity)
