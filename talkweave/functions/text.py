@@ -85,6 +85,17 @@ def speaker_in_text(text: Column) -> Column:
     return speaker_index(F.nullif(F.regexp_replace(found, r"\W+", ""), F.lit("")))
 
 
+#: What a change of the words around it must leave alone: ((unsure words)) and [annotations].
+KEPT_MARKS = r"(\(\(.*?\)\)|\[.*?\])"
+
+
+def between_marks(text: Column, change) -> Column:
+    """`change` of what stands between marks; ((...)) and [...] come back as they were, in their places."""
+    marks = F.regexp_extract_all(text, F.lit(KEPT_MARKS), 1)
+    parts = F.transform(F.split(text, KEPT_MARKS), change)
+    return F.array_join(F.zip_with(parts, marks, lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
+
+
 def clean_switchboard(text: Column) -> Column:
     """Word transcripts: cut-off letters kept, laughed words kept, tags, asides and variant marks dropped."""
     # The marks of these transcripts.

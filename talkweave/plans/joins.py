@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from talkweave.operators import joins as J
 from talkweave.plans import timeline
+from talkweave.sources.files import TableReader
 from talkweave.sources.tables import table
 
 
@@ -35,6 +36,14 @@ def direction_files(spark, folder):
     return bad_ids_anti(spark, folder).select("call_id", directions.alias("d")).select(F.concat_ws("_", "call_id", "d.own", F.lit("to"), "d.other").alias("name"), "d.own", "d.other")
 
 
+def kept_calls(spark, folder):
+    """Calls that a reader of tables gives, with their recognised pieces and transcript lines."""
+    r = TableReader(spark, folder)
+    count = lambda df, n: df.groupBy("conv_id").agg(F.count_distinct("seq").alias(n))
+    ids = r.calls().select(F.col("call_id").alias("conv_id")).distinct()
+    return ids.join(count(r.heard(), "n_heard"), "conv_id", "left").join(count(r.said(), "n_said"), "conv_id", "left").na.fill(0, ["n_heard", "n_said"])
+
+
 def resume_anti(spark, folder):
     """Chats that have not come to their fourth turn yet."""
     t = table(spark, folder, "conversation_turn")
@@ -122,7 +131,7 @@ def revenue_rollup(spark, folder):
 QUERIES = {
     f.__name__: f
     for f in (
-        partner_semi, quality_left, bad_ids_anti, direction_files, resume_anti, cache_lookup, transcript_pairs, asof_progress, clause_progress, tape_locate, overlay_track, shared_timeline,
+        partner_semi, quality_left, bad_ids_anti, direction_files, kept_calls, resume_anti, cache_lookup, transcript_pairs, asof_progress, clause_progress, tape_locate, overlay_track, shared_timeline,
         weights_lookup, json_extraction, set_operations, revenue_rollup,
     )
 }
@@ -135,6 +144,8 @@ SQL = {
       SELECT conv_id, n_lines, coalesce(sig, 0) AS sig, coalesce(cnv, 0) AS cnv, coalesce(sig, 0) >= 3 AND coalesce(cnv, 0) >= 3 AS good FROM s LEFT JOIN q ON call_id = conv_id""",
     "bad_ids_anti": "SELECT DISTINCT call_id FROM call_meta WHERE call_id NOT IN (SELECT call_id FROM bad_ids)",
     "direction_files": "WITH c AS (SELECT DISTINCT call_id FROM call_meta WHERE call_id NOT IN (SELECT call_id FROM bad_ids)) SELECT call_id || '_' || own || '_to_' || other AS name, own, other FROM c, (VALUES ('A', 'B'), ('B', 'A')) d(own, other)",
+    "kept_calls": """SELECT c.call_id AS conv_id, coalesce(a.n, 0) AS n_heard, coalesce(t.n, 0) AS n_said FROM (SELECT DISTINCT call_id FROM call_meta WHERE call_id NOT IN (SELECT call_id FROM bad_ids)) c
+      LEFT JOIN (SELECT conv_id, count(DISTINCT seq) AS n FROM asr_stream GROUP BY 1) a ON a.conv_id = c.call_id LEFT JOIN (SELECT conv_id, count(DISTINCT seq) AS n FROM trans_stream GROUP BY 1) t ON t.conv_id = c.call_id""",
     "resume_anti": "SELECT DISTINCT id FROM conversation_turn WHERE id NOT IN (SELECT id FROM conversation_turn WHERE turn = 3)",
     "cache_lookup": "SELECT call_id, cached FROM (SELECT DISTINCT call_id FROM call_meta) LEFT JOIN (SELECT conv_id, arg_min(text, (seq, receive)) AS cached FROM (SELECT conv_id, seq, receive, text FROM asr_stream WHERE text IS NOT NULL OR true) GROUP BY conv_id) ON conv_id = call_id",
     "transcript_pairs": """WITH a AS (SELECT conv_id, count(DISTINCT seq) AS n FROM asr_stream GROUP BY 1), t AS (SELECT conv_id, count(DISTINCT seq) AS n FROM trans_stream GROUP BY 1)

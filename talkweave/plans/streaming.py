@@ -37,6 +37,17 @@ def fsm_replay(spark, folder):
     return R.floor_batch(events.select("stream", (F.col("turn") * 10 + F.col("s.k")).cast("long").alias("seq"), "s.kind", "s.text", "s.number"))
 
 
+def playback_queue(spark, folder):
+    """The bot's turns of each chat as clauses sent to a player that plays 60 samples an event; a human's turn interrupts it."""
+    t = chat.turns(spark, folder)
+    step = lambda k, kind, n: F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), n.cast("long").alias("samples"))
+    zero = F.lit(0)
+    said = F.array(step(0, "start", zero), step(1, "audio", F.length("value")), step(2, "tick", F.lit(60)), step(3, "end", zero), step(4, "tick", F.lit(60)))
+    user = F.lower("role").isin("human", "user")
+    events = t.select(F.col("id").alias("stream"), "turn", F.explode(F.when(user, F.array(step(0, "interrupt", zero))).otherwise(said)).alias("s"))
+    return R.playback_batch(events.select("stream", (F.col("turn") * 10 + F.col("s.k")).cast("long").alias("seq"), "s.kind", F.col("turn").alias("clause"), "s.samples"))
+
+
 def session_snapshot(spark, folder):
     e = table(spark, folder, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     return R.snapshot(e, "user_id", F.col("us") / 1e6).select("event_id", "user_id", "t")
@@ -60,7 +71,7 @@ def hopping_counts(spark, folder):
     return R.windowed_counts(table(spark, folder, "events"), "ts").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
 
 
-QUERIES = {f.__name__: f for f in (silence_units, vad_hysteresis, fsm_replay, session_snapshot, tape_tail, pipeline_latency, hopping_counts)}
+QUERIES = {f.__name__: f for f in (silence_units, vad_hysteresis, fsm_replay, playback_queue, session_snapshot, tape_tail, pipeline_latency, hopping_counts)}
 SQL = {
     "silence_units": """WITH w AS (SELECT 's' || user_id AS stream, event_id AS idx, CASE WHEN (event_id // (60 + event_id % 7)) % 2 = 0 THEN 0.1 ELSE 0.2 + (event_id * 37 % 60) / 100 END < 0.35 AS q FROM events WHERE user_id IS NOT NULL),
       t AS (SELECT *, CASE WHEN q = lag(q) OVER o THEN 0 ELSE 1 END AS b FROM w WINDOW o AS (PARTITION BY stream ORDER BY idx)), r AS (SELECT *, sum(b) OVER (PARTITION BY stream ORDER BY idx ROWS UNBOUNDED PRECEDING) AS run FROM t)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from typing import Protocol
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from talkweave.functions.text import clean_fisher, clean_switchboard
@@ -157,3 +160,47 @@ def wav_mono(spark: SparkSession, path: str, rate: int = 16_000) -> DataFrame:
             yield pd.DataFrame({"path": pdf["path"], "rate": rate, "samples": out})
 
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInPandas(decode, "path string, rate int, samples array<float>")
+
+
+class CallReader(Protocol):
+    """What the pipeline asks of a collection of calls, each part a table of all of them.
+
+    `calls` has call_id, own and other; `heard` conv_id, speaker_id, seq, text, receive, audio_start
+    and audio_end; `said` conv_id, seq, speaker_id, start, end and text; `reference` conv_id and text,
+    the transcript as people read it.
+    """
+
+    def calls(self) -> DataFrame: ...
+
+    def heard(self) -> DataFrame: ...
+
+    def said(self) -> DataFrame: ...
+
+    def reference(self) -> DataFrame: ...
+
+
+@dataclass(frozen=True)
+class TableReader:
+    """Calls kept as named Parquet tables in a folder, without those on the list of broken ones."""
+
+    spark: SparkSession
+    folder: str
+
+    def _kept(self, name: str, key: str) -> DataFrame:
+        read = lambda n: self.spark.read.parquet(f"{self.folder}/{n}.parquet")
+        return read(name).join(read("bad_ids").select(F.col("call_id").alias(key)).distinct(), key, "left_anti")
+
+    def calls(self) -> DataFrame:
+        both = F.explode(F.array(F.struct(F.lit("A").alias("own"), F.lit("B").alias("other")), F.struct(F.lit("B").alias("own"), F.lit("A").alias("other"))))
+        return self._kept("call_meta", "call_id").select("call_id").distinct().select("call_id", both.alias("d")).select("call_id", "d.own", "d.other")
+
+    def heard(self) -> DataFrame:
+        return self._kept("asr_stream", "conv_id")
+
+    def said(self) -> DataFrame:
+        return self._kept("trans_stream", "conv_id").dropDuplicates(["conv_id", "seq"])
+
+    def reference(self) -> DataFrame:
+        line = F.concat(F.coalesce("speaker_id", F.lit("?")), F.lit(": "), F.coalesce("text", F.lit("")))
+        lines = F.array_sort(F.collect_list(F.struct("start", "seq", line.alias("line"))))
+        return self.said().groupBy("conv_id").agg(F.array_join(F.transform(lines, lambda x: x.line), "\n").alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 
 def by_role_and_split(tapes: DataFrame, path: str, kind: str = "json") -> None:
@@ -20,6 +20,11 @@ def checkpoint_part(rows: DataFrame, path: str, part: str) -> None:
     rows.write.mode("overwrite").json(f"{path}/part={part}")
 
 
+def merged_parts(spark: SparkSession, path: str, schema: str, key: str, order: str) -> DataFrame:
+    """All parts of a long job as one table, of records with one key the last by `order`, whatever parts were done again."""
+    return last_of(spark.read.schema(schema).json(path), [key], order)
+
+
 def refined_transcript(rows: DataFrame, path: str, order: list[str], first_line: str | None = None) -> None:
     """Lines of `start end A: text`, a blank line between them, after a kept first line, in one file per call.
 
@@ -47,6 +52,18 @@ def chart_data(rows: DataFrame, column: str, bins: int = 20) -> DataFrame:
     return placed.groupBy("bin", "lo", width.alias("w")).agg(F.count("*").alias("n")).select("bin", (F.col("lo") + F.col("bin") * F.col("w")).alias("from"), (F.col("lo") + (F.col("bin") + 1) * F.col("w")).alias("to"), "n")
 
 
+def bar_data(rows: DataFrame, column: str) -> DataFrame:
+    """What bars or a pie draw: each value, null among them, with its count and share of all."""
+    per = rows.groupBy(column).agg(F.count("*").alias("n"))
+    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(F.lit(0))), 9))  # a row a value
+
+
+def heat_data(rows: DataFrame, row: str, column: str) -> DataFrame:
+    """What a heat map draws: each pair of values with its count and its share of its row."""
+    per = rows.groupBy(row, column).agg(F.count("*").alias("n"))
+    return per.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy(row)), 9))
+
+
 def interleaved(left: DataFrame, right: DataFrame, sample: str = "sample", value: str = "value") -> DataFrame:
     """Two tracks as stereo frames in order: sample, left, right."""
     a, b = left.select(sample, F.col(value).alias("left")), right.select(sample, F.col(value).alias("right"))

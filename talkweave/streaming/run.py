@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from talkweave.functions.vocab import INTERLOCUTOR, TRANSITIONS
 from talkweave.operators.blocks import matched, runs
-from talkweave.streaming.state import Floor, Voice, packed, unpacked
+from talkweave.streaming.state import Floor, Playback, Voice, packed, unpacked
 
 VOICE_OUT = "stream string, kind string, first long, last long"
 FLOOR_OUT = "stream string, seq long, outcome string, state string, n_tape int"
@@ -31,23 +31,32 @@ def voice_batch(windows: DataFrame) -> DataFrame:
     return windows.groupBy("stream").applyInPandas(run, VOICE_OUT)
 
 
-def voice_stream(windows: DataFrame) -> DataFrame:
-    """The same over a stream, the machine of each stream kept as state between batches."""
+def _kept(state: GroupState, machine, idle: str) -> None:
+    """Keeps a machine for the next batch, or until its stream has been silent for so long."""
+    state.update((packed(machine),))
+    state.setTimeoutDuration(idle)
+
+
+def voice_stream(windows: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """The same over a stream, the machine of each stream kept as state between batches, and dropped when idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = unpacked(Voice, state.get[0]) if state.exists else Voice()
         rows = pd.concat(list(parts)).sort_values("idx")
         yield _voice_rows(key[0], machine, rows["prob"])
-        state.update((packed(machine),))
+        _kept(state, machine, idle)
 
-    return windows.groupBy("stream").applyInPandasWithState(run, VOICE_OUT, "machine string", "append", GroupStateTimeout.NoTimeout)
+    return windows.groupBy("stream").applyInPandasWithState(run, VOICE_OUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def _floor_rows(stream: str, machine: Floor, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for seq, kind, text, number in zip(rows["seq"], rows["kind"], rows["text"], rows["number"]):
         outcome = machine.step(kind, text, int(number))
-        out.append((stream, seq, outcome, machine.state, len(machine.tape)))
+        out.append((stream, seq, outcome, machine.state, machine.gone + len(machine.tape)))
     return pd.DataFrame(out, columns=["stream", "seq", "outcome", "state", "n_tape"])
 
 
@@ -60,15 +69,34 @@ def floor_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandas(run, FLOOR_OUT)
 
 
-def floor_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream of events."""
+def floor_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
+    """The same over a stream of events.  Of a tape only what may still change is kept as state, and that only until the session is idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         machine = unpacked(Floor, state.get[0]) if state.exists else Floor()
         yield _floor_rows(key[0], machine, pd.concat(list(parts)).sort_values("seq"))
-        state.update((packed(machine),))
+        machine.trim()
+        _kept(state, machine, idle)
+
+    return events.groupBy("stream").applyInPandasWithState(run, FLOOR_OUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+PLAYED_OUT = "stream string, seq long, what string, clause int, samples long"
+
+
+def playback_batch(events: DataFrame) -> DataFrame:
+    """What a player did at every event of finished sessions; `events` has stream, seq, kind, clause and samples."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        machine, out = Playback(), []
+        for stream, seq, kind, clause, samples in pdf.sort_values("seq")[["stream", "seq", "kind", "clause", "samples"]].itertuples(index=False):
+            out += [(stream, seq, *o) for o in machine.step(kind, int(clause), int(samples))]
+        return pd.DataFrame(out, columns=["stream", "seq", "what", "clause", "samples"])
 
-    return events.groupBy("stream").applyInPandasWithState(run, FLOOR_OUT, "machine string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("stream").applyInPandas(run, PLAYED_OUT)
 
 
 def silence_runs(windows: DataFrame, leave: float = 0.35, unit: int = 20, block: int = 100_000) -> DataFrame:

@@ -136,6 +136,15 @@ class Floor:
     playing: list[int] = field(default_factory=list)
     waiting: list = field(default_factory=list)
     look_ahead: int = 2
+    gone: int = 0
+
+    def trim(self) -> list[str]:
+        """Takes off and gives the entries that nothing can change any more: all before the one being played, but for the last."""
+        n = max(0, min([len(self.tape) - 1, *self.playing]))
+        done, self.tape = self.tape[:n], self.tape[n:]
+        self.playing = [i - n for i in self.playing]
+        self.gone += n
+        return done
 
     def _settle(self) -> None:
         if self.state == "SPEAK" and self.tape and self.tape[-1] in STOP_SPEAKING and not self.playing:
@@ -182,6 +191,58 @@ class Floor:
         return outcome
 
 
+@dataclass
+class Playback:
+    """A player's queue: START, AUDIO chunks and END of each clause, played in order.
+
+    Events are (kind, clause, samples): "start" and "end" of a clause, "audio" for it, "tick" for time
+    that passes, "interrupt", which drops everything at once, and "flush", after which nothing new is
+    taken until the queue is empty.  Outputs are (what, clause, samples): "playing", "played", with the
+    samples heard of the clause, "cut", with those heard so far, and "late" for audio that is not taken.
+    """
+
+    queue: list = field(default_factory=list)  # [clause, samples waiting, samples heard, whether its end is known]
+    flushing: bool = False
+    idle: int = 0
+
+    def step(self, kind: str, clause: int = 0, samples: int = 0) -> list[tuple[str, int, int]]:
+        out: list[tuple[str, int, int]] = []
+        mine = next((q for q in self.queue if q[0] == clause), None)
+        if kind == "start":
+            if self.flushing:
+                return [("late", clause, 0)]
+            self.queue.append([clause, 0, 0, False])
+        elif kind == "audio":
+            if mine is None or mine[3]:
+                return [("late", clause, samples)]
+            mine[1] += samples
+        elif kind == "end" and mine is not None:
+            mine[3] = True
+        elif kind == "interrupt":
+            out = [("cut", q[0], q[2]) for q in self.queue]
+            self.queue, self.flushing = [], False
+        elif kind == "flush":
+            self.flushing = bool(self.queue)
+        left = samples if kind == "tick" else 0
+        self.idle = self.idle + samples if kind == "tick" and not self.queue else 0 if self.queue else self.idle
+        while self.queue:
+            head = self.queue[0]
+            n = min(left, head[1])
+            if n and not head[2]:
+                out.append(("playing", head[0], 0))
+            head[1], head[2], left = head[1] - n, head[2] + n, left - n
+            if head[1] or not head[3]:
+                break
+            out.append(("played", head[0], head[2]))
+            self.queue.pop(0)
+        self.flushing = self.flushing and bool(self.queue)
+        return out
+
+    def settled(self, most: int) -> bool:
+        """Whether nothing has been played for so many samples: a session may stop."""
+        return not self.queue and self.idle >= most
+
+
 def packed(machine) -> str:
     return json.dumps(asdict(machine))
 

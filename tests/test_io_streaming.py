@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from talkweave.sources import files as S
 from talkweave.sources import sinks as K
 from talkweave.streaming import run as R
-from talkweave.streaming.state import FORBIDDEN, WINDOW, Floor, Leftover, Voice, WordSilence, spliced
+from talkweave.streaming.state import FORBIDDEN, WINDOW, Floor, Leftover, Playback, Voice, WordSilence, spliced
 
 
 def test_transcripts(spark, tmp_path):
@@ -117,6 +117,39 @@ def test_floor():
     assert m.state == "LISTEN"
 
 
+def test_trimmed_tapes_go_on_alike():
+    rng = random.Random(4)
+    for _ in range(50):
+        whole, short, gone = Floor(), Floor(), []
+        for _ in range(80):
+            kind = rng.choice(["heard", "generated", "generated", "played", "decision"])
+            text = "[C.SPEAK]" if kind == "decision" else rng.choice(["[S.SPEAK]", "some words", "[C.SPEAK]", "[S.LISTEN.NATURAL]"])
+            assert whole.step(kind, text, 2) == short.step(kind, text, 2) and whole.state == short.state
+            gone += short.trim() if rng.random() < 0.3 else []
+            assert gone + short.tape == whole.tape and short.gone == len(gone)
+        assert len(short.tape) <= len(whole.tape)
+
+
+def test_playback():
+    p = Playback()
+    assert p.step("start", 1) == [] and p.step("audio", 1, 100) == []
+    assert p.step("start", 2) == [] and p.step("audio", 2, 50) == [] and p.step("end", 1) == []
+    assert p.step("tick", 0, 60) == [("playing", 1, 0)]
+    assert p.step("tick", 0, 60) == [("played", 1, 100), ("playing", 2, 0)]
+    assert p.step("flush") == [] and p.step("start", 3) == [("late", 3, 0)] and p.step("audio", 3, 5) == [("late", 3, 5)]
+    assert p.step("end", 2) == [] and p.step("tick", 0, 30) == [("played", 2, 50)]
+    assert not p.flushing and p.step("start", 4) == [] and p.step("audio", 4, 10) == [] and p.step("tick", 0, 4) == [("playing", 4, 0)]
+    assert p.step("interrupt") == [("cut", 4, 4)] and p.queue == []
+    assert not p.settled(1) and p.step("tick", 0, 500) == [] and p.settled(500)
+
+
+def test_late_rows_and_rows_without_time(spark):
+    df = spark.createDataFrame([(1, 5), (2, 20), (3, None)], "k int, t int")
+    got = {}
+    R.with_late(df, "t", 10, lambda d: got.update(on=[r.k for r in d.collect()]), lambda d: got.update(late=[r.k for r in d.collect()]))
+    assert got["on"] == [2] and sorted(got["late"]) == [1, 3]
+
+
 def _streamed(spark, tmp_path, rows, schema, make, name):
     folder = tmp_path / "in"
     folder.mkdir()
