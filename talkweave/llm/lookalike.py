@@ -127,26 +127,41 @@ def consistent_form(text: Column) -> Column:
     return F.coalesce(once(normalized)(unstable), text)
 
 
-def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs of rows whose texts look the same but aren't equal: <key>_a < <key>_b.
+def _met(df: DataFrame, key: str, text: str) -> DataFrame:
+    """id, c0, c1 (128 bits of hash of the consistent form) and own (hash of the text) of rows in classes of more than one text.
 
-    Rows meet by 128 bits of hash of their consistent form, and only ids and hashes are shuffled.
-    A class of texts that are all equal makes no pair and is dropped before any pairing, so exact
-    copies cost one aggregate row.  Null texts and keys make no pairs; empty texts are a class
-    like any other; rows that repeat a key with the same text are one row.
+    Only ids and hashes are shuffled; a class of texts that are all equal is dropped, so exact copies cost one aggregate row.
     """
-    seeds = (F.lit(0), F.lit(1))
     form = consistent_form(F.col(text))
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("text"), form.alias("form")).where("id IS NOT NULL AND text IS NOT NULL")
     hashed = rows.select(
         "id",
-        F.xxhash64("form", seeds[0]).alias("c0"),
-        F.xxhash64("form", seeds[1]).alias("c1"),
+        F.xxhash64("form", F.lit(0)).alias("c0"),
+        F.xxhash64("form", F.lit(1)).alias("c1"),
         F.xxhash64("text").alias("own"),
     )
     hashed = checkpointed(hashed)  # both uses below read it; texts are normalized once
     mixed = hashed.groupBy("c0", "c1").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi").select("c0", "c1")
-    members = hashed.join(mixed, ["c0", "c1"], "left_semi").distinct()
+    return hashed.join(mixed, ["c0", "c1"], "left_semi").distinct()
+
+
+def look_alike_classes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row that looks like another with a different text: <key>, class, variant.
+
+    `class` names the form, `variant` the text itself: rows of a class and different variants are
+    look-alikes, rows of one variant are copies.  Null keys and texts are in no class.
+    """
+    name = lambda *c: F.concat(*[F.lpad(F.hex(x), 16, "0") for x in c])
+    return _met(df, key, text).select(F.col("id").alias(key), name("c0", "c1").alias("class"), name("own").alias("variant"))
+
+
+def look_alikes(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Pairs of rows whose texts look the same but aren't equal: <key>_a < <key>_b.
+
+    Rows meet by 128 bits of hash of their consistent form.  Null texts and keys make no pairs;
+    empty texts are a class like any other; rows that repeat a key with the same text are one row.
+    """
+    members = _met(df, key, text)
     # texts meet once each, whatever the number of their copies; only then the copies' ids are put in
     texts = members.select("c0", "c1", "own").distinct()
     met = texts.alias("a").join(texts.alias("b"), F.expr("a.c0 = b.c0 AND a.c1 = b.c1 AND a.own < b.own")).select("a.c0", "a.c1", F.col("a.own").alias("own_a"), F.col("b.own").alias("own_b"))

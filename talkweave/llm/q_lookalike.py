@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from talkweave.llm.lookalike import consistent_form, look_alikes
+from talkweave.llm.lookalike import consistent_form, look_alike_classes, look_alikes
 from talkweave.sources.tables import table
 
 
@@ -22,5 +22,10 @@ def p8_forms(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p8_found": p8_found, "p8_forms": p8_forms}
+def p8_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """The classes of look-alike texts and their members."""
+    return look_alike_classes(table(spark, folder, "documents"))
+
+
+QUERIES = {"p8_found": p8_found, "p8_forms": p8_forms, "p8_classes": p8_classes}
 SQL: dict[str, str] = {}

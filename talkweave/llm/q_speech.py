@@ -46,14 +46,15 @@ clean AS (
       regexp_replace(text, '^\s*(?:>>\s*)?(?:\(([AB])\)\s*[-:]+|([AB])\s*[:>]|(?i:speaker|spk)[\s_-]*([ABab])\s*[:>])', ''),
       '\[\d+(:\d+)+([.,]\d+)?\]|<t=[^<>]*>|\(\d+([.,]\d+)?\s*s\)|\b\d+:\d\d:\d\d([.,]\d+)?(\s*-->)?|-->', ' ', 'g'),
       '\(\(|\)\)', '', 'g'),
-      '\[(?:laughter|LAUGHTER)-', '', 'g'),
+      '\[(?i:laughter)-([^\[\]]*)\]', '\1', 'g'),
       '<[^<>]*>|\{[^{}]*\}|\*[^*]+\*|\([^()]*\)', ' ', 'g'),
       '(^|\s)\[[^\[\]]*\]', ' ', 'g') AS text
   FROM lab),
-counted AS (
-  SELECT *, len(list_filter(string_split_regex(trim(text), '\s+'), lambda w:
-      regexp_matches(w, '[\p{L}\p{N}]') AND NOT regexp_matches(w, '^[^\p{L}\p{N}]*(?i:u+h+m*|u+m+|e+r+m*|a+h+m*)[^\p{L}\p{N}]*$'))) AS n
+listed AS (
+  SELECT *, list_filter(string_split_regex(trim(text), '\s+'), lambda w:
+      regexp_matches(w, '[\p{L}\p{N}]') AND NOT regexp_matches(w, '^[^\p{L}\p{N}]*(?i:u+h+m*|u+m+|e+r+m*|a+h+m*)[^\p{L}\p{N}]*$')) AS l
   FROM clean),
+counted AS (SELECT *, len(l) AS n FROM listed),
 filled AS (
   SELECT *, last_value(speaker IGNORE NULLS) OVER (PARTITION BY stream_name, conv_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS who
   FROM counted),
@@ -62,8 +63,11 @@ marked AS (
   FROM filled WHERE n > 0 WINDOW w AS (PARTITION BY stream_name, conv_id ORDER BY t, seq)),
 numbered AS (
   SELECT *, sum(new) OVER (PARTITION BY stream_name, conv_id ORDER BY t, seq ROWS UNBOUNDED PRECEDING) AS k FROM marked)
-SELECT stream_name, conv_id, who AS speaker, arg_min(seq, (t, seq)) AS first_seq, CAST(sum(n) AS BIGINT) AS n_words
+SELECT stream_name, conv_id, who AS speaker, arg_min(seq, (t, seq)) AS first_seq, CAST(sum(n) AS BIGINT) AS n_words{more}
 FROM numbered GROUP BY stream_name, conv_id, k, who
 """
 
-SQL = {"p4_found": _CLEAN}
+SQL = {
+    "p4_found": _CLEAN.replace("{more}", ""),
+    "p4_turns": _CLEAN.replace("{more}", ", CAST(min(t) AS DOUBLE) AS started, string_agg(array_to_string(l, ' '), ' ' ORDER BY t, seq) AS text"),
+}

@@ -51,6 +51,11 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(bare, HESITATION, " ")
 
 
+def unmarked(text: Column) -> Column:
+    """Laughed and uncertain words without their marks: [laughter-word], ((word))."""
+    return F.regexp_replace(F.regexp_replace(text, r"\[(?i:laughter)-([^\[\]]*)\]", "$1"), r"\(\(|\)\)", "")
+
+
 def _rows(df: DataFrame, start: str, received: str | None, keep_text: bool) -> DataFrame:
     """One row per (conv_id, seq): t, speaker (null if unnamed), n_words, and the clean text if wanted."""
     text = clean_text(F.coalesce(F.col("text"), F.lit("")))
@@ -61,7 +66,7 @@ def _rows(df: DataFrame, start: str, received: str | None, keep_text: bool) -> D
         F.coalesce(speaker_of(F.col("speaker_id")), label_in(F.col("text"))).alias("speaker"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
         (F.coalesce(F.col(received).cast("double"), F.lit(float("inf"))) if received else F.lit(0.0)).alias("received"),
-        *([F.array_join(F.regexp_extract_all(text, F.lit(f"({WORD})")), " ").alias("words")] if keep_text else []),
+        *([F.array_join(F.regexp_extract_all(unmarked(text), F.lit(f"({WORD})")), " ").alias("words")] if keep_text else []),
     )
     first = lambda c: F.min_by(c, "received").alias(c)
     return rows.groupBy("conv_id", "seq").agg(*map(first, ["t", "speaker", "n_words"]), *([first("words")] if keep_text else []))
