@@ -31,13 +31,13 @@ def voice_batch(windows: DataFrame) -> DataFrame:
     return windows.groupBy("stream").applyInPandas(run, VOICE_OUT)
 
 
-def _kept(state: GroupState, machine, idle: str) -> None:
-    """Keeps a machine for the next batch, or until its stream has been silent for so long."""
+def _kept(state: GroupState, machine, idle: int) -> None:
+    """Keeps a machine for the next batch, or until its stream has been silent for so many milliseconds."""
     state.update((packed(machine),))
     state.setTimeoutDuration(idle)
 
 
-def voice_stream(windows: DataFrame, idle: str = "1 hour") -> DataFrame:
+def voice_stream(windows: DataFrame, idle: int = 3_600_000) -> DataFrame:
     """The same over a stream, the machine of each stream kept as state between batches, and dropped when idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,7 +69,7 @@ def floor_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandas(run, FLOOR_OUT)
 
 
-def floor_stream(events: DataFrame, idle: str = "1 hour") -> DataFrame:
+def floor_stream(events: DataFrame, idle: int = 3_600_000) -> DataFrame:
     """The same over a stream of events.  Of a tape only what may still change is kept as state, and that only until the session is idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -150,11 +150,11 @@ def test_late_rows_and_rows_without_time(spark):
     assert got["on"] == [2] and sorted(got["late"]) == [1, 3]
 
 
-def _streamed(spark, tmp_path, rows, schema, make, name):
+def _streamed(spark, tmp_path, rows, schema, make, name, size=150):
     folder = tmp_path / "in"
     folder.mkdir()
-    for k in range(0, len(rows), 40):
-        (folder / f"{k:05}.json").write_text("\n".join(json.dumps(r) for r in rows[k : k + 40]))
+    for k in range(0, len(rows), size):
+        (folder / f"{k:05}.json").write_text("\n".join(json.dumps(r) for r in rows[k : k + size]))
         import os
 
         os.utime(folder / f"{k:05}.json", (1_600_000_000 + k, 1_600_000_000 + k))
@@ -184,7 +184,7 @@ def test_floor_stream(spark, tmp_path):
 
 def test_watermark_drops_late_rows(spark, tmp_path):
     rows = [{"ts": f"2024-01-01T00:{m:02}:00", "event_type": "x"} for m in range(40)] + [{"ts": "2024-01-01T00:39:00", "event_type": "x"}] * 40 + [{"ts": "2024-01-01T00:01:30", "event_type": "x"}] * 40 + [{"ts": "2024-01-01T02:00:00", "event_type": "x"}] * 40
-    got = _streamed(spark, tmp_path, rows, "ts timestamp, event_type string", lambda df: R.windowed_counts(df, "ts"), "windows")
+    got = _streamed(spark, tmp_path, rows, "ts timestamp, event_type string", lambda df: R.windowed_counts(df, "ts"), "windows", 40)
     counts = {r[0].minute: r[2] for r in got if r[0].hour == 0}
     assert counts[0] == 5 and counts[5] == 5
 
