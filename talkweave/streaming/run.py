@@ -31,13 +31,19 @@ def voice_batch(windows: DataFrame) -> DataFrame:
     return windows.groupBy("stream").applyInPandas(run, VOICE_OUT)
 
 
-def _kept(state: GroupState, machine, idle: int) -> None:
+def _kept(state: GroupState, machine, idle: int | None) -> None:
     """Keeps a machine for the next batch, or until its stream has been silent for so many milliseconds."""
     state.update((packed(machine),))
-    state.setTimeoutDuration(idle)
+    if idle is not None:
+        state.setTimeoutDuration(idle)
 
 
-def voice_stream(windows: DataFrame, idle: int = 3_600_000) -> DataFrame:
+def _timeout(idle: int | None) -> str:
+    """None keeps state for good; a run over what is available now, which would wait for timeouts, needs that."""
+    return GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def voice_stream(windows: DataFrame, idle: int | None = 3_600_000) -> DataFrame:
     """The same over a stream, the machine of each stream kept as state between batches, and dropped when idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -49,7 +55,7 @@ def voice_stream(windows: DataFrame, idle: int = 3_600_000) -> DataFrame:
         yield _voice_rows(key[0], machine, rows["prob"])
         _kept(state, machine, idle)
 
-    return windows.groupBy("stream").applyInPandasWithState(run, VOICE_OUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return windows.groupBy("stream").applyInPandasWithState(run, VOICE_OUT, "machine string", "append", _timeout(idle))
 
 
 def _floor_rows(stream: str, machine: Floor, rows: pd.DataFrame) -> pd.DataFrame:
@@ -69,7 +75,7 @@ def floor_batch(events: DataFrame) -> DataFrame:
     return events.groupBy("stream").applyInPandas(run, FLOOR_OUT)
 
 
-def floor_stream(events: DataFrame, idle: int = 3_600_000) -> DataFrame:
+def floor_stream(events: DataFrame, idle: int | None = 3_600_000) -> DataFrame:
     """The same over a stream of events.  Of a tape only what may still change is kept as state, and that only until the session is idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -81,7 +87,7 @@ def floor_stream(events: DataFrame, idle: int = 3_600_000) -> DataFrame:
         machine.trim()
         _kept(state, machine, idle)
 
-    return events.groupBy("stream").applyInPandasWithState(run, FLOOR_OUT, "machine string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("stream").applyInPandasWithState(run, FLOOR_OUT, "machine string", "append", _timeout(idle))
 
 
 PLAYED_OUT = "stream string, seq long, what string, clause int, samples long"

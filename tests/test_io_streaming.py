@@ -170,7 +170,7 @@ def test_streams_equal_batches(spark, tmp_path):
         prob = rng.choice([prob, prob, prob, 0.1, 0.4, 0.8])
         rows += [{"stream": s, "idx": k, "prob": prob if s == "a" else 0.9 - prob} for s in ("a", "b")]
     batch = R.voice_batch(spark.createDataFrame([(r["stream"], r["idx"], r["prob"]) for r in rows], "stream string, idx long, prob double"))
-    assert _streamed(spark, tmp_path, rows, "stream string, idx long, prob double", R.voice_stream, "voice") == {tuple(r) for r in batch.collect()} != set()
+    assert _streamed(spark, tmp_path, rows, "stream string, idx long, prob double", lambda df: R.voice_stream(df, None), "voice") == {tuple(r) for r in batch.collect()} != set()
 
 
 def test_floor_stream(spark, tmp_path):
@@ -179,7 +179,7 @@ def test_floor_stream(spark, tmp_path):
     rows = [dict(r, text="[C.SPEAK]") if r["kind"] == "decision" else r for r in rows]
     schema = "stream string, seq long, kind string, text string, number int"
     batch = R.floor_batch(spark.createDataFrame([tuple(r.values()) for r in rows], schema))
-    assert _streamed(spark, tmp_path, rows, schema, R.floor_stream, "floor") == {tuple(r) for r in batch.collect()}
+    assert _streamed(spark, tmp_path, rows, schema, lambda df: R.floor_stream(df, None), "floor") == {tuple(r) for r in batch.collect()}
 
 
 def test_watermark_drops_late_rows(spark, tmp_path):
