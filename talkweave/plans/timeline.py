@@ -15,11 +15,11 @@ def words(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def clipped(spark: SparkSession, folder: str) -> DataFrame:
-    return T.clipped_once(words(spark, folder))
+    return T.clipped_once(T.blocked_words(table(spark, folder, "asr_stream")))
 
 
 def segments(spark: SparkSession, folder: str) -> DataFrame:
-    return T.event_segments(words(spark, folder))
+    return T.event_segments(T.blocked_words(table(spark, folder, "asr_stream")))
 
 
 def placed(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -129,9 +129,12 @@ def splits(spark: SparkSession, folder: str, names: str) -> DataFrame:
 
 
 def cached(spark: SparkSession, path: str, make) -> DataFrame:
-    """The Parquet data at `path`; made and written first if there is none."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+    """The Parquet data at `path`; made and written first if there is none, or none that was written to the end."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").schema
+    except AnalysisException:
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
@@ -58,24 +58,33 @@ def voice_stream(windows: DataFrame, idle: int | None = 3_600_000) -> DataFrame:
     return windows.groupBy("stream").applyInPandasWithState(run, VOICE_OUT, "machine string", "append", _timeout(idle))
 
 
-def _floor_rows(stream: str, machine: Floor, rows: pd.DataFrame) -> pd.DataFrame:
+#: Judges speech heard while the agent speaks: from the tape and what was heard, the token to go on with.
+Decide = Callable[[list[str], str], str]
+
+
+def _floor_rows(stream: str, machine: Floor, rows: pd.DataFrame, decide: Decide | None = None) -> pd.DataFrame:
     out = []
     for seq, kind, text, number in zip(rows["seq"], rows["kind"], rows["text"], rows["number"]):
         outcome = machine.step(kind, text, int(number))
+        if outcome == "judge" and decide is not None:
+            outcome = machine.step("decision", decide(machine.tape, text))
         out.append((stream, seq, outcome, machine.state, machine.gone + len(machine.tape)))
     return pd.DataFrame(out, columns=["stream", "seq", "outcome", "state", "n_tape"])
 
 
-def floor_batch(events: DataFrame) -> DataFrame:
-    """What came of every event of finished sessions; `events` has stream, seq, kind, text and number."""
+def floor_batch(events: DataFrame, decide: Decide | None = None) -> DataFrame:
+    """What came of every event of finished sessions; `events` has stream, seq, kind, text and number.
+
+    With `decide` speech over the agent's is judged at once, without it by an event "decision".
+    """
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _floor_rows(pdf["stream"].iloc[0], Floor(), pdf.sort_values("seq"))
+        return _floor_rows(pdf["stream"].iloc[0], Floor(), pdf.sort_values("seq"), decide)
 
     return events.groupBy("stream").applyInPandas(run, FLOOR_OUT)
 
 
-def floor_stream(events: DataFrame, idle: int | None = 3_600_000) -> DataFrame:
+def floor_stream(events: DataFrame, idle: int | None = 3_600_000, decide: Decide | None = None) -> DataFrame:
     """The same over a stream of events.  Of a tape only what may still change is kept as state, and that only until the session is idle."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -83,7 +92,7 @@ def floor_stream(events: DataFrame, idle: int | None = 3_600_000) -> DataFrame:
             state.remove()
             return
         machine = unpacked(Floor, state.get[0]) if state.exists else Floor()
-        yield _floor_rows(key[0], machine, pd.concat(list(parts)).sort_values("seq"))
+        yield _floor_rows(key[0], machine, pd.concat(list(parts)).sort_values("seq"), decide)
         machine.trim()
         _kept(state, machine, idle)
 

@@ -130,6 +130,15 @@ def test_trimmed_tapes_go_on_alike():
         assert len(short.tape) <= len(whole.tape)
 
 
+def test_decide_hook(spark):
+    """Speech over the agent's is judged at once: yield to "stop", go on with anything else."""
+    rows = [("a", 1, "generated", "[S.SPEAK]", 0), ("a", 2, "generated", "the long sentence", 0), ("a", 3, "heard", "uh-huh", 3), ("a", 4, "heard", "stop", 5), ("a", 5, "heard", "thanks", 0)]
+    df = spark.createDataFrame(rows, "stream string, seq long, kind string, text string, number int")
+    decide = lambda tape, heard: "[S.LISTEN.INTERRUPT]" if heard == "stop" else "[C.SPEAK]"
+    got = [(r.outcome, r.state) for r in R.floor_batch(df, decide).orderBy("seq").collect()]
+    assert got == [("generated", "SPEAK"), ("generated", "SPEAK"), ("CONTINUE", "SPEAK"), ("INTERRUPT", "LISTEN"), ("listen", "LISTEN")]
+
+
 def test_playback():
     p = Playback()
     assert p.step("start", 1) == [] and p.step("audio", 1, 100) == []
