@@ -10,9 +10,6 @@ only one summary row a block and the periods cut by a block's edge meet in one w
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 #: Units of time in a block.  Segments come in 0.1 ms, so this is ten minutes.
@@ -61,8 +58,7 @@ def _ranked(points: DataFrame) -> DataFrame:
             F.coalesce(F.sum("e").over(before), F.lit(0)).alias("e0"),
         )
     )
-    same = reduce(and_, (F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}")) for k in keys))
-    joined = points.alias("p").join(carry.alias("c"), same).select("p.*", "s0", "e0")
+    joined = points.join(carry, keys)
     block = W.partitionBy(*keys)
     rows = block.orderBy("t", "is_end").rowsBetween(W.unboundedPreceding, 0)
     earlier = block.orderBy("t").rangeBetween(W.unboundedPreceding, -1)
@@ -137,11 +133,13 @@ def periods_and_gaps(
     covers time; touching intervals continue each other.  A null entity is an entity of its own.
     Ties and other columns, whatever their names, make no difference; an empty table gives none.
     """
+    # no entity gets a name of its own, so that keys are never null and rows meet by plain equality
     intervals = df.select(
-        F.col(entity).alias("entity"),
+        F.coalesce(F.concat(F.lit("="), F.col(entity).cast("string")), F.lit("")).alias("entity"),
         F.col(start).cast("long").alias("start"),
         F.col(end).cast("long").alias("end"),
         F.upper(F.trim(F.col(label))).alias("label"),
     )
     ranked = _ranked(_boundary_points(intervals, block))
-    return _periods(ranked).unionByName(_gaps(ranked)).withColumnRenamed("entity", entity)
+    named = F.when(F.col("entity") != "", F.expr("substring(entity, 2)")).cast(df.schema[entity].dataType)
+    return _periods(ranked).unionByName(_gaps(ranked)).withColumn("entity", named).withColumnRenamed("entity", entity)
