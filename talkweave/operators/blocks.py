@@ -34,9 +34,13 @@ def earliest(value: Column, order: Column) -> Column:
     return F.min_by(value, F.when(value.isNotNull(), order))
 
 
-def matched(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """`rows` with the columns of `other`, joined by keys of which nulls are equal; rows without a match keep nulls."""
-    same = reduce(and_, (F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) for k in keys))
+def matched(rows: DataFrame, other: DataFrame, keys: list[str], nulls: bool = False) -> DataFrame:
+    """`rows` with the columns of `other`, joined by keys; rows without a match keep nulls.
+
+    Keys that are null match nothing, or each other if `nulls`; that costs a shuffle of rows that
+    were dealt out by the keys already.
+    """
+    same = reduce(and_, (F.col(f"_l.{k}").eqNullSafe(F.col(f"_r.{k}")) if nulls else F.col(f"_l.{k}") == F.col(f"_r.{k}") for k in keys))
     more = [F.col(f"_r.{c}").alias(c) for c in other.columns if c not in keys]
     return rows.alias("_l").join(other.alias("_r"), same, "left").select("_l.*", *more)
 
@@ -45,6 +49,7 @@ def beside(rows: DataFrame, keys: list[str], block: str, made: dict[str, Column]
     """Adds the columns `seen`, windows over one row a block with the aggregates `made`.
 
     The rows are dealt out by (entity, block) first; the same shuffle feeds the summary and the join.
+    Rows of no entity or block see nothing of others.
     """
     dealt = rows.repartition(*keys, block)
     per = dealt.groupBy(*keys, block).agg(*[c.alias(n) for n, c in made.items()]).select(*keys, block, *[c.alias(n) for n, c in seen.items()])

@@ -30,14 +30,14 @@ def units(seconds: Column) -> Column:
 def asr_records(asr: DataFrame) -> DataFrame:
     """First delivery of each piece (conv_id, seq) with anything but punctuation: spk, text, start, end in seconds.
 
-    Null texts are dropped like empty ones; `<SIL>` pieces stay.
+    Null texts are dropped like empty ones, and pieces of no call; `<SIL>` pieces stay.
     """
     first = asr.groupBy("conv_id", "seq").agg(
         F.min_by(F.struct("speaker_id", "text", "audio_start", "audio_end"), "receive").alias("r")
     )
     return (
         first.select("conv_id", speaker_index(F.col("r.speaker_id")).alias("spk"), "seq", F.trim("r.text").alias("text"), F.col("r.audio_start").alias("start"), F.col("r.audio_end").alias("end"))
-        .where(F.col("text").isNotNull() & F.col("spk").isNotNull())
+        .where(F.col("text").isNotNull() & F.col("spk").isNotNull() & F.col("conv_id").isNotNull())
         .where((F.col("text") == SILENCE) | ~is_punctuation(F.col("text")))
     )
 

@@ -125,7 +125,7 @@ def snapshot(rows: DataFrame, key: str, ts: Column) -> DataFrame:
     """Adds t: seconds since the first row of the session, to four places.  The first is one aggregate a session, so a long session is spread."""
     timed = rows.withColumn("_ts", ts)
     first = timed.groupBy(key).agg(F.min("_ts").alias("_t0"))
-    return matched(timed, first, [key]).withColumn("t", F.round(F.col("_ts") - F.col("_t0"), 4)).drop("_ts", "_t0")
+    return matched(timed, first, [key], nulls=True).withColumn("t", F.round(F.col("_ts") - F.col("_t0"), 4)).drop("_ts", "_t0")
 
 
 def entry_kind(token: Column) -> Column:
